@@ -136,3 +136,14 @@ def compute_indicators(df: DataFrame, order: str = "trade_date", ma_windows=MA_W
     """The full table: window columns in the JVM, recursive columns from the grouped pass."""
     win = change_amp(volume_stats(boll(sma(df, windows=ma_windows, order=order), order), order), order)
     return win.join(recursive_indicators(df, order), ["symbol", order])
+
+
+def wilder_rma(df: DataFrame, n: int, order: str = "trade_date") -> DataFrame:
+    """Wilder means of the gains and losses of close."""
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, ignore_index=True)
+        step = pdf["close"].diff()
+        return pd.DataFrame({"symbol": pdf["symbol"], order: pdf[order], "rma_gain": rma_of(step.clip(lower=0), n),
+                             "rma_loss": rma_of((-step).clip(lower=0), n)})
+    return df.select("symbol", order, "close").groupBy("symbol").applyInPandas(
+        one, f"symbol string, {order} date, rma_gain double, rma_loss double")

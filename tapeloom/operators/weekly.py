@@ -22,6 +22,7 @@ def weekly_bars(bars: DataFrame, cal: DataFrame) -> DataFrame:
         F.min_by(F.col("open_raw") * f, "trade_date").alias("open"),
         F.max(F.col("high_raw") * f).alias("high"), F.min(F.col("low_raw") * f).alias("low"),
         F.max_by(F.col("close_raw") * f, "trade_date").alias("close"),
+        F.max_by("close_raw", "trade_date").alias("close_raw"),
         F.sum(F.coalesce("volume_raw", F.lit(0.0)) / nonzero("share_factor")).alias("volume"),
         F.sum("amount_raw").alias("amount"), F.count("*").alias("trading_days"), F.max("trade_date").alias("_last"))
     return g.join(calendar_weeks(cal), "wk").where("_last = week_end_date").drop("_last")

@@ -9,7 +9,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tapeloom.operators import adjust, timeops, weekly
+from tapeloom.operators import adjust, cards, exhaustion, indicators, timeops, weekly
+from tapeloom.session import cut_lineage
 
 
 class Market:
@@ -106,3 +107,89 @@ class Market:
             F.when(first, F.lit("1999-01-01").cast("date")).otherwise(F.lit("2000-01-01").cast("date")).alias("effective_from"),
             F.when(first, F.lit("2000-01-01").cast("date")).alias("effective_to"),
             *[F.round(F.col("m") * k, 4).cast("decimal(18,4)").alias(n) for n, k in price.items()])
+
+    @cached_property
+    def fwd_closes(self) -> DataFrame:
+        step = 1 + 0.005 * (F.year("trade_date") - 1998)
+        return self.daily_bars.where("volume_raw <= 90").select(
+            "symbol", "trade_date", (F.col("close_raw") * F.col("price_adj_factor") * step
+                                     * (1 + (F.col("volume_raw") - 45) * 0.000002)).alias("close_fwd"))
+
+    @cached_property
+    def corporate_actions(self) -> DataFrame:
+        w = Window.partitionBy("symbol").orderBy("trade_date")
+        s = self.daily_bars.select("symbol", "trade_date", F.col("price_adj_factor").alias("f"), F.col("share_factor").alias("sf"),
+                                   F.lag("close_raw").over(w).alias("pc"), F.lag("price_adj_factor").over(w).alias("pf"),
+                                   F.lag("share_factor").over(w).alias("psf"))
+        none = F.lit(None).cast("double")
+        split = s.where("sf <> psf").select("symbol", F.col("trade_date").alias("ex_date"), F.lit("split").alias("action_type"),
+                                            none.alias("cash_per_share"), F.round(F.col("sf") / F.col("psf"), 6).alias("split_ratio"))
+        step = s.where("f <> pf and sf = psf").select(
+            "symbol", F.col("trade_date").alias("ex_date"), F.lit("cash_dividend").alias("action_type"),
+            F.round(F.col("pc") * (1 - F.col("pf") / F.col("f")), 4).alias("cash_per_share"), none.alias("split_ratio"))
+        news = self.announcements.where("event_type = 'purchase'").groupBy("symbol", F.col("a_date").alias("ex_date")).agg(
+            F.round(F.max("value") * 10, 2).alias("cash_per_share")).select(
+            "symbol", "ex_date", F.lit("cash_dividend").alias("action_type"), "cash_per_share", none.alias("split_ratio"))
+        u = split.unionByName(step).unionByName(news)
+        return u.select(F.concat_ws("/", "symbol", F.col("ex_date").cast("string"), "action_type").alias("ca_id"), "*")
+
+    @cached_property
+    def spine(self) -> DataFrame:
+        return timeops.day_spine(self.trading_calendar)
+
+    @cached_property
+    def card_docs(self) -> DataFrame:
+        """Cards as the JSON documents the store keeps; some first versions carry a negative price."""
+        s = lambda k: F.col(k).cast("string")
+        bad = (F.col("card_version_id") == 1) & F.col("symbol").endswith("3")
+        tier = lambda n, lo, hi: F.struct(F.lit(n).alias("tier"), lo.alias("zone_low"), s(hi).alias("zone_high"))
+        low1 = F.when(bad, F.concat(F.lit("-"), s("t1_low"))).otherwise(s("t1_low"))
+        box = {"box_low": "t2_low", "box_high": "trigger_level", "buy_zone_low": "t2_low", "buy_zone_high": "t2_high",
+               "sell_zone_low": "t1_high", "sell_zone_high": "stop_level", "box_invalidation": "invalidation_line"}
+        eps = F.struct(*[F.round(F.col("invalidation_line") * k, 4).cast("decimal(18,4)").cast("string").alias(n)
+                         for n, k in (("bear", 0.04), ("base", 0.05), ("bull", 0.06))])
+        return self.cards.select(
+            "symbol", s("card_version_id").alias("card_version_id"), "status", "effective_from", "effective_to",
+            F.when(F.col("card_version_id") == 2, "1").alias("supersedes_id"), F.date_add("effective_from", 120).alias("next_review_at"),
+            F.to_json(F.struct(F.array(tier(1, low1, "t1_high"), tier(2, s("t2_low"), "t2_high")).alias("tiers"))).alias("price_tiers_json"),
+            F.to_json(F.struct(s("invalidation_line").alias("line"))).alias("invalidation_json"),
+            F.to_json(F.struct(*[s(v).alias(k) for k, v in box.items()])).alias("swing_box_json"),
+            F.to_json(F.struct(s("trigger_level").alias("trigger_level"), s("stop_level").alias("stop_level"))).alias("right_side_trigger_json"),
+            F.to_json(F.struct(eps.alias("eps"))).alias("earnings_scenarios_json"))
+
+    @cached_property
+    def vcards(self) -> DataFrame:
+        return cards.parse_cards(self.card_docs)
+
+    @cached_property
+    def bars_h(self) -> DataFrame:
+        """Daily bars with holes: the close is unknown on days of a single share."""
+        return self.daily_bars.withColumn("close_raw", F.when(F.col("volume_raw") > 1, F.col("close_raw")))
+
+    @cached_property
+    def bar_cards(self) -> DataFrame:
+        return cards.cards_asof(self.daily_bars, self.vcards)
+
+    @cached_property
+    def freezes(self) -> DataFrame:
+        return self.corporate_actions.where("action_type = 'split' or cash_per_share >= 2000").select(
+            "symbol", "ca_id", "ex_date", "action_type", "cash_per_share")
+
+    @cached_property
+    def rescinded(self) -> DataFrame:
+        return self.freezes.where("cash_per_share >= 3000")
+
+    @cached_property
+    def absorbed(self) -> DataFrame:
+        return self.freezes.where("cash_per_share >= 2500 and cash_per_share < 2700")
+
+    @cached_property
+    def open_freezes(self) -> DataFrame:
+        return cards.open_freezes(self.freezes, self.rescinded, self.absorbed)
+
+    @cached_property
+    def weekly_facts(self) -> DataFrame:
+        """Exhaustion facts; the week frame feeds several branches, so its lineage is cut once."""
+        w = cut_lineage(self.weeks)
+        return exhaustion.exhaustion_facts(w, self.daily_bars, self.trading_calendar,
+                                           indicators.recursive_indicators(w, "week_end_date"))

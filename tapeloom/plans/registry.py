@@ -55,6 +55,9 @@ def check_sql(name: str) -> str:
             need.add(v)
             todo.append(VIEWS[v])
     ctes = [f"{v} AS (\n{VIEWS[v].strip()}\n)" for v in VIEWS if v in need]
+    body = body.strip()
     if not ctes:
-        return body.strip()
-    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body.strip()
+        return body
+    own = re.match(r"with\s+(recursive\s+)?", body)
+    tail = ",\n" + body[own.end():] if own else "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(ctes) + tail
