@@ -193,3 +193,65 @@ class Market:
         w = cut_lineage(self.weeks)
         return exhaustion.exhaustion_facts(w, self.daily_bars, self.trading_calendar,
                                            indicators.recursive_indicators(w, "week_end_date"))
+
+    # ------------------------------------------------------------------ reports and shares
+
+    @cached_property
+    def rep(self) -> DataFrame:
+        """Reports in decimals with a second revision of interim reports, a currency and a publication date."""
+        n = F.substring("symbol", 7, 9).cast("int")
+        base = self.reports.select(
+            "symbol", "fiscal_year", "q", "period_end", "period_type", "is_cumulative", "revision",
+            F.round("revenue", 2).cast("decimal(20,2)").alias("revenue"),
+            F.round("net_profit_attr", 0).cast("decimal(20,2)").alias("net_profit_attr"), "available_date",
+            F.when(n % 10 == 9, "HKD").otherwise("CNY").alias("currency"), F.when(n % 8 != 3, F.col("available_date")).alias("published_at"))
+        rev2 = base.where("q = 2").withColumns({
+            "revision": F.lit(2), "net_profit_attr": (F.col("net_profit_attr") + 50000).cast("decimal(20,2)"),
+            "available_date": F.date_add("available_date", 45)})
+        return base.unionByName(rev2)
+
+    @cached_property
+    def share_events(self) -> DataFrame:
+        g = self.daily_bars.groupBy("symbol", F.year("trade_date").alias("y")).agg(
+            F.min("trade_date").alias("effective_at"), F.sum("volume_raw").alias("v"))
+        one = g.select("symbol", "effective_at", F.date_add("effective_at", 10).alias("available_at"),
+                       (F.col("v") * 1000).cast("decimal(20,2)").alias("shares"), F.lit("issued").alias("share_count_type"),
+                       F.when(F.col("y") == 1996, "snapshot_quote").otherwise("issue").alias("event_type"), "y")
+        two = one.where("y = 1998").withColumns({"shares": (F.col("shares") * 2).cast("decimal(20,2)"), "share_count_type": F.lit("group_total")})
+        return one.unionByName(two).drop("y")
+
+    @cached_property
+    def balance(self) -> DataFrame:
+        d = lambda e: e.cast("decimal(20,2)")
+        rev = F.col("revenue")
+        return self.rep.where("revision = 1 and q <> 1").select(
+            "symbol", "period_end", "period_type", d(rev * 3).alias("total_assets"), d(rev + 1000000).alias("total_liabilities"),
+            d(rev * 2 - 1000000).alias("total_equity_attr"), F.when(F.col("q") == 2, d(rev)).alias("short_term_borrowing"),
+            F.when(F.col("q") != 3, d(rev * 2)).alias("long_term_borrowing"), F.lit(None).cast("decimal(20,2)").alias("bonds_payable"),
+            F.lit(None).cast("decimal(20,2)").alias("noncurrent_liab_1y"))
+
+    @cached_property
+    def cash(self) -> DataFrame:
+        return self.rep.where("revision = 1 and q <> 3").select(
+            "symbol", "period_end", "period_type", (F.col("net_profit_attr") * 2).cast("decimal(20,2)").alias("ocf"),
+            F.lit(250000).cast("decimal(20,2)").alias("capex"))
+
+    @cached_property
+    def snapshots(self) -> DataFrame:
+        s = lambda e: e.cast("string")
+        return self.rep.where("revision = 1 and q <> 2").select(
+            "symbol", "period_end", F.create_map(
+                F.lit("盈利能力"), F.create_map(F.lit("净资产收益率(ROE)"), s(F.col("fiscal_year")), F.lit("毛利率"), F.lit("1")),
+                F.lit("常用指标"), F.create_map(F.lit("毛利率"), s(F.col("q")), F.lit("营业总收入"), s(F.col("revenue")))).alias("payload"))
+
+    @cached_property
+    def forecasts(self) -> DataFrame:
+        a = self.rep.where("period_type = 'annual'")
+        s = lambda k: (F.col("net_profit_attr") * k).cast("decimal(24,2)").cast("string")
+        blank = F.struct(F.lit("").alias("ths_fore_np_fy1_stock"), F.lit("9").alias("ths_fore_np_fy2_stock"), F.lit("").alias("ths_fore_np_fy3_stock"),
+                         F.lit("").alias("ths_fore_np_yoy_stock"), F.lit("3.25").alias("ths_pb_mrq_stock"), F.lit("").alias("ths_ps_lyr_stock"))
+        real = F.struct(s(2).alias("ths_fore_np_fy1_stock"), s(3).alias("ths_fore_np_fy2_stock"),
+                        F.when(F.col("fiscal_year") % 2 == 0, s(4)).otherwise("").alias("ths_fore_np_fy3_stock"), F.lit("12.5").alias("ths_fore_np_yoy_stock"),
+                        F.lit("4").alias("ths_pb_mrq_stock"), F.lit("1.5").alias("ths_ps_lyr_stock"))
+        return a.select("symbol", F.date_add("period_end", 60).alias("snapshot_at"),
+                        F.to_json(F.struct(F.array(blank, real).alias("rows"))).alias("payload_json"))
