@@ -255,3 +255,87 @@ class Market:
                         F.lit("4").alias("ths_pb_mrq_stock"), F.lit("1.5").alias("ths_ps_lyr_stock"))
         return a.select("symbol", F.date_add("period_end", 60).alias("snapshot_at"),
                         F.to_json(F.struct(F.array(blank, real).alias("rows"))).alias("payload_json"))
+
+    # ------------------------------------------------------------------ messages and macro
+
+    @cached_property
+    def symbols(self) -> DataFrame:
+        return self.daily_bars.select("symbol").distinct()
+
+    @cached_property
+    def watchlist(self) -> DataFrame:
+        n = F.substring("symbol", 7, 9).cast("int")
+        s = F.array
+        themes = (F.when(n % 4 == 0, s(F.lit("黄金"))).when(n % 4 == 1, s(F.lit("铜"))).when(n % 4 == 2, s(F.lit("白酒"), F.lit("la")))
+                  .otherwise(F.array().cast("array<string>")))
+        return self.symbols.select(
+            "symbol", F.when(n % 2 == 0, "CN").otherwise("HK").alias("market"), F.concat(F.lit("Pool "), n.cast("string")).alias("name"),
+            F.array(F.concat(F.lit("alias"), n.cast("string"))).alias("aliases"), themes.alias("themes"),
+            F.concat(F.lit("BK"), (n % 3).cast("string")).alias("industry_code"), (n % 6 != 5).alias("active"))
+
+    @cached_property
+    def industry(self) -> DataFrame:
+        n = F.substring("symbol", 7, 9).cast("int")
+        return self.symbols.select("symbol", F.when(n % 3 == 0, "白酒").when(n % 3 == 1, "黄金").otherwise("than").alias("industry_name"))
+
+    @cached_property
+    def news(self) -> DataFrame:
+        titles = ("央行降准落地", "财政部公布新规", "黄金周消费回暖", "国务院谈国际黄金价格", "美联储表态后电解铜库存下降", "商务部调研白酒企业")
+        title = F.element_at(F.array(*[F.lit(t) for t in titles]), (F.col("doc_id") % 6 + 1).cast("int"))
+        when = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600)
+        kind = F.when(F.col("lang") == "fr", "announcement").when(F.col("lang") == "de", "flow").otherwise("news")
+        return self.table("documents").select(
+            F.col("doc_id").alias("event_id"), kind.alias("event_type"), title.alias("title"), F.col("text").alias("summary"),
+            when.alias("published_at"), when.alias("available_at"), (F.col("doc_id") % 4 + 1).cast("int").alias("source_tier"), "source")
+
+    @cached_property
+    def assessed(self) -> DataFrame:
+        return self.table("labels").select(F.col("doc_id").alias("event_id"))
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        e, k = self.announcements, F.col("event_type")
+        users = self.table("events").select("event_id", "user_id")
+        action = (F.when(k == "view", "note").when(k == "click", "confirm").when(k == "signup", "dismiss")
+                  .when(k == "purchase", "upgrade_materiality").otherwise("amend"))
+        v = F.col("value")
+        mat = F.when(v < 20, "low").when(v < 60, "medium").when(v < 120, "high").otherwise("critical")
+        return e.join(users, "event_id").select(
+            F.col("event_id").alias("review_id"), F.col("user_id").alias("event_id"),
+            F.when(F.col("event_id") % 3 == 0, F.col("symbol")).otherwise("__event__").alias("symbol"), F.col("ts").alias("reviewed_at"),
+            action.alias("action"), mat.alias("materiality"), F.when(v > 50, "gap").alias("expectation_gap"),
+            F.when(v < 10, F.lit("line")).alias("falsification"), F.when(F.col("event_id") % 2 == 0, "eps").alias("target"),
+            F.when(F.col("event_id") % 5 == 0, "week").alias("half_life"))
+
+    @cached_property
+    def event_links(self) -> DataFrame:
+        return self.table("events").select(
+            F.col("user_id").alias("event_id"), F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("int").cast("string")).alias("symbol")).distinct()
+
+    @cached_property
+    def assessments(self) -> DataFrame:
+        u = F.col("event_id")
+        pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (u % len(v) + 1).cast("int"))
+        none = F.lit(None).cast("string")
+        return self.event_links.where(u % 7 != 0).select(
+            "event_id", F.when(u % 4 == 0, "ok").otherwise("needs_review").alias("status"), pick("positive", "negative", "neutral").alias("direction"),
+            F.lit("medium").alias("materiality"), ((u % 10) / 10).alias("confidence"), F.lit("r").alias("rationale"), none.alias("target"),
+            F.lit("day").alias("half_life"), none.alias("expectation_gap"))
+
+    @cached_property
+    def event_calendar(self) -> DataFrame:
+        a = self.reports.select(F.lit("report_disclosure").alias("kind"), "symbol", F.col("available_date").alias("scheduled_date"),
+                                F.lit(7).alias("remind_before_days"), F.col("period_end").cast("string").alias("note"))
+        b = self.macro_factors.select(F.lit("macro_release").alias("kind"), F.lit(None).cast("string").alias("symbol"),
+                                      F.date_add("trade_date", 95).alias("scheduled_date"), F.lit(3).alias("remind_before_days"), F.col("code").alias("note"))
+        return a.unionByName(b)
+
+    @cached_property
+    def study_events(self) -> DataFrame:
+        k = F.col("event_type")
+        shift = F.when(k == "error", 652).when(k == "view", -1840).otherwise(0)
+        return self.announcements.select("event_id", "symbol", F.date_add("a_date", shift).alias("a_date"), "event_type", "ts")
+
+    @cached_property
+    def index_h(self) -> DataFrame:
+        return self.index_bars.where("close >= 1500")
