@@ -32,10 +32,9 @@ def event_days(events: DataFrame, spine: DataFrame, cal: DataFrame, ks=(1, 5)) -
     Works on the distinct days of the events; a day outside the spine lies outside the calendar.
     """
     ords = cal.where("is_open").select("td_ord", F.col("trade_date").alias("d"))
-    lo = cal.where("is_open").agg(F.min("trade_date").alias("lo"), F.max("trade_date").alias("hi"), F.count("*").alias("n"))
+    span = cal.where("is_open").agg(F.struct(F.min("trade_date").alias("lo"), F.count("*").alias("n"))).scalar()
     days = events.select("a_date").distinct().join(spine.select(F.col("day").alias("a_date"), "open_before"), "a_date", "left")
-    # lo is a single aggregated row
-    days = days.crossJoin(lo).withColumn("o", F.coalesce("open_before", F.when(F.col("a_date") < F.col("lo"), 0).otherwise(F.col("n"))))
+    days = days.withColumn("o", F.coalesce("open_before", F.when(F.col("a_date") < span["lo"], 0).otherwise(span["n"])))
     out = days.select("a_date", F.col("o").alias("td_ord")).join(ords.withColumnRenamed("d", "base_date"), "td_ord", "left").withColumnRenamed("td_ord", "o")
     for k in ks:
         out = out.withColumn("td_ord", F.col("o") + k).join(ords.withColumnRenamed("d", f"t{k}_date"), "td_ord", "left").drop("td_ord")
@@ -52,8 +51,8 @@ def event_study(events: DataFrame, bars: DataFrame, index: DataFrame, spine: Dat
     close = bars.where("close_raw is not null").select(
         "symbol", "trade_date", (F.col("close_raw") * F.coalesce(F.nullif("price_adj_factor", F.lit(0.0)), F.lit(1.0))).alias("c"))
     idx = index.where("close is not null").select("trade_date", F.col("close").alias("b"))
-    last = close.groupBy("symbol").agg(F.max("trade_date").alias("_s")).crossJoin(idx.agg(F.max("trade_date").alias("_i"))).select(
-        "symbol", F.least("_s", "_i").alias("cutoff"))
+    last = close.groupBy("symbol").agg(F.max("trade_date").alias("_s")).select(
+        "symbol", F.least("_s", idx.agg(F.max("trade_date")).scalar()).alias("cutoff"))
     x = pairs.join(last, "symbol", "left")
     for p in ("base", "t1", "t5"):
         x = x.join(close.select("symbol", F.col("trade_date").alias(f"{p}_date"), F.col("c").alias(f"{p}_close")), ["symbol", f"{p}_date"], "left")
@@ -192,8 +191,8 @@ def label_candidates(events: DataFrame, assessed: DataFrame, links: DataFrame, m
         F.array_join(F.array_sort(F.collect_set("symbol")), ",").alias("linked_symbols"))
     last = macro.where(F.col("trade_date") <= F.lit(as_of).cast("date")).groupBy("code").agg(F.max_by(F.struct("trade_date", "close"), "trade_date").alias("m"))
     line = F.concat("code", F.lit(" "), F.format_string("%.4f", F.col("m.close").cast("double")), F.lit("（"), F.col("m.trade_date").cast("string"), F.lit("）"))
-    context = last.agg(F.array_join(F.array_sort(F.collect_list(line)), ";").alias("macro_context"))
-    return x.join(syms, "event_id", "left").crossJoin(context)
+    context = last.agg(F.array_join(F.array_sort(F.collect_list(line)), ";")).scalar()
+    return x.join(syms, "event_id", "left").withColumn("macro_context", context)
 
 
 def write_candidates(df: DataFrame, path: str) -> None:
@@ -261,11 +260,11 @@ def event_summary(events: DataFrame, assessed: DataFrame, calendar: DataFrame, a
         F.count("*").alias("pending"))
     soon = calendar.where(F.col("scheduled_date").between(day, F.date_add(day, 30)))
     own = soon.where("symbol is not null").groupBy("symbol").agg(F.count("*").alias("own_due"))
-    wide = soon.where("symbol is null").agg(F.count("*").alias("wide_due"))
+    wide = soon.where("symbol is null").agg(F.count("*")).scalar()
     zero = F.lit(0).cast("long")
-    return top.join(pend, "symbol", "left").join(own, "symbol", "left").crossJoin(wide).select(
+    return top.join(pend, "symbol", "left").join(own, "symbol", "left").select(
         "symbol", "rank", "event_id", "event_type", F.coalesce("pending", zero).alias("pending"),
-        (F.coalesce("own_due", zero) + F.col("wide_due")).alias("upcoming"))
+        (F.coalesce("own_due", zero) + wide).alias("upcoming"))
 
 
 def due_items(calendar: DataFrame, cards: DataFrame, as_of: str, symbol: str | None = None) -> DataFrame:

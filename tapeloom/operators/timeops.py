@@ -44,13 +44,13 @@ def asof(left: DataFrame, right: DataFrame, keys, ltime: str, rtime: str, cols,
     keys = list(keys)
     probe = left if unique else left.select(*keys, ltime).distinct()
     value = F.struct(*[c(x) for x in cols])
-    rows = right.select(*keys, F.col(rtime).alias("_t"), F.lit(1 if strict else 0).alias("_k"), value.alias("_v"),
+    rows = right.select(*keys, F.col(rtime).alias("_t"), F.lit(1 if strict else 0).alias("_side"), value.alias("_v"),
                         F.lit(None).cast(_struct_type(probe)).alias("_l"))
-    probes = probe.select(*keys, F.col(ltime).alias("_t"), F.lit(0 if strict else 1).alias("_k"),
+    probes = probe.select(*keys, F.col(ltime).alias("_t"), F.lit(0 if strict else 1).alias("_side"),
                           F.lit(None).cast(rows.schema["_v"].dataType).alias("_v"),
                           F.struct(*[F.col(x) for x in probe.columns]).alias("_l"))
     t = F.col("_t") if backward else F.col("_t").desc()
-    w = Window.partitionBy(*keys).orderBy(t, "_k").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy(t, "_side").rowsBetween(Window.unboundedPreceding, 0)
     hit = (rows.unionByName(probes).withColumn("_v", F.last("_v", True).over(w))
            .where(F.col("_l").isNotNull()).select("_l.*", "_v.*"))
     return hit if unique else left.join(hit, [*keys, ltime], "left")

@@ -240,7 +240,8 @@ from factor_days d left join factor_chg m on m.code = d.code and m.trade_date =
 @query("m01_factor_asof", """
 select code, market, as_of::varchar as as_of, rd::varchar as reading_date, close::double as close, status from factor_read""")
 def _(m):
-    days = m.macro_factors.select("code").distinct().crossJoin(m.trading_calendar.select(F.col("trade_date").alias("as_of")))
+    every = m.trading_calendar.agg(F.collect_list("trade_date")).scalar()
+    days = m.macro_factors.select("code").distinct().select("code", F.explode(every).alias("as_of"))
     return macro.factor_asof(days, m.macro_factors, m.spine.drop("market")).select("code", "market", "as_of", "reading_date", "close", "status")
 
 

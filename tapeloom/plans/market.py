@@ -9,7 +9,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tapeloom.operators import adjust, cards, exhaustion, indicators, timeops, weekly
+from tapeloom.operators import (adjust, cards, daily_watch, exhaustion, indicators, outcomes, right_side, timeops,
+                                weekly)
 from tapeloom.session import cut_lineage
 
 
@@ -339,3 +340,56 @@ class Market:
     @cached_property
     def index_h(self) -> DataFrame:
         return self.index_bars.where("close >= 1500")
+
+    # ------------------------------------------------------------------ signals, decisions, executions
+
+    @cached_property
+    def sig_facts(self) -> DataFrame:
+        """Tier, falsification, box and right-side facts of all days; written once as they feed several branches."""
+        x = daily_watch.box_position(daily_watch.falsification(daily_watch.tier_trigger(
+            self.bar_cards, exhaustion.active_counts(self.weekly_facts), self.weeks)))
+        row = lambda sig, st, trig: F.struct(F.lit(sig).alias("signal"), st.alias("state"), trig.alias("triggered"))
+        rows = F.array(row("tier_triggered", F.col("trig_state"), F.col("trig_state") == "triggered"),
+                       row("falsification_breach", F.col("fals_state"), F.col("fals_triggered")),
+                       row("box_position", F.col("box_state"), F.col("box_state").isin("buy_zone", "sell_zone", "box_breached")))
+        a = x.select("symbol", F.col("trade_date").alias("observed_on"), "card_version_id", F.explode(rows).alias("s")).select(
+            "symbol", "observed_on", "card_version_id", "s.*")
+        rs = right_side.right_side(cards.cards_asof(right_side.right_side_inputs(self.daily_bars), self.vcards))
+        b = rs.select("symbol", "observed_on", "card_version_id", F.lit("right_side").alias("signal"), "state", "triggered")
+        return cut_lineage(a.unionByName(b))
+
+    @cached_property
+    def cn_spine(self) -> DataFrame:
+        return self.spine.where("market = 'CN'").drop("market")
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        """All entry points with their closes."""
+        close = self.daily_bars.select("symbol", F.col("trade_date").alias("decision_date"), F.col("close_raw").alias("entry_close"))
+        return outcomes.entry_points(self.sig_facts, self.trading_calendar).join(close, ["symbol", "decision_date"])
+
+    @cached_property
+    def decisions(self) -> DataFrame:
+        d = F.dayofmonth("decision_date")
+        dec = F.when(d % 4 < 2, "follow").when(d % 4 == 2, "skip").otherwise("counter")
+        return self.entries.select(
+            F.concat_ws("/", "symbol", F.col("decision_date").cast("string"), "source").alias("position_id"), "symbol", "decision_date",
+            F.lit("entry").alias("decision_type"), F.col("source").alias("signal_source"), dec.alias("decision"), "entry_close",
+            F.when(d % 5 == 0, "single_position").alias("constraint_tag"), (d % 7 == 0).alias("late"), F.when(d % 11 == 0, 1).alias("reversed_by"))
+
+    @cached_property
+    def positions(self) -> DataFrame:
+        return self.decisions.where("decision = 'follow'").select(
+            "position_id", "symbol", F.col("decision_date").alias("entry_date"), "entry_close", F.col("signal_source").alias("source"),
+            F.round(F.col("entry_close") * 0.95, 6).alias("deep_exit_line"))
+
+    @cached_property
+    def executions(self) -> DataFrame:
+        return self.table("orders").select(
+            F.col("o_orderkey").alias("execution_id"), F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("int").cast("string")).alias("symbol"),
+            F.col("o_orderdate").alias("executed_at"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("action_type"),
+            F.when(F.col("o_orderstatus") == "P", F.col("o_orderkey") - 1).alias("reverses_execution_id"))
+
+    @cached_property
+    def anchor_rows(self) -> DataFrame:
+        return exhaustion.anchor_ids(exhaustion.timeline(self.weeks, self.daily_bars))
