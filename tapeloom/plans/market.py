@@ -393,3 +393,45 @@ class Market:
     @cached_property
     def anchor_rows(self) -> DataFrame:
         return exhaustion.anchor_ids(exhaustion.timeline(self.weeks, self.daily_bars))
+
+    # ------------------------------------------------------------------ vendor files (text columns, as read from CSV)
+
+    @cached_property
+    def full_cal(self) -> DataFrame:
+        """Every natural day of the domestic calendar with its open flag; the other market has no calendar."""
+        s = self.trading_calendar.agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("b"))
+        days = s.select(F.explode(F.sequence("a", "b")).alias("trade_date"))
+        return days.join(self.trading_calendar.select("trade_date", "is_open"), "trade_date", "left").select(
+            F.lit("CN").alias("market"), "trade_date", F.coalesce("is_open", F.lit(False)).alias("is_open"))
+
+    @cached_property
+    def vendor(self) -> DataFrame:
+        """Bars as a vendor would deliver them: one file per symbol and year, with empty bars, broken bars and bars on closed days."""
+        n = F.substring("symbol", 7, 9).cast("int")
+        hk = n % 5 == 0
+        v = F.col("volume_raw")
+        td = F.when((v == 3) & (F.dayofmonth("trade_date") == 7), F.date_add(F.trunc("trade_date", "week"), 6)).otherwise(F.col("trade_date"))
+        p = lambda k: F.round(k, 7).cast("decimal(18,7)")
+        high = F.when((v == 1) & (F.dayofmonth("trade_date") == 13), (p("low_raw") / 2).cast("decimal(18,7)")).otherwise(p("high_raw"))
+        s = lambda e: F.when(v == 2, "").otherwise(e.cast("string"))
+        x = self.daily_bars.select(
+            F.when(hk, F.lpad(n.cast("string"), 5, "0")).otherwise((n + 600000).cast("string")).alias("code"), F.when(hk, "31").otherwise("1").alias("setcode"),
+            F.when(hk, ".HK").otherwise(".SH").alias("_sfx"), td.alias("td"), F.year("trade_date").alias("yr"), s(p("open_raw")).alias("open"), s(high).alias("high"), s(p("low_raw")).alias("low"),
+            s(p("close_raw")).alias("close"), v.cast("int").cast("string").alias("volume"), F.round("amount_raw", 2).cast("decimal(18,2)").cast("string").alias("amount"),
+            F.round("turnover", 4).cast("decimal(10,4)").cast("string").alias("turnover"), v.alias("v"))
+        return x.select("*", F.concat("code", "_sfx").alias("thscode"), F.date_format("td", "yyyyMMdd").alias("time"), F.lit("CNY").alias("currency")).drop("_sfx")
+
+    def vendor_files(self, source: str, kind: str) -> DataFrame:
+        path = F.concat(F.lit(f"data/raw/{source}/{kind}/"), F.col("yr").cast("string"), F.lit("-12-31/run1/"), F.col("thscode"), F.lit(".csv"))
+        return self.vendor.withColumn("file_path", path)
+
+    @cached_property
+    def raw_files(self) -> DataFrame:
+        """One row per document: a path below the raw folder and its content."""
+        kinds = ("stock_finance_data/price", "tdx/kline", "akshare/price", "akshare/telegraph", "tdx/unknown", "yahoo_finance/fx")
+        i = F.col("doc_id")
+        kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (i % len(kinds) + 1).cast("int"))
+        tag = F.when(i % 4 == 0, "_forward").when(i % 4 == 1, "_tq1").otherwise("")
+        stem = F.concat(F.lit("Brand#"), (i % 40 + 1).cast("int").cast("string"), tag)
+        return self.table("documents").select(F.concat(F.lit("data/raw/"), kind, F.lit("/2001-12-31/run"), i.cast("string"), F.lit("/"), stem, F.lit(".csv")).alias("file_path"),
+                                              F.sha2("text", 256).alias("content_hash"), F.col("doc_id"))

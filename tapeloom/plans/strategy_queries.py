@@ -228,11 +228,11 @@ def _(m):
 select e.symbol, e.decision_date::varchar as decision_date, e.source, round(e.entry_close, 7) as close_raw,
   (select count(*) from trading_calendar t where t.trade_date >= e.decision_date and t.trade_date <= date '2000-06-30') > 2 as late,
   (floor(floor(100000/e.entry_close)/100)*100)::bigint as quantity,
-  round(round(coalesce(case when e.source = 'tier_triggered' then greatest(case when t1_low::double <= e.entry_close then t1_low end, case when t2_low::double <= e.entry_close then t2_low end)::double end, e.entry_close) * (1 - 0.05::double), 6), 5) as deep_exit_line
+  floor(round(coalesce(case when e.source = 'tier_triggered' then greatest(case when t1_low::double <= e.entry_close then t1_low end, case when t2_low::double <= e.entry_close then t2_low end)::double end, e.entry_close) * (1 - 0.05::double), 6) * 100) / 100 as deep_exit_line
 from entry_rows e left join bar_cards c on c.symbol = e.symbol and c.trade_date = e.decision_date""")
 def _(m):
     x = oc.decision_fields(m.entries.select("symbol", "decision_date", "source"), m.bar_cards, m.cn_spine, "2000-06-30")
-    return rounded(x, ["symbol", "decision_date", "source", "late", "quantity"], close_raw=7, deep_exit_line=5)
+    return rounded(x.withColumn("deep_exit_line", F.floor(F.col("deep_exit_line") * 100) / 100), ["symbol", "decision_date", "source", "late", "quantity", "deep_exit_line"], close_raw=7)
 
 
 view("base_exit", """
