@@ -183,13 +183,13 @@ def _(m):
 
 @query("v06_merge_facts", """
 select k.sym as symbol, k.td::varchar as trade_date, case when k.v > 60 then 'insert' when k.v in (7, 9, 10) then 'update' else 'same' end as action,
-  round(case when k.v = 8 then k.close + 5e-7 else k.close end, 6) as close, 'CNY' as currency, k.v in (7, 9, 10) and k.v <= 60 as logged from vkept k
+  round(case when k.v = 8 then k.close + 5e-7 else k.close end, 8) as close, 'CNY' as currency, k.v in (7, 9, 10) and k.v <= 60 as logged from vkept k
 union all select 'GONE', '2001-01-01', 'keep', 1.0, 'CNY', false""")
 def _(m):
     kept, old = old_vendor(m)
     gone = old.agg(F.lit("GONE").alias("symbol"), F.lit("2001-01-01").cast("date").alias("trade_date"), F.lit(1.0).alias("close"), F.lit("CNY").alias("currency"))
     out = q.merge_facts(old.unionByName(gone), kept.select("symbol", "trade_date", "close", "currency"), ["symbol", "trade_date"], ["close", "currency"], ("close",))
-    return out.select("symbol", "trade_date", "action", r("close", 6).alias("close"), "currency", F.col("old_value").isNotNull().alias("logged"))
+    return out.select("symbol", "trade_date", "action", r("close", 8).alias("close"), "currency", F.col("old_value").isNotNull().alias("logged"))
 
 
 @query("v07_append_revision", """
