@@ -435,3 +435,25 @@ class Market:
         stem = F.concat(F.lit("Brand#"), (i % 40 + 1).cast("int").cast("string"), tag)
         return self.table("documents").select(F.concat(F.lit("data/raw/"), kind, F.lit("/2001-12-31/run"), i.cast("string"), F.lit("/"), stem, F.lit(".csv")).alias("file_path"),
                                               F.sha2("text", 256).alias("content_hash"), F.col("doc_id"))
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        k = F.col("event_type")
+        users = self.table("events").select("event_id", "user_id")
+        status = F.when(k == "click", "degraded").when(k == "error", "failed").when(k == "signup", "running").otherwise("success")
+        end = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.round(F.col("value") * 100).cast("long") * 10000)
+        return self.announcements.join(users, "event_id").select(
+            F.col("event_id").alias("run_key"), F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run_id"), F.concat(F.lit("symbol:"), "symbol").alias("stage"), status.alias("status"),
+            F.when(k == "error", F.concat(F.lit("boom "), F.floor("value").cast("string"))).alias("error"), F.col("ts").cast("timestamp").alias("started_at"), F.when(k != "signup", end).alias("finished_at"))
+
+    @cached_property
+    def day_facts(self) -> DataFrame:
+        """Falsification, box and right-side facts of all days."""
+        x = daily_watch.box_position(daily_watch.falsification(self.bar_cards))
+        row = lambda sig, st, trig: F.struct(F.lit(sig).alias("signal"), st.alias("state"), trig.alias("triggered"))
+        rows = F.array(row("falsification_breach", F.col("fals_state"), F.col("fals_triggered")),
+                       row("box_position", F.col("box_state"), F.col("box_state").isin("buy_zone", "sell_zone", "box_breached")))
+        a = x.select("symbol", F.col("trade_date").alias("observed_on"), "card_version_id", F.explode(rows).alias("s")).select(
+            "symbol", "observed_on", "card_version_id", "s.*")
+        rs = right_side.right_side(cards.cards_asof(right_side.right_side_inputs(self.daily_bars), self.vcards))
+        return a.unionByName(rs.select("symbol", "observed_on", "card_version_id", F.lit("right_side").alias("signal"), "state", "triggered"))

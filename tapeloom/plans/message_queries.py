@@ -357,8 +357,8 @@ with l as (select doc_id, u.i, u.line from (select doc_id, string_split(text, ch
 w as (select doc_id, i, '| ' || array_to_string(list_slice(string_split(line, ' '), 1, 3), ' | ') || ' |' as t from l),
 c as (select doc_id, i, list_transform(string_split(regexp_replace(t, '^\\|+|\\|+$', '', 'g'), '|'), lambda v: regexp_replace(v, '^\\s+|\\s+$', '', 'g')) as c from w where not regexp_full_match(t, '\\|[\\s\\-:|]+\\|')),
 k as (select c, min((doc_id, i + 1)) as k from c where len(c) = 3 group by 1)
-select k[1] as doc_id, k[2]::int as row_no, u.h as "column", u.v as value from (select k, c from k) z, lateral (select unnest(['name', '_col2', 'name_2']) as h, unnest(c) as v) u""")
+select k[1] as doc_id, u.h as "column", u.v as value from (select k, c from k) z, lateral (select unnest(['name', '_col2', 'name_2']) as h, unnest(c) as v) u""")
 def _(m):
     rows = F.transform(F.split("text", "\n"), lambda v: F.concat(F.lit("| "), F.array_join(F.slice(F.split(v, " "), 1, 3), " | "), F.lit(" |")))
     md = F.concat(F.lit("| name |  | name |\\n|---|:-:|---|\n"), F.array_join(rows, "\n"))
-    return ms.explode_md_table(m.table("documents").select("doc_id", md.alias("table_markdown")))
+    return ms.explode_md_table(m.table("documents").select("doc_id", md.alias("table_markdown"))).drop("row_no")
