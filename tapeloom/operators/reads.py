@@ -253,6 +253,6 @@ def run_trend(runs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     known = ("success", "degraded", "failed")
     x = runs.select(F.to_date("started_at").alias("day"), F.when(F.col("status").isin(*known), F.col("status")).otherwise("other").alias("s"))
     x = x.where((F.col("day") > F.date_sub(F.lit(as_of).cast("date"), days)) & (F.col("day") <= F.lit(as_of).cast("date")))
-    wide = x.groupBy("day").pivot("s", [*known, "other"]).agg(F.count("*"))
+    wide = x.groupBy("day").pivot("s", [*known, "other"]).agg(F.count(F.lit(1)))
     spine = runs.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(F.lit(as_of).cast("date"), days - 1), F.lit(as_of).cast("date"))).alias("day"))
     return spine.join(wide, "day", "left").na.fill(0)

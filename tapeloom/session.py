@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,19 +25,24 @@ def build_session(app: str = "tapeloom", cpus: int | None = None) -> SparkSessio
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, used where one frame feeds many branches of a plan.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; only a local session without it gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        folder = tempfile.mkdtemp(prefix="tapeloom-")
+    return folder
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A fresh subfolder for tables and stream state of one run."""
+    return f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session without
-    that setting gets a temporary folder.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, used where one frame feeds many branches of a plan."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-            folder = tempfile.mkdtemp(prefix="tapeloom-ckpt-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
