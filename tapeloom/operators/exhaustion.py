@@ -167,9 +167,9 @@ def recent(flag: Column, value: Column) -> Column:
     return F.max(F.when(flag, value)).over(w)
 
 
-def exhaustion_facts(weeks: DataFrame, bars: DataFrame, cal: DataFrame, ind: DataFrame) -> DataFrame:
-    """Five signal rows per completed week. An ended episode switches active signals off and caps active_until."""
-    tl = timeline(weeks, bars)
+def exhaustion_facts(tl: DataFrame, weeks: DataFrame, cal: DataFrame, ind: DataFrame) -> DataFrame:
+    """Five signal rows per completed week from the anchor timeline. An ended episode switches active signals off and
+    caps active_until."""
     x = episode_end(duration(no_new_low(dryup(tl))))
     x = x.join(divergence(weeks, ind).drop("week_end_date"), ["symbol", "idx"])
     x = x.join(projected_ends(indexed(weeks), cal).select("symbol", "idx", "until"), ["symbol", "idx"])

@@ -59,12 +59,15 @@ def surge_screen(docs: DataFrame, min_growth: float = 50.0) -> DataFrame:
     """
     company = F.trim(F.regexp_extract("title", r"^([^:：]+)[:：]", 1))
     x = docs.select(F.when(company != "", company).otherwise(F.col("title")).alias("company"), "doc_order", F.col("text").alias("raw"), normalise(F.col("text")).alias("norm"))
-    has = lambda p: F.col("raw").rlike(p)
+    # every pattern holds a Han character, so one cheap look spares texts without any the rest
+    x = x.withColumns({"han": F.col("raw").rlike(r"\p{IsHan}"), "mentions": F.contains("norm", F.lit(PROFIT_WORD))})
+    has = lambda p: F.col("han") & F.col("raw").rlike(p)
     wins = F.transform(profit_windows("norm"), growth_in)
+    pair = "struct<low:double,high:double>"
+    near = F.element_at(F.concat(F.filter(wins, lambda g: g.isNotNull()), F.array(F.lit(None).cast(pair))), 1)
     x = x.withColumns({
         **{f"k{i}": has(p) for i, p in enumerate(KEYWORD_GROUPS.values())}, "loss": has(LOSS_WORDS), "turn": has(TURN_WORDS),
-        "mentions": F.contains("norm", F.lit(PROFIT_WORD)), "near": F.element_at(F.concat(F.filter(wins, lambda g: g.isNotNull()), F.array(F.lit(None).cast("struct<low:double,high:double>"))), 1),
-        "any": growth_in(F.col("norm"))})
+        "near": F.when(F.col("mentions"), near), "any": F.when(F.col("han") & ~F.col("mentions"), growth_in(F.col("norm")))})
     first = lambda col: F.min_by(col, F.when(F.col(col).isNotNull(), F.col("doc_order")))
     g = x.groupBy("company").agg(*[F.max(f"k{i}").alias(f"k{i}") for i in range(len(KEYWORD_GROUPS))], F.max("loss").alias("loss"), F.max("turn").alias("turn"),
                                  F.max("mentions").alias("mentions"), first("near").alias("near"), first("any").alias("any"))

@@ -131,13 +131,13 @@ PRICE4 = dict(open=7, high=7, low=7, close=7, volume=4, amount=2)
 PRICE4_SQL = ", ".join(f"round({k}, {n}) as {k}" for k, n in PRICE4.items())
 
 
-@query("f08_adjusted_bars", f"select symbol, trade_date::varchar as trade_date, {PRICE4_SQL} from adj")
+@query("f08_adjusted_bars", f"select symbol, trade_date::varchar as trade_date, {PRICE4_SQL} from adj", shared=False)
 def _(m):
     return rounded(m.adj, ["symbol", "trade_date"], **PRICE4)
 
 
 @query("f09_weekly_bars", f"""
-select symbol, week_start_date::varchar as week_start_date, week_end_date::varchar as week_end_date, trading_days, {PRICE4_SQL} from weeks""")
+select symbol, week_start_date::varchar as week_start_date, week_end_date::varchar as week_end_date, trading_days, {PRICE4_SQL} from weeks""", shared=False)
 def _(m):
     return rounded(m.weeks, ["symbol", "week_start_date", "week_end_date", "trading_days"], **PRICE4)
 
@@ -159,29 +159,29 @@ MA_PLACES = {n: 6 if n <= 10 else 4 for n in MA_WINDOWS}
 KEY = "symbol, trade_date::varchar as trade_date"
 
 
-@query("i01_sma", f"select {KEY}, " + ", ".join(f"round({roll_sql('avg', 'close', n)}, {MA_PLACES[n]}) as ma{n}" for n in MA_WINDOWS) + " from adj")
+@query("i01_sma", f"select {KEY}, " + ", ".join(f"round({roll_sql('avg', 'close', n)}, {MA_PLACES[n]}) as ma{n}" for n in MA_WINDOWS) + " from adj", shared=False)
 def _(m):
     return rounded(indicators.sma(m.adj), ["symbol", "trade_date"], **{f"ma{n}": MA_PLACES[n] for n in MA_WINDOWS})
 
 
 @query("i02_ema", f"""
 select a.symbol, a.trade_date::varchar as trade_date, round(a.v, 4) as ema12, round(b.v, 4) as ema26
-from {ema_sql('adj', 'trade_date', 'close', 12)} a join {ema_sql('adj', 'trade_date', 'close', 26)} b using (symbol, trade_date)""")
+from {ema_sql('adj', 'trade_date', 'close', 12)} a join {ema_sql('adj', 'trade_date', 'close', 26)} b using (symbol, trade_date)""", shared=False)
 def _(m):
     return rounded(indicators.recursive_indicators(m.adj, extra_ema=(12, 26)), ["symbol", "trade_date"], ema12=4, ema26=4)
 
 
-@query("i03_rolling_std", f"select {KEY}, round({roll_sql('stddev_pop', 'close', 20)}, 4) as std20, round({roll_sql('stddev_pop', 'close', 60)}, 4) as std60 from adj")
+@query("i03_rolling_std", f"select {KEY}, round({roll_sql('stddev_pop', 'close', 20)}, 4) as std20, round({roll_sql('stddev_pop', 'close', 60)}, 4) as std60 from adj", shared=False)
 def _(m):
     return rounded(indicators.rolling_std(m.adj), ["symbol", "trade_date"], std20=4, std60=4)
 
 
-@query("i04_hist_mean", f"select {KEY}, round({roll_sql('avg', 'volume', 20, 1)}, 6) as vol_base20 from adj")
+@query("i04_hist_mean", f"select {KEY}, round({roll_sql('avg', 'volume', 20, 1)}, 6) as vol_base20 from adj", shared=False)
 def _(m):
     return rounded(indicators.hist_mean(m.adj, "volume", 20, name="vol_base20"), ["symbol", "trade_date"], vol_base20=6)
 
 
-@query("i05_macd", f"select {KEY}, round(dif, 4) as dif, round(dea, 4) as dea, round(2*(dif - dea), 4) as macd_hist from macd_d")
+@query("i05_macd", f"select {KEY}, round(dif, 4) as dif, round(dea, 4) as dea, round(2*(dif - dea), 4) as macd_hist from macd_d", shared=False)
 def _(m):
     return rounded(indicators.recursive_indicators(m.adj), ["symbol", "trade_date"], dif=4, dea=4, macd_hist=4)
 
@@ -190,14 +190,14 @@ def _(m):
 select symbol, trade_date::varchar as trade_date, round(g, 4) as rma_gain, round(l, 4) as rma_loss from (
   select a.symbol, a.trade_date, a.i, sum(b.up * case when b.i <= 14 then pow(13/14.0, a.i - 14) / 14 else pow(13/14.0, a.i - b.i) / 14 end) as g,
     sum(b.down * case when b.i <= 14 then pow(13/14.0, a.i - 14) / 14 else pow(13/14.0, a.i - b.i) / 14 end) as l
-  from steps_d a join steps_d b on a.symbol = b.symbol and b.i >= 1 and b.i <= a.i where a.i >= 14 group by 1, 2, 3) x""")
+  from steps_d a join steps_d b on a.symbol = b.symbol and b.i >= 1 and b.i <= a.i where a.i >= 14 group by 1, 2, 3) x""", shared=False)
 def _(m):
     return rounded(indicators.wilder_rma(m.adj, 14).where("rma_gain is not null"), ["symbol", "trade_date"], rma_gain=4, rma_loss=4)
 
 
 @query("i07_rsi", f"""
 select {KEY}, round(rsi6, 4) as rsi6, round(rsi12, 4) as rsi12, round(rsi24, 4) as rsi24 from adj
-left join rsi6_d using (symbol, trade_date, i) left join rsi12_d using (symbol, trade_date, i) left join rsi24_d using (symbol, trade_date, i)""")
+left join rsi6_d using (symbol, trade_date, i) left join rsi12_d using (symbol, trade_date, i) left join rsi24_d using (symbol, trade_date, i)""", shared=False)
 def _(m):
     return rounded(indicators.recursive_indicators(m.adj), ["symbol", "trade_date"], rsi6=4, rsi12=4, rsi24=4)
 
@@ -207,7 +207,7 @@ BOLL_SQL = f"select *, {roll_sql('avg', 'close', 20)} as mid, {roll_sql('stddev_
 
 @query("i08_boll", f"""
 select {KEY}, round(mid, 4) as boll_mid, round(mid + 2*sd, 4) as boll_upper, round(mid - 2*sd, 4) as boll_lower,
-  round(((mid + 2*sd) - (mid - 2*sd))/mid, 6) as boll_bandwidth from ({BOLL_SQL}) x""")
+  round(((mid + 2*sd) - (mid - 2*sd))/mid, 6) as boll_bandwidth from ({BOLL_SQL}) x""", shared=False)
 def _(m):
     return rounded(indicators.boll(m.adj), ["symbol", "trade_date"], boll_mid=4, boll_upper=4, boll_lower=4, boll_bandwidth=6)
 
@@ -217,7 +217,7 @@ select a.symbol, a.trade_date::varchar as trade_date, round(k, 4) as kdj_k, roun
   select symbol, trade_date, case when i >= 8 then coalesce(last_value(k ignore nulls) over w, 50.0) end as k,
     case when i >= 8 then coalesce(last_value(d ignore nulls) over w, 50.0) end as d
   from adj left join kd_d using (symbol, trade_date)
-  window w as (partition by symbol order by trade_date rows between unbounded preceding and current row)) a""")
+  window w as (partition by symbol order by trade_date rows between unbounded preceding and current row)) a""", shared=False)
 def _(m):
     return rounded(indicators.recursive_indicators(m.adj), ["symbol", "trade_date"], kdj_k=4, kdj_d=4, kdj_j=4)
 
@@ -228,7 +228,7 @@ VOL_COLS = {"vol_ma5": ("avg", "volume", 5, 4), "vol_ma10": ("avg", "volume", 10
 VOL_SQL = ", ".join(f"round({roll_sql(fn, col, n)}, {d}) as {k}" for k, (fn, col, n, d) in VOL_COLS.items())
 
 
-@query("i10_volume_stats", f"select {KEY}, {VOL_SQL} from adj")
+@query("i10_volume_stats", f"select {KEY}, {VOL_SQL} from adj", shared=False)
 def _(m):
     return rounded(indicators.volume_stats(m.adj), ["symbol", "trade_date"], **{k: v[3] for k, v in VOL_COLS.items()})
 
@@ -237,7 +237,7 @@ CHG_SQL = """round((close/lag(close) over (partition by symbol order by trade_da
   round((high - low)/lag(close) over (partition by symbol order by trade_date)*100, 6) as amplitude"""
 
 
-@query("i11_change_amp", f"select {KEY}, {CHG_SQL} from adj")
+@query("i11_change_amp", f"select {KEY}, {CHG_SQL} from adj", shared=False)
 def _(m):
     return rounded(indicators.change_amp(m.adj), ["symbol", "trade_date"], pct_chg=6, amplitude=6)
 

@@ -70,7 +70,7 @@ def _(m):
 
 
 @query("r01_right_side_inputs", """
-select symbol, trade_date::varchar as trade_date, round(volume_adj, 4) as volume_adj, round(vol_base, 6) as vol_base from rs_in_h""")
+select symbol, trade_date::varchar as trade_date, round(volume_adj, 4) as volume_adj, round(vol_base, 6) as vol_base from rs_in_h""", shared=False)
 def _(m):
     return rounded(rs.right_side_inputs(m.bars_h), ["symbol", "trade_date"], volume_adj=4, vol_base=6)
 
@@ -85,25 +85,25 @@ def _(m):
     return rs.right_side(cards.cards_asof(rs.right_side_inputs(m.bars_h), m.vcards), m.open_freezes)
 
 
-@query("u01_breakdown", "select symbol, trade_date::varchar as trade_date, bd as breakdown_reason from acc_days")
+@query("u01_breakdown", "select symbol, trade_date::varchar as trade_date, bd as breakdown_reason from acc_days", shared=False)
 def _(m):
     return accumulation.breakdown(accumulation.inputs(m.daily_bars)).select("symbol", "trade_date", "breakdown_reason")
 
 
 @query("u02_consolidation", """
 select symbol, day::varchar as observed_on, reason, round(b0, 7) as box_low, round(b1, 7) as box_high from acc_scan
-where st in ('watching', 'consolidating') and reason in ('consolidation_confirmed', 'condition_not_met', 'missing_ma')""")
+where st in ('watching', 'consolidating') and reason in ('consolidation_confirmed', 'condition_not_met', 'missing_ma')""", shared=False)
 def _(m):
     return rounded(accumulation.consolidation(m.daily_bars), ["symbol", "observed_on", "reason"], box_low=7, box_high=7)
 
 
-@query("u03_probe", "select symbol, trade_date::varchar as trade_date, is_probe from acc_days")
+@query("u03_probe", "select symbol, trade_date::varchar as trade_date, is_probe from acc_days", shared=False)
 def _(m):
     return accumulation.probe(accumulation.inputs(m.daily_bars)).select("symbol", "trade_date", "is_probe")
 
 
 @query("u04_accumulation", """
-select symbol, day::varchar as observed_on, st as state, trig as triggered, reason, probes as probe_count, round(b0, 7) as box_low, round(b1, 7) as box_high from acc_scan""")
+select symbol, day::varchar as observed_on, st as state, trig as triggered, reason, probes as probe_count, round(b0, 7) as box_low, round(b1, 7) as box_high from acc_scan""", shared=False)
 def _(m):
     return rounded(accumulation.accumulation(m.daily_bars), ["symbol", "observed_on", "state", "triggered", "reason", "probe_count"], box_low=7, box_high=7)
 

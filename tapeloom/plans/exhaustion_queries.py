@@ -23,20 +23,20 @@ def _(m):
 
 @query("c02_chip_series", """
 select symbol, trade_date::varchar as trade_date, round(case when c < m0 then cum0 else winner_ratio end, 6) as winner_ratio,
-  round(avg_cost_adj, 4) as avg_cost_adj, round(c5, 4) as cost_5_adj, round(c95, 4) as cost_95_adj from chip_out""")
+  round(avg_cost_adj, 4) as avg_cost_adj, round(c5, 4) as cost_5_adj, round(c95, 4) as cost_95_adj from chip_out""", shared=False)
 def _(m):
     return rounded(chips.chip_series(m.daily_bars, BINS), ["symbol", "trade_date"], winner_ratio=6, avg_cost_adj=4, cost_5_adj=4, cost_95_adj=4)
 
 
 @query("c03_chip_outputs", """
 select symbol, trade_date::varchar as trade_date, round(avg_cost_adj/f, 4) as avg_cost, round(c5/f, 4) as cost_5, round(c95/f, 4) as cost_95,
-  round((c95 - c5)/(c95 + c5), 6) as concentration_90, case when i <= 90 then 'burn_in' else 'mature' end as estimation_status from chip_out""")
+  round((c95 - c5)/(c95 + c5), 6) as concentration_90, case when i <= 90 then 'burn_in' else 'mature' end as estimation_status from chip_out""", shared=False)
 def _(m):
     return rounded(chips.chip_series(m.daily_bars, BINS), ["symbol", "trade_date", "estimation_status"],
                    avg_cost=4, cost_5=4, cost_95=4, concentration_90=6)
 
 
-@query("c02_chip_series_full_grid")
+@query("c02_chip_series_full_grid", shared=False)
 def _(m):
     cols = dict(winner_ratio=6, avg_cost_adj=4, cost_5_adj=4, cost_95_adj=4, concentration_90=6, avg_cost=4, cost_5=4, cost_95=4)
     return rounded(chips.chip_series(m.daily_bars), ["symbol", "trade_date", "estimation_status"], **cols)

@@ -15,8 +15,10 @@ from tapeloom.session import cut_lineage
 
 
 class Market:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, shared: bool = True):
+        """``shared`` writes the daily bars once as a table: jobs that use them in several branches then scan the
+        ticks once. A single-branch job is better off without."""
+        self.spark, self.dir, self.shared = spark, sf_dir, shared
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -33,9 +35,11 @@ class Market:
 
     @cached_property
     def bars0(self) -> DataFrame:
-        return self.ticks.groupBy("symbol", "trade_date").agg(
+        """At most one row per symbol and open day, however many ticks: combined map-side before the shuffle."""
+        bars = self.ticks.groupBy("symbol", "trade_date").agg(
             F.min_by("px", "seq").alias("open_raw"), F.max("px").alias("high_raw"), F.min("px").alias("low_raw"),
             F.max_by("px", "seq").alias("close_raw"), F.sum("qty").alias("volume_raw"), F.sum("amt").alias("amount_raw"))
+        return cut_lineage(bars) if self.shared else bars
 
     @cached_property
     def daily_bars(self) -> DataFrame:
@@ -49,8 +53,11 @@ class Market:
 
     @cached_property
     def trading_calendar(self) -> DataFrame:
-        li = self.table("lineitem").where(F.weekday("l_shipdate") < 5)
-        days = li.select(F.to_date("l_shipdate").alias("trade_date")).distinct()
+        if self.shared:
+            days = self.bars0.select("trade_date").distinct()
+        else:
+            li = self.table("lineitem").where(F.weekday("l_shipdate") < 5)
+            days = li.select(F.to_date("l_shipdate").alias("trade_date")).distinct()
         return timeops.trading_ordinals(days.select(F.lit("CN").alias("market"), "trade_date", F.lit(True).alias("is_open")))
 
     @cached_property
@@ -64,7 +71,8 @@ class Market:
 
     @cached_property
     def weeks(self) -> DataFrame:
-        return weekly.weekly_bars(self.daily_bars, self.trading_calendar)
+        w = weekly.weekly_bars(self.daily_bars, self.trading_calendar)
+        return cut_lineage(w) if self.shared else w
 
     @cached_property
     def reports(self) -> DataFrame:
@@ -190,10 +198,13 @@ class Market:
 
     @cached_property
     def weekly_facts(self) -> DataFrame:
-        """Exhaustion facts; the week frame feeds several branches, so its lineage is cut once."""
-        w = cut_lineage(self.weeks)
-        return exhaustion.exhaustion_facts(w, self.daily_bars, self.trading_calendar,
-                                           indicators.recursive_indicators(w, "week_end_date"))
+        ind = indicators.recursive_indicators(self.weeks, "week_end_date")
+        return cut_lineage(exhaustion.exhaustion_facts(self.timeline, self.weeks, self.trading_calendar, ind))
+
+    @cached_property
+    def timeline(self) -> DataFrame:
+        """Anchors of every week; a table of its own between weeks and facts, so that each plan stays small."""
+        return cut_lineage(exhaustion.timeline(self.weeks, self.daily_bars))
 
     # ------------------------------------------------------------------ reports and shares
 
@@ -392,7 +403,7 @@ class Market:
 
     @cached_property
     def anchor_rows(self) -> DataFrame:
-        return exhaustion.anchor_ids(exhaustion.timeline(self.weeks, self.daily_bars))
+        return exhaustion.anchor_ids(self.timeline)
 
     # ------------------------------------------------------------------ vendor files (text columns, as read from CSV)
 

@@ -73,7 +73,7 @@ with i as (select trade_date as d, round(close, 4) as c from index_bars)
 select 'a' as vendor, '000300.SH' as index_code, d::varchar as trade_date, 'ok' as outcome, null as reason, c as close from i
 union all select 'b', '000300.SH', d::varchar, case when c < 1500 then 'skip' else 'ok' end, case when c < 1500 then 'ohlc_order' end, c from i
 union all select 'k', '000300.SH', d::varchar, case when c > 9000 then 'conflict' else 'ok' end, case when c > 9000 then 'not_an_index' end, c from i
-union all select 'u', '000300.SH', d::varchar, 'ok', null, c from i""")
+union all select 'u', '000300.SH', d::varchar, 'ok', null, c from i""", shared=False)
 def _(m):
     c = F.round("close", 4).cast("decimal(18,4)").cast("string")
     base = m.index_bars.select(F.lit("f.csv").alias("file_path"), "trade_date", c.alias("c"), F.col("close").alias("_x"))
@@ -93,7 +93,7 @@ def _(m):
 @query("s09_parse_fx", """
 with i as (select trade_date as d, round(close, 4) as c from index_bars)
 select 'HKD' as from_currency, 'CNY' as to_currency, d::varchar as rate_date, case when c < 1500 then 'skip' when c > 9000 then 'conflict' else 'ok' end as outcome,
-  case when c < 1500 then 'missing_close' when c > 9000 then 'not_positive' end as reason, case when c between 1500 and 9000 then round(1/c, 9) end as rate from i""")
+  case when c < 1500 then 'missing_close' when c > 9000 then 'not_positive' end as reason, case when c between 1500 and 9000 then round(1/c, 9) end as rate from i""", shared=False)
 def _(m):
     x = F.round("close", 4)
     at = F.date_format(F.col("trade_date").cast("timestamp") - F.expr("interval 8 hours"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
@@ -116,7 +116,7 @@ def _(m):
 
 
 @query("s34_normalise_units", """
-select sym as symbol, td::varchar as trade_date, (v * 100)::bigint as volume, (amount)::bigint as amount, round(turnover, 6) as turnover from (select *, floor(amount) as amount from vendor) x""".replace("select *, floor(amount) as amount", "select * replace (floor(amount) as amount)"))
+select sym as symbol, td::varchar as trade_date, (v * 100)::bigint as volume, (amount)::bigint as amount, round(turnover, 6) as turnover from (select *, floor(amount) as amount from vendor) x""".replace("select *, floor(amount) as amount", "select * replace (floor(amount) as amount)"), shared=False)
 def _(m):
     yi = (F.floor(F.col("amount").cast("double")).cast("decimal(18,0)") / F.lit(100000000).cast("decimal(18,0)")).cast("decimal(28,8)").cast("string")
     raw = m.vendor.select(F.col("thscode").alias("symbol"), F.col("td").alias("trade_date"), F.col("volume").alias("volume_lots"), yi.alias("amount_yi"),
@@ -130,7 +130,7 @@ def gated(m):
     return prices.parse_price_a(m.vendor_files("stock_finance_data", "price"), m.full_cal)
 
 
-@query("v01_validate_ohlc", "select sym as symbol, td::varchar as trade_date, bar_reason as reason from vgate")
+@query("v01_validate_ohlc", "select sym as symbol, td::varchar as trade_date, bar_reason as reason from vgate", shared=False)
 def _(m):
     x = m.vendor.select(F.col("thscode").alias("symbol"), F.col("td").alias("trade_date"), *[q.clean_num(k).alias(k) for k in prices.BAR_COLS])
     return q.validate_ohlc(x).select("symbol", "trade_date", "reason")
@@ -208,13 +208,13 @@ def _(m):
 
 @query("v08_inherit_factor", """
 select symbol, trade_date::varchar as trade_date, coalesce(last_value(case when volume_raw > 20 then price_adj_factor end ignore nulls) over (partition by symbol order by trade_date rows between unbounded preceding and current row), 1.0) as price_adj_factor,
-  coalesce(last_value(case when volume_raw > 20 then share_factor end ignore nulls) over (partition by symbol order by trade_date rows between unbounded preceding and current row), 1.0) as share_factor from daily_bars""")
+  coalesce(last_value(case when volume_raw > 20 then share_factor end ignore nulls) over (partition by symbol order by trade_date rows between unbounded preceding and current row), 1.0) as share_factor from daily_bars""", shared=False)
 def _(m):
     x = m.daily_bars.withColumns({k: F.when(F.col("volume_raw") > 20, F.col(k)) for k in ("price_adj_factor", "share_factor")})
     return adjust.inherit_factor(x).select("symbol", "trade_date", "price_adj_factor", "share_factor")
 
 
-@query("v09_symbols", "select distinct sym as symbol, market, case market when 'HK' then 'Asia/Hong_Kong' else 'Asia/Shanghai' end as tz from vendor")
+@query("v09_symbols", "select distinct sym as symbol, market, case market when 'HK' then 'Asia/Hong_Kong' else 'Asia/Shanghai' end as tz from vendor", shared=False)
 def _(m):
     s = q.to_symbol("code", "setcode")
     return m.vendor.select(s.alias("symbol"), q.market_of(s).alias("market"), q.tz_of(q.market_of(s)).alias("tz")).distinct()

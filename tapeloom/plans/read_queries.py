@@ -15,7 +15,7 @@ BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 with x as (select *, {roll_sql('avg', 'close', 20)} as ma20, {roll_sql('avg', 'close', 60)} as ma60, {CHG_SQL} from adj),
 b as (select symbol, trade_date, mid + 2*sd as up, mid - 2*sd as lo from ({BOLL_SQL}) y)
 select symbol, trade_date::varchar as trade_date, round(close, 7) as close, round(ma20, 4) as ma20, round(ma60, 4) as ma60, pct_chg, round(up, 4) as boll_upper, round(lo, 4) as boll_lower
-from x join b using (symbol, trade_date) qualify row_number() over (partition by symbol order by trade_date desc) = 1""")
+from x join b using (symbol, trade_date) qualify row_number() over (partition by symbol order by trade_date desc) = 1""", shared=False)
 def _(m):
     x = indicators.change_amp(indicators.boll(indicators.sma(m.adj, windows=(20, 60))))
     cols = ["trade_date", "close", "ma20", "ma60", "pct_chg", "boll_upper", "boll_lower"]
@@ -109,13 +109,13 @@ BARS = dict(open=7, high=7, low=7, close=7, volume=4, amount=2)
 
 @query("q06_bars_daily", """
 select symbol, trade_date::varchar as trade_date, round(open, 7) as open, round(high, 7) as high, round(low, 7) as low, round(close, 7) as close, round(volume, 4) as volume, round(amount, 2) as amount
-from adj where trade_date between date '1996-01-01' and date '2000-12-31'""")
+from adj where trade_date between date '1996-01-01' and date '2000-12-31'""", shared=False)
 def _(m):
     return rounded(reads.bars_view(m.daily_bars, "fully_adjusted", "1996-01-01", "2000-12-31"), ["symbol", "trade_date"], **BARS)
 
 
 @query("q06_bars_raw", """
-select symbol, trade_date::varchar as trade_date, round(open_raw, 7) as open, round(high_raw, 7) as high, round(low_raw, 7) as low, round(close_raw, 7) as close, volume_raw as volume, round(amount_raw, 2) as amount from daily_bars""")
+select symbol, trade_date::varchar as trade_date, round(open_raw, 7) as open, round(high_raw, 7) as high, round(low_raw, 7) as low, round(close_raw, 7) as close, volume_raw as volume, round(amount_raw, 2) as amount from daily_bars""", shared=False)
 def _(m):
     return rounded(reads.bars_view(m.daily_bars), ["symbol", "trade_date"], **BARS)
 
@@ -136,7 +136,7 @@ WIDE = lambda field, col: ", ".join(f"max(case when symbol = '{b}' then {col} en
 
 @query("q08_align", f"""
 with l as (select symbol, trade_date, 'ma20' as field, round(ma20, 4) as value from ind_small union all select symbol, trade_date, 'vol_ma5', round(vol_ma5, 4) from ind_small)
-select field, trade_date::varchar as trade_date, {WIDE('', 'value')} from l where value is not null group by 1, 2""")
+select field, trade_date::varchar as trade_date, {WIDE('', 'value')} from l where value is not null group by 1, 2""", shared=False)
 def _(m):
     ind = rounded(indicators.volume_stats(indicators.sma(m.adj, windows=(20,))), ["symbol", "trade_date"], ma20=4, vol_ma5=4)
     return reads.align(ind, ["ma20", "vol_ma5"], BRANDS)

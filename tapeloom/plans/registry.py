@@ -34,10 +34,11 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, shared: bool = True):
+    """Register a query. ``shared=False`` is for those that use the daily bars in one branch only."""
     def wrap(fn):
         assert name not in QUERIES, name
-        QUERIES[name] = lambda spark, sf_dir: plain(fn(Market(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: plain(fn(Market(spark, sf_dir, shared)))
         if sql is not None:
             CHECKS[name] = sql
         return fn

@@ -21,7 +21,7 @@ view("scores", "select symbol, trade_date, case when n >= 3 and greatest(s_momen
 
 
 @query("b01_symbol_factors", """
-select symbol, trade_date::varchar as trade_date, round(momentum, 6) as momentum, round(volatility, 6) as volatility, round(liquidity, 4) as liquidity from fac""")
+select symbol, trade_date::varchar as trade_date, round(momentum, 6) as momentum, round(volatility, 6) as volatility, round(liquidity, 4) as liquidity from fac""", shared=False)
 def _(m):
     return rounded(cs.symbol_factors(m.adj), ["symbol", "trade_date"], momentum=6, volatility=6, liquidity=4)
 
@@ -77,7 +77,7 @@ def _(m):
 with x as (select symbol, trade_date, i, case when ma20 is not null then case when ma5 > ma20 then 0.95 when ma5 < ma20 then 0.0 end end as want from acc_in),
 p as (select *, coalesce(last_value(want ignore nulls) over (partition by symbol order by i rows between unbounded preceding and current row), 0.0) as position from x),
 q as (select *, coalesce(lag(position) over (partition by symbol order by i), 0.0) as b from p)
-select symbol, trade_date::varchar as trade_date, position::double as position, case when position > b then 'enter' when position < b then 'exit' end as action from q""")
+select symbol, trade_date::varchar as trade_date, position::double as position, case when position > b then 'enter' when position < b then 'exit' end as action from q""", shared=False)
 def _(m):
     return cs.dual_ma_signal(m.adj)
 
@@ -92,7 +92,7 @@ def _(m):
 
 @query("b09_period_return", """
 select index_code, count(*) as n, round((arg_max(close, trade_date)/arg_min(close, trade_date) - 1)*100, 6) as return_pct from index_bars
-where trade_date between date '1997-01-01' and date '2000-12-31' group by 1""")
+where trade_date between date '1997-01-01' and date '2000-12-31' group by 1""", shared=False)
 def _(m):
     return rounded(cs.period_return(m.index_bars, "1997-01-01", "2000-12-31"), ["index_code", "n"], return_pct=6)
 

@@ -41,8 +41,11 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, used where one frame feeds many branches of a plan."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Write a frame that feeds several branches as a table in the shared folder and read it back.
+
+    Later plans start from the table: its size is known, columns prune, and a lost executor re-reads a file
+    instead of recomputing what led to it.
+    """
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
