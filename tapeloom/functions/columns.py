@@ -1,7 +1,7 @@
 """Small column helpers shared by the operators."""
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DEC = "decimal(38,10)"
 
@@ -50,3 +50,10 @@ def week_of(d) -> Column:
 
 def short_hash(*cols, n: int = 16) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[c(x) for x in cols]), 256), 1, n)
+
+
+def broadcast_checked(df: DataFrame, max_rows: int = 200_000, max_chars: int = 32_000_000) -> DataFrame:
+    """Broadcast a table of text terms when its rows and characters are counted to be few; else leave the plan to Spark."""
+    size = F.coalesce(F.sum(sum((F.length(x) for x in df.columns), F.lit(0))), F.lit(0))
+    n, chars = df.limit(max_rows + 1).agg(F.count("*"), size).first()
+    return F.broadcast(df) if n <= max_rows and chars <= max_chars else df

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tapeloom.functions.columns import broadcast_checked
+
 # fixed values: keywords that decide the scope of a message
 MACRO_WORDS = ("降准", "降息", "加息", "MLF", "LPR", "逆回购", "存款准备金", "美联储", "FOMC", "CPI", "PPI", "社融", "汇率", "国债")
 POLICY_WORDS = ("发改委", "财政部", "央行", "证监会", "国资委", "工信部", "商务部", "住建部", "国务院", "集采", "征税", "关税")
@@ -21,7 +23,6 @@ DIRECTION_CN = {"positive": "利好", "negative": "利空", "neutral": "中性"}
 MATERIALITY_CN = {"low": "轻微", "medium": "一般", "high": "重大", "critical": "关键"}
 STATUS_CN = {"ok": "已过审", "needs_review": "待人审"}
 EVENT_LEVEL = "__event__"
-TERM_TABLE_LIMIT = 200_000
 
 
 # --------------------------------------------------------------------------- event study
@@ -118,9 +119,7 @@ def term_pairs(texts: DataFrame, terms: DataFrame) -> DataFrame:
     A pattern join has no equi key. Terms are a curated table: when it is checked to be small it is broadcast
     and every text is scanned where it lies; otherwise Spark plans the nested loop itself.
     """
-    t = terms.select("term").distinct()
-    if t.limit(TERM_TABLE_LIMIT + 1).count() <= TERM_TABLE_LIMIT:
-        t = F.broadcast(t)
+    t = broadcast_checked(terms.select("term").distinct())
     pattern = F.concat(F.lit("\\Q"), F.col("term"), F.lit("\\E(?![周节])"))
     return texts.join(t, F.contains("text", "term") & F.rlike("text", pattern)).select("event_id", "term")
 

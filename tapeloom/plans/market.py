@@ -294,7 +294,7 @@ class Market:
     def news(self) -> DataFrame:
         titles = ("央行降准落地", "财政部公布新规", "黄金周消费回暖", "国务院谈国际黄金价格", "美联储表态后电解铜库存下降", "商务部调研白酒企业")
         title = F.element_at(F.array(*[F.lit(t) for t in titles]), (F.col("doc_id") % 6 + 1).cast("int"))
-        when = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600)
+        when = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("doc_id").cast("int"))
         kind = F.when(F.col("lang") == "fr", "announcement").when(F.col("lang") == "de", "flow").otherwise("news")
         return self.table("documents").select(
             F.col("doc_id").alias("event_id"), kind.alias("event_type"), title.alias("title"), F.col("text").alias("summary"),

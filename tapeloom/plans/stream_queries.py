@@ -25,12 +25,12 @@ def _(m):
     """Two deliveries: all events, then corrected clicks; the second run sees only the new file."""
     folder = work_folder(m.spark)
     e = m.table("events").select("event_id", "event_type", "value", F.lit(1).alias("delivery"))
-    args = (m.spark, f"{folder}/in", e.schema, f"{folder}/facts", f"{folder}/check", ["event_id"], ["event_type", "value"], "delivery", ("value",))
+    args = (m.spark, f"{folder}/in", e.schema, f"{folder}/facts", f"{folder}/check", ["event_id"], ["event_type", "value"], "delivery")
     e.write.mode("append").parquet(f"{folder}/in")
     live.ingest(*args)
     e.where("event_type = 'click'").select("event_id", "event_type", (F.col("value") + 1).alias("value"), F.lit(2).alias("delivery")).write.mode("append").parquet(f"{folder}/in")
     live.ingest(*args)
-    return rounded(live.latest_version(m.spark, f"{folder}/facts"), ["event_id", "event_type"], value=2)
+    return rounded(live.current(m.spark, f"{folder}/facts", ["event_id"], ["event_type", "value"]), ["event_id", "event_type"], value=2)
 
 
 @query("st2_dedup_news", "select distinct event_id // 3 as ext_id, event_type from events")

@@ -3,11 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tapeloom.functions.columns import broadcast_checked
 from tapeloom.session import cut_lineage
 from tapeloom.operators.quality import clean_num, local_midnight_utc, market_of, next_open, text, to_symbol, tz_of
 
 SUMMARY_CHARS = 120  # fixed value: length of the summary a message without one gets
-TERM_TABLE_LIMIT = 200_000
 # fixed values: column names under which vendors deliver a field, in order of preference
 ALIASES = {"date": ("reportdate", "time", "date", "announcement_date", "公告日期"), "title": ("reporttitle", "title", "announcement_title", "公告标题"),
            "url": ("pdfurl", "url", "pdf_url", "announcement_url", "公告链接"), "seq": ("seq", "sequence", "announcement_id", "id", "公告序号"),
@@ -109,9 +109,7 @@ def match_entities(news: DataFrame, watch: DataFrame) -> DataFrame:
     texts = news.select("event_id", t.alias("text"))
     codes = texts.select("event_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?<![0-9A-Za-z_])(\d{6}\.(?:SH|SZ|BJ|HK))(?![0-9A-Za-z_])"), F.lit(1))).alias("symbol"))
     terms = watch.where("active").select("symbol", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("term")).where("term <> ''")
-    distinct = terms.select("term").distinct()
-    if distinct.limit(TERM_TABLE_LIMIT + 1).count() <= TERM_TABLE_LIMIT:
-        distinct = F.broadcast(distinct)
+    distinct = broadcast_checked(terms.select("term").distinct())
     named = texts.join(distinct, F.contains("text", "term")).select("event_id", "term").join(terms, "term").select("event_id", "symbol")
     return codes.unionByName(named).distinct()
 
@@ -122,9 +120,12 @@ def yi(col: str) -> Column:
 
 def flow_lhb(df: DataFrame) -> DataFrame:
     """One event per symbol and day: reasons joined in order of appearance, values of the first row."""
-    x = df.where("symbol is not null and trade_date is not null").groupBy("symbol", "trade_date").agg(
-        F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "reason"))), lambda v: v["reason"])), "；").alias("reasons"),
-        F.min_by(F.struct("net_buy", "net_buy_ratio", "pct_chg"), "row_no").alias("f"))
+    val = F.struct("net_buy", "net_buy_ratio", "pct_chg")
+    one = df.where("symbol is not null and trade_date is not null").groupBy("symbol", "trade_date", "reason").agg(
+        F.min("row_no").alias("row_no"), F.min_by(val, "row_no").alias("f"))  # one row per reason from here on
+    x = one.groupBy("symbol", "trade_date").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "reason"))), lambda v: v["reason"]), "；").alias("reasons"),
+        F.min_by("f", "row_no").alias("f"))
     ext = F.concat_ws(":", F.lit("lhb"), "symbol", F.col("trade_date").cast("string"))
     buy = F.col("f.net_buy")
     side = F.when(F.startswith(buy, F.lit("-")), "净卖出").otherwise("净买入")

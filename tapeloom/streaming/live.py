@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tapeloom.operators.quality import merge_facts
 from tapeloom.operators.right_side import RIGHT_SCHEMA, step
 
 
@@ -20,46 +19,28 @@ def run_available(writer, checkpoint: str) -> None:
 
 # --------------------------------------------------------------------------- incremental ingest
 
-def latest_version(spark: SparkSession, target: str) -> DataFrame | None:
-    """Newest complete version of a merged table."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    done = [s.getPath().getName() for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    versions = sorted(int(n.split("=")[1]) for n in done if n.startswith("version="))
-    return spark.read.parquet(f"{target}/version={versions[-1]}") if versions else None
+def append_batch(target: str, key: list[str], values: list[str], order: str):
+    """foreachBatch function: the newest row per key of the batch becomes one part of the table.
 
-
-def merge_batch(target: str, key: list[str], values: list[str], order: str, numeric: tuple[str, ...] = ()):
-    """foreachBatch function: newest row per key of the batch, merged into the table as a new version.
-
-    Versions are named by batch, so a batch that is run again after a failure writes the same version over.
+    A batch costs what it delivers, however large the table is. Parts are named by batch, so a batch that runs
+    again after a failure writes the same part over.
     """
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+    def write(batch: DataFrame, batch_id: int) -> None:
         new = batch.groupBy(*key).agg(F.max_by(F.struct(*values), order).alias("_v")).select(*key, "_v.*")
-        out = f"{target}/version={batch_id}"
-        cur = _before(spark, target, batch_id)
-        if cur is not None:
-            new = merge_facts(cur, new, key, values, numeric).select(*key, *values)
-        new.write.mode("overwrite").parquet(out)
-    return merge
+        new.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+    return write
 
 
-def _before(spark: SparkSession, target: str, batch_id: int) -> DataFrame | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    for v in range(batch_id - 1, -1, -1):
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/version={v}/_SUCCESS")):
-            return spark.read.parquet(f"{target}/version={v}")
-    return None
+def current(spark: SparkSession, target: str, key: list[str], values: list[str]) -> DataFrame:
+    """Rows in force: per key those of the newest part that has it."""
+    parts = spark.read.option("basePath", target).parquet(target)
+    return parts.groupBy(*key).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(*key, "_v.*")
 
 
-def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key, values, order, numeric=(), fmt: str = "parquet", **options) -> None:
-    """Read files not seen before and merge them; the file source's checkpoint remembers which were."""
+def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key, values, order, fmt: str = "parquet", **options) -> None:
+    """Read files not seen before and upsert them; the file source's checkpoint remembers which were."""
     stream = spark.readStream.format(fmt).schema(schema).options(**options).load(source)
-    run_available(stream.writeStream.foreachBatch(merge_batch(target, key, values, order, numeric)), checkpoint)
+    run_available(stream.writeStream.foreachBatch(append_batch(target, key, values, order)), checkpoint)
 
 
 # --------------------------------------------------------------------------- deduplication and bars
