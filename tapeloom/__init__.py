@@ -1 +1,7 @@
 """Spark-native equity monitoring: bars, indicators, valuation, signals, studies and read queries."""
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run inside tasks travel with the job, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
