@@ -127,7 +127,7 @@ def _(m):
     return rounded(out, ["symbol", "trade_date", "updated"], close_raw=7, price_adj_factor=6, share_factor=6)
 
 
-PRICE4 = dict(open=7, high=7, low=7, close=7, volume=4, amount=2)
+PRICE4 = dict(open=9, high=9, low=9, close=9, volume=4, amount=2)
 PRICE4_SQL = ", ".join(f"round({k}, {n}) as {k}" for k, n in PRICE4.items())
 
 
@@ -143,8 +143,8 @@ def _(m):
 
 
 @query("f10_weekly_raw", """
-select w.symbol, w.week_end_date::varchar as week_end_date, round(arg_min(open_raw, trade_date), 7) as open, round(max(high_raw), 7) as high,
-  round(min(low_raw), 7) as low, round(arg_max(b.close_raw, trade_date), 7) as close, round(sum(volume_raw), 4) as volume, round(sum(amount_raw), 2) as amount
+select w.symbol, w.week_end_date::varchar as week_end_date, round(arg_min(open_raw, trade_date), 9) as open, round(max(high_raw), 9) as high,
+  round(min(low_raw), 9) as low, round(arg_max(b.close_raw, trade_date), 9) as close, round(sum(volume_raw), 4) as volume, round(sum(amount_raw), 2) as amount
 from weeks w join daily_bars b on b.symbol = w.symbol and b.trade_date between w.week_start_date and w.week_end_date group by 1, 2""")
 def _(m):
     return rounded(weekly.weekly_raw(m.daily_bars, m.weeks), ["symbol", "week_end_date"], **PRICE4)
