@@ -4,10 +4,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tapeloom.llm import ball_tree, chat_tree, link_graph, packing, token_files
-from tapeloom.llm.common import read
+from tapeloom.llm import ball_tree, chat_tree, decontaminate, language, link_graph, packing, quality, token_files
+from tapeloom.llm.common import held_out, read
 from tapeloom.session import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,40 @@ def vocabulary(name: str) -> str:
         return f.read()
 
 
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"), ["doc_id"])
+    f = F.col("found")
+    return found.select(
+        "doc_id", f["n_words"].alias("n_words"), f["n_hit"].alias("n_hit"), F.size(f["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(f["items"], ","), 256).alias("items_sha256"), decontaminated(f).alias("contaminated"),
+    )
+
+
+def decontaminated(found: Column) -> Column:
+    """The contract's rule: a twentieth of the words or more."""
+    return (found["n_hit"] > 0) & (20 * found["n_hit"] >= found["n_words"])
+
+
+CHECKS["op1_decontaminate"] = """
+with d as (select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+i as (select distinct coalesce(item_id::varchar, '') as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+w as (select distinct item, array_to_string(ws[k:k + 12], ' ') as words, least(len(ws), 13) as n from (select item, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) as k from i where len(ws) > 0)),
+g as (select r, k, n, array_to_string(ws[k:k + n - 1], ' ') as words from (select r, ws, n, unnest(range(1, len(ws) - n + 2)) as k from d, (select distinct n from w) where len(ws) >= n)),
+m as (select r, k, g.n, item from g join w using (words) where g.n = w.n),
+h as (select r, count(distinct x) as n_hit from (select r, unnest(range(k, k + n)) as x from m) group by r),
+t as (select r, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from m group by r)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated from d left join h using (r) left join t using (r)"""
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unseen = held_out("doc_id", 5, 0)
+    scored = quality.score(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"), unseen)
+    return scored.select("doc_id", unseen.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_folder(spark)
@@ -86,3 +120,10 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 @query
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unseen = held_out("doc_id", 4, 2)
+    found = language.identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ~unseen, ["doc_id"])
+    return found.select("doc_id", unseen.alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
