@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tapeloom.llm import ball_tree, chat_tree, decontaminate, language, link_graph, packing, quality, token_files
+from tapeloom.llm import ball_tree, chat_tree, chosen_path, decontaminate, language, link_graph, packing, quality, token_files
 from tapeloom.llm.common import held_out, read
 from tapeloom.session import work_folder
 
@@ -63,6 +63,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", unseen.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query
+def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chosen_path.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 @query
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_folder(spark)
