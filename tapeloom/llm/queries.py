@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tapeloom.llm import ball_tree, chat_tree, chosen_path, decontaminate, language, link_graph, packing, quality, token_files
+from tapeloom.llm import ball_tree, chat_tree, chosen_path, decontaminate, language, link_graph, packing, quality, suffix_dedup, token_files
 from tapeloom.llm.common import held_out, read
 from tapeloom.session import work_folder
 
@@ -133,3 +133,13 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     unseen = held_out("doc_id", 4, 2)
     found = language.identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ~unseen, ["doc_id"])
     return found.select("doc_id", unseen.alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove(read(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    f = F.col("found")
+    return found.select(
+        "doc_id", f["n_bytes"].alias("n_bytes"), (f["n_bytes"] - F.octet_length(f["kept"])).alias("n_removed"),
+        F.size(f["spans"]).cast("long").alias("n_spans"), F.sha2(f["kept"], 256).alias("kept_sha256"),
+    )
