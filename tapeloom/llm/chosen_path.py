@@ -6,10 +6,10 @@ own; nodes of at most SMALL classes are compared exhaustively, larger ones branc
 similarity 0.85 stays together at a node with probability 1 - (1 - 0.85 q)**2, where q is that of the level below, so a tree
 finds it with 0.9695 and four trees miss one pair in a million; more similar pairs are missed less.
 
-Nodes that are still large at the bottom hold real groups of near copies. They are split into parts of SMALL with a few
-common members, so that comparisons within parts tie the group together; what doesn't tie is compared with all other parts.
-In each node only a spanning forest of the likely pairs is confirmed on full sets first, and other likely pairs only where
-their ends are still in different components, as a link inside a component changes nothing.
+Members of a node that have a likely partner by their minwise tokens meet there with their texts, and all pairs are compared on
+full sets at once; a node hands on a spanning forest of its links, never its pairs. Nodes that are still large at the bottom
+hold real groups of near copies. They are split into parts of SMALL with a few common members, which tie the group
+together; whoever isn't in the group's main component then meets all others, in cells of at most twice CELL.
 
 Words are split at ASCII white space, with A-Z in lower case; fewer than five words are one shingle. A null or empty text has no
 shingle and is linked with nothing. A null doc_id is linked like others; the smallest known id names the component. Rows with
@@ -27,6 +27,7 @@ from tapeloom.session import cut_lineage
 SHINGLE = 5
 TREES, LEVELS, COORDINATES = 4, 3, 64
 SMALL = 64
+CELL = 256
 #: Equal minwise tokens of a likely pair: six deviations below the 54 expected at similarity 0.85.
 LIKELY = 36
 MIX_1, MIX_2, BASE = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15 | 1
@@ -97,7 +98,7 @@ def signatures(sets: list) -> tuple[list[bytes], list[bytes]]:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, name, tokens) of every document; name is null without shingles."""
+    """(doc_id, h, n, name, tokens) of every document; name is null without shingles."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -115,9 +116,9 @@ def sketched(docs: DataFrame) -> DataFrame:
                 names += [x if len(s) else None for x, s in zip(more[0], sets)]
                 tokens += [x if len(s) else None for x, s in zip(more[1], sets)]
                 at = stop
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "n", "name", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "h", "n", "name", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, name binary, tokens binary")
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, n long, name binary, tokens binary")
 
 
 def _child(node: Column, place: Column) -> Column:
@@ -126,16 +127,17 @@ def _child(node: Column, place: Column) -> Column:
 
 
 def grow(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, name) of small nodes, and (node, name, size) of those that are large at the bottom."""
+    """(node, tree, at, name) of small nodes, and the same with their size of those that are large at the bottom."""
     # nodes of a tree are numbered as in a heap; node i uses coordinate i - 1 of its tree's 16
     slots = F.array(*(F.struct(F.lit(r).alias("tree"), F.lit(at).alias("at")) for r in range(TREES) for at in (1, 2)))
     rows = classes.select("name", "tokens", F.explode(slots).alias("s")).select("name", _child(F.col("s.tree").cast("long"), F.col("s.tree") * 16 + F.col("s.at") - 1).alias("node"), "s.tree", "s.at")
     small = []
     for level in range(1, LEVELS + 1):
         rows = cut_lineage(rows)
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        # a table of its own, so that the join has two plain shuffles and hot nodes can be split
+        sizes = cut_lineage(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"))
         rows = cut_lineage(rows.join(sizes, "node"))
-        small.append(rows.where(F.col("size") <= SMALL).select("node", "name"))
+        small.append(rows.where(F.col("size") <= SMALL).select("node", "tree", "at", "name"))
         large = rows.where(F.col("size") > SMALL)
         if level < LEVELS:
             down = large.select("node", "name", "tree", F.explode(F.array(F.col("at") * 2 + 1, F.col("at") * 2 + 2)).alias("at"))
@@ -143,51 +145,15 @@ def grow(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = small[0]
     for s in small[1:]:
         both = both.unionByName(s)
-    return both, large.select("node", "name", "size")
+    return both, large.select("node", "tree", "at", "name", "size")
 
 
-def likely_pairs(rows: DataFrame, spanning: bool) -> DataFrame:
-    """Likely pairs (a, b) within nodes of (node, name, n, tokens, root): a spanning forest of each, or all between roots."""
+def _by_node(rows: DataFrame, columns: list[str], task, schema: str) -> DataFrame:
+    """Run ``task`` on tables of whole nodes, several nodes at a time."""
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        def pairs(table: pa.Table) -> pa.RecordBatch:
-            node = table.column("node").to_numpy()
-            n = table.column("n").to_numpy()
-            names = table.column("name").to_pylist()
-            roots = table.column("root").to_pylist()
-            tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint32).reshape(len(node), COORDINATES)
-            found, k, rows = [], 1, np.arange(len(node))
-            while True:
-                rows = rows[rows + k < len(node)]
-                rows = rows[node[rows] == node[rows + k]]  # sorted by node: a row without a k-th neighbour has none further off
-                if not len(rows):
-                    break
-                sized = rows[100 * np.minimum(n[rows], n[rows + k]) >= 85 * np.maximum(n[rows], n[rows + k])]
-                same = (tokens[sized] == tokens[sized + k]).sum(axis=1)
-                found += [(-s, i, i + k) for s, i in zip(same[same >= LIKELY].tolist(), sized[same >= LIKELY].tolist())]
-                k += 1
-            up = list(range(len(node)))
-
-            def top(i: int) -> int:
-                while up[i] != i:
-                    up[i] = up[up[i]]
-                    i = up[i]
-                return i
-
-            out = set()
-            for _, i, j in sorted(found):
-                if spanning:
-                    a, b = top(i), top(j)
-                    if a == b or names[i] == names[j]:
-                        continue
-                    up[a] = b
-                elif roots[i] == roots[j]:
-                    continue
-                out.add((min(names[i], names[j]), max(names[i], names[j])))
-            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.binary()) for c in (0, 1)], ["a", "b"])
-
         kept = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -195,92 +161,169 @@ def likely_pairs(rows: DataFrame, spanning: bool) -> DataFrame:
             node = table.column("node").to_numpy()
             whole = int(np.searchsorted(node, node[-1])) if len(node) else 0  # the last node may go on
             if whole:
-                yield pairs(table.slice(0, whole))
+                yield from task(table.slice(0, whole))
             kept = table.slice(whole)
         if kept is not None and kept.num_rows:
-            yield pairs(kept)
+            yield from task(kept)
 
-    dealt = rows.select("node", "name", "n", "tokens", "root").repartition("node").sortWithinPartitions("node")
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return rows.select(*columns).repartition("node").sortWithinPartitions("node").mapInArrow(run, schema)
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, share: int) -> DataFrame:
-    """Those pairs whose full sets have ``100 * intersection >= share * union``."""
-    def squeeze(batches: Iterator) -> Iterator:
+def with_partner(rows: DataFrame) -> DataFrame:
+    """(node, name) of the members of small nodes that have a likely partner there.
+
+    A pair counts in one node only: in the first tree, and there on the first path, on which its tokens agree all the way down,
+    for on that path it is compared for certain; where there is none, in every node that it shares.
+    """
+    def task(table) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        node, n, tree, at = (table.column(c).to_numpy() for c in ("node", "n", "tree", "at"))
+        tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint32).reshape(len(node), COORDINATES)
+        partner, k, rows = np.zeros(len(node), bool), 1, np.arange(len(node))
+        while True:
+            rows = rows[rows + k < len(node)]
+            rows = rows[node[rows] == node[rows + k]]  # sorted by node: a row without a k-th neighbour has none further off
+            if not len(rows):
+                break
+            sized = rows[100 * np.minimum(n[rows], n[rows + k]) >= 85 * np.maximum(n[rows], n[rows + k])]
+            equal = tokens[sized] == tokens[sized + k]
+            likely = equal.sum(axis=1) >= LIKELY
+            i, equal = sized[likely], equal[likely]
+            first = np.full((len(i), TREES), 99)  # the first leaf number on which the pair agrees all the way, by tree
+            for r in range(TREES):
+                for leaf in range(14, 6, -1):
+                    way = [leaf, (leaf - 1) // 2, ((leaf - 1) // 2 - 1) // 2]
+                    first[equal[:, [16 * r + x - 1 for x in way]].all(axis=1), r] = leaf
+            earlier = (first < 99) & (np.arange(TREES) < tree[i][:, None])
+            own = first[np.arange(len(i)), tree[i]]
+            levels = np.where(at[i] > 6, 0, np.where(at[i] > 2, 1, 2))
+            above = own.copy()
+            for level in (1, 2):
+                above = np.where(levels >= level, (above - 1) // 2, above)
+            here = i[~earlier.any(axis=1) & ((own == 99) | (above == at[i]))]
+            partner[here] = partner[here + k] = True
+            k += 1
+        names = table.column("name").combine_chunks()
+        yield pa.RecordBatch.from_arrays([pa.array(node[partner]), names.filter(pa.array(partner))], ["node", "name"])
+
+    return _by_node(rows, ["node", "tree", "at", "name", "n", "tokens"], task, "node long, name binary")
+
+
+def links_within(rows: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) between members of (node, name, root, packed), all compared on full sets: a spanning forest over the roots of each node."""
+    def task(table) -> Iterator:
+        import numpy as np
         import pyarrow as pa
         import zstandard
 
-        for batch in batches:
-            press = zstandard.ZstdCompressor(level=3)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([press.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "packed"])
+        lift = zstandard.ZstdDecompressor()
+        node, names, roots = table.column("node").to_numpy(), table.column("name").to_pylist(), table.column("root").to_pylist()
+        texts, sets = {}, {}
+        for name, text in zip(names, table.column("packed").to_pylist()):
+            texts.setdefault(name, text)
+        todo = list(texts)
+        for at in range(0, len(todo), 200):
+            sets.update(zip(todo[at:at + 200], shingle_sets([lift.decompress(texts[x]) for x in todo[at:at + 200]])))
+        edges = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
+        out = []
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            group = list(dict.fromkeys(zip(names[lo:hi], roots[lo:hi])))
+            pairs = _similar([sets[name] for name, _ in group], share)
+            up = {root: root for _, root in group}
+
+            def top(x: bytes) -> bytes:
+                while up[x] != x:  # noqa: B023
+                    up[x] = up[up[x]]  # noqa: B023
+                    x = up[x]  # noqa: B023
+                return x
+
+            for i, j in pairs:
+                a, b = top(group[i][1]), top(group[j][1])
+                if a != b:
+                    up[a] = b
+                    out.append((group[i][0], group[j][0]))
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.binary()) for c in (0, 1)], ["a", "b"])
 
-    def check(batches: Iterator) -> Iterator:
-        import numpy as np
+    return _by_node(rows, ["node", "name", "root", "packed"], task, "a binary, b binary")
+
+
+def _similar(sets: list, share: int) -> list[tuple[int, int]]:
+    """Pairs of sets that are similar enough, from the counts of all shingles that two or more of them have."""
+    import numpy as np
+
+    size = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    number = np.cumsum(new) - 1
+    shared = np.bincount(number) > 1
+    column = np.cumsum(shared) - 1
+    both = np.zeros((len(sets), len(sets)))
+    keep = shared[number]
+    owner, column = owner[keep], column[number[keep]]
+    for at in range(0, int(shared.sum()), 8192):  # so many shingles at a time
+        part = slice(*np.searchsorted(column, [at, at + 8192]))
+        has = np.zeros((len(sets), 8192), np.float32)
+        has[owner[part], column[part] - at] = 1
+        both += has @ has.T
+    both = both.astype(np.int64)
+    good = 100 * both >= share * (size[:, None] + size[None] - both)
+    return [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(good, 1)))]
+
+
+def texts_of(names: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(name, packed): a compressed text of each class of ``names``."""
+    def squeeze(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import zstandard
 
         for batch in batches:
-            lift = zstandard.ZstdDecompressor()
-            sides: dict[tuple, object] = {}
-            for side in ("a", "b"):
-                todo = {(x, p) for x, p in zip(batch.column(side).to_pylist(), batch.column("packed_" + side).to_pylist()) if (x, p) not in sides}
-                todo_list = list(todo)
-                for at in range(0, len(todo_list), 200):
-                    part = todo_list[at:at + 200]
-                    sets = shingle_sets([lift.decompress(p) for _, p in part])
-                    names = names_of(sets)
-                    sides.update({key: s if key[0] == name else None for key, s, name in zip(part, sets, names)})
-            good = []
-            for a, pa_, b, pb in zip(*(batch.column(c).to_pylist() for c in ("a", "packed_a", "b", "packed_b"))):
-                x, y = sides[(a, pa_)], sides[(b, pb)]
-                if x is not None and y is not None:  # else another document of the same id
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= share * (len(x) + len(y) - both):
-                        good.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in good], pa.binary()) for c in (0, 1)], ["a", "b"])
-
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(classes.select("name", "doc_id"), "name")
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(squeeze, "doc_id long, packed binary")
-    packed = cut_lineage(needed.join(texts, needed["doc_id"].eqNullSafe(texts["doc_id"])).select("name", "packed").distinct())
-    sides = pairs.join(packed.select(F.col("name").alias("a"), F.col("packed").alias("packed_a")), "a").join(packed.select(F.col("name").alias("b"), F.col("packed").alias("packed_b")), "b")
-    return sides.mapInArrow(check, "a binary, b binary")
+            press = zstandard.ZstdCompressor(level=3)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([press.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["h", "packed"])
+
+    texts = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(squeeze, "h long, packed binary")
+    needed = cut_lineage(names.distinct().join(classes.select("name", "h"), "name"))
+    return cut_lineage(needed.join(texts, "h").groupBy("name").agg(F.min("packed").alias("packed")))
 
 
 def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; links are confirmed at ``share`` in a hundred."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = cut_lineage(sketched(docs))
-    classes = cut_lineage(sketches.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("tokens").alias("tokens")))
+    classes = cut_lineage(sketches.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min("h").alias("h"), F.max("n").alias("n"), F.max("tokens").alias("tokens")))
     small, large = grow(classes)
-    large = cut_lineage(large.withColumn("parts", F.ceil(F.col("size") / SMALL)).withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts"))))
-    ties = large.groupBy("node").agg(F.max("parts").alias("parts"), *(F.min(F.struct(F.xxhash64("name", F.lit(k)).alias("h"), "name")).alias(f"t{k}") for k in range(4)))
-    tied = (
-        ties.select("node", "parts", F.explode(F.array_distinct(F.array(*(F.col(f"t{k}.name") for k in range(4))))).alias("name"))
-        .select("node", "name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    )
-    in_parts = large.select("node", "name", "part").unionByName(tied).select(F.xxhash64("node", "part").alias("node"), "name").distinct()
-    members = cut_lineage(small.unionByName(in_parts))
     facts = classes.select("name", "n", "tokens")
-    first = cut_lineage(likely_pairs(members.join(facts, "name").withColumn("root", F.lit(None).cast("binary")), True))
-    links = cut_lineage(confirmed(first, classes, docs, share))
+    paired = cut_lineage(with_partner(small.join(facts, "name")))
 
-    roots = cut_lineage(components(links))
-    rooted = lambda df: df.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    open_small = rooted(small)
-    split = open_small.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("node")
-    open_large = cut_lineage(rooted(large.select("node", "name", "parts", "part")))
-    main = open_large.groupBy("node", "root").agg(F.count("*").alias("k")).groupBy("node").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("all")).select("node", F.col("m.root").alias("main"), (F.col("all") - F.col("m.k")).alias("odd")).where("odd > 0")
-    cells = open_large.join(main, "node").withColumn("slices", F.ceil(F.col("odd") / SMALL))
+    # large nodes in parts of SMALL, each with a few members that all parts of the node share
+    large = cut_lineage(large.withColumn("parts", F.ceil(F.col("size") / SMALL)).withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts"))).drop("size"))
+    ties = large.groupBy("node").agg(F.max("parts").alias("parts"), *(F.min(F.struct(F.xxhash64("name", F.lit(k)).alias("h"), "name")).alias(f"t{k}") for k in range(4)))
     upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1)
-    all_sides = cells.select("node", "name", "root", "part", F.explode(upto("slices")).alias("slice"))
-    odd_sides = cells.where("root <> main").withColumn("slice", F.pmod(F.xxhash64("name", F.lit(7)), F.col("slices"))).select("node", "name", "root", "slice", F.explode(upto("parts")).alias("part"))
-    grid = all_sides.unionByName(odd_sides).select(F.xxhash64("node", "part", "slice", F.lit(1)).alias("node"), "name", "root").distinct()
-    rest = open_small.join(split, "node").select("node", "name", "root").unionByName(grid)
-    second = cut_lineage(likely_pairs(rest.join(facts, "name"), False).join(first, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        links = cut_lineage(links.unionByName(confirmed(second, classes, docs, share)))
+    tied = ties.select("node", "parts", F.explode(F.array_distinct(F.array(*(F.col(f"t{k}.name") for k in range(4))))).alias("name")).select("node", "name", F.explode(upto("parts")).alias("part"))
+    parts = large.select("node", "name", "part").unionByName(tied).select(F.xxhash64("node", "part").alias("node"), "name").distinct()
+    texts = texts_of(paired.select("name").unionByName(large.select("name")), classes, docs)
+    rows = paired.unionByName(parts).join(texts, "name").withColumn("root", F.col("name"))
+    links = cut_lineage(links_within(rows, share).distinct())
+    roots = cut_lineage(components(links))
+
+    # members of large nodes that aren't in the node's main component meet all other members, in cells of two slices
+    rooted = cut_lineage(large.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name")))
+    counts = rooted.groupBy("node", "root").agg(F.count("*").alias("k"))
+    main = cut_lineage(counts.groupBy("node").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("all")).select("node", F.col("m.root").alias("main"), "all", (F.col("all") - F.col("m.k")).alias("odd")).where("odd > 0"))
+    if not main.isEmpty():
+        cells = rooted.select("node", "name", "root").join(main, "node").withColumn("columns", F.ceil(F.col("all") / CELL)).withColumn("lines", F.ceil(F.col("odd") / CELL))
+        hashed = lambda salt, n: F.pmod(F.xxhash64("name", F.lit(salt)), F.col(n))
+        everyone = cells.select("node", "name", "root", hashed(1, "columns").alias("column"), F.explode(upto("lines")).alias("line"))
+        odd = cells.where("root <> main").select("node", "name", "root", F.explode(upto("columns")).alias("column"), hashed(2, "lines").alias("line"))
+        grid = everyone.unionByName(odd).select(F.xxhash64("node", "column", "line", F.lit(3)).alias("node"), "name", "root").distinct()
+        links = cut_lineage(links.unionByName(links_within(grid.join(texts, "name"), share)).distinct())
         roots = cut_lineage(components(links))
+
     named = classes.select("name", "doc_id").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = cut_lineage(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     own = cut_lineage(named.join(least, "root").select("name", "component_id"))
     linked = sketches.where("name is not null").join(own, "name").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(sketches.where("name is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
