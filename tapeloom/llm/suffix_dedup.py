@@ -301,7 +301,8 @@ def packed(docs: DataFrame, *columns: str) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """(k1, k2, spans): byte spans of repeated strings, overlapping and in no order, of documents that have any."""
     found = cut_lineage(members(docs))
-    twice = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # a table of its own, so that the join below has two plain shuffles and hot anchors can be split
+    twice = cut_lineage(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     again = cut_lineage(found.join(twice, "anchor"))
     kinds = cut_lineage(again.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one"), F.max("before").alias("before"), F.max("after").alias("after")))
     groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("anchor", "kinds")
