@@ -286,7 +286,7 @@ def texts_of(names: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 
     texts = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(squeeze, "h long, packed binary")
     needed = cut_lineage(names.distinct().join(classes.select("name", "h"), "name"))
-    return cut_lineage(needed.join(texts, "h").groupBy("name").agg(F.min("packed").alias("packed")))
+    return cut_lineage(needed.hint("merge").join(texts, "h").groupBy("name").agg(F.min("packed").alias("packed")))
 
 
 def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
