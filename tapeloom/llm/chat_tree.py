@@ -87,7 +87,7 @@ def build(rows: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFrame]:
             for row in batch.to_pylist():
                 position = 0
                 for depth, t in enumerate(row["turns"]):
-                    head, body, tail = ids_of(f"<s>[INST] {escape(t['role'])} [/INST]"), ids_of(escape(t["text"])), ids_of("</s>")
+                    head, body, tail = ids_of([f"<s>[INST] {escape(t['role'])} [/INST]", escape(t["text"]), "</s>"])
                     a, b = len(head) // 4, (len(head) + len(body)) // 4
                     ids = np.frombuffer(head + body + tail, "<i4")
                     if row["first"] is not None and depth >= row["first"]:

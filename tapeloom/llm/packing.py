@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from tapeloom.llm.words import encoder
+from tapeloom.llm.words import encoder, in_parts
 from tapeloom.session import cut_lineage
 
 FAN_IN = 8
@@ -78,8 +78,9 @@ def pack(docs: DataFrame, vocabulary: str, kind: str = "byte_words", end_id: int
             return out
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = memoryview(ids_of(text) + end)
+            encoded = (x for part in in_parts(batch.column("text").to_pylist()) for x in ids_of(part))
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), encoded):
+                ids = memoryview(raw + end)
                 n = len(ids) // 4
                 first = (n - 1) % size + 1
                 for piece, stop in enumerate(range(first, n + 1, size)):
@@ -110,13 +111,13 @@ def pack(docs: DataFrame, vocabulary: str, kind: str = "byte_words", end_id: int
         parts //= FAN_IN
         mark = level << 56
 
-        def again(frame, mark=mark):
+        def again(frame):
             import numpy as np
 
             frame = frame.sort_values(["fill", "bin"], ascending=[False, True])
             bins, offsets, fills = best_fit(frame["fill"].tolist(), size)
             bins = np.asarray(bins, np.int64)
-            return frame.assign(to=mark + (frame["part"].astype("int64") << 32) + bins, shift=offsets, filled=np.asarray(fills, np.int64)[bins])[["bin", "to", "part", "shift", "filled"]]
+            return frame.assign(to=mark + frame["part"].astype("int64") * (1 << 32) + bins, shift=offsets, filled=np.asarray(fills, np.int64)[bins])[["bin", "to", "part", "shift", "filled"]]
 
         merged = cut_lineage(
             open_bins.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("long")).select("bin", "part", "fill")

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tapeloom.llm.words import encoder
+from tapeloom.llm.words import encoder, in_parts
 
 SCHEMA = "doc_id long, n_tokens int, local_start long, tokens array<int>"
 
@@ -40,8 +40,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, kind: str, end_id:
         ids_of = encoder(kind, shipped.value)
         before = 0
         for batch in batches:
-            # few texts at a time: ids of a batch stay bounded by its text
-            ids = [ids_of(t) + end for t in batch.column("text").to_pylist()]
+            ids = [x + end for part in in_parts(batch.column("text").to_pylist()) for x in ids_of(part)]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             ends = np.cumsum(n)
             values = pa.array(np.frombuffer(b"".join(ids), "<i4"))

@@ -6,17 +6,19 @@ with characters for which that certainty is missing go through the library whole
 """
 from __future__ import annotations
 
+import gc
 import re
-from collections.abc import Callable
+from collections.abc import Iterator
 
 from tapeloom.llm.common import once
 
 #: White space beyond ASCII and control characters that libraries class differently, as UTF-8.
-EXOTIC = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
+EXOTIC = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\x1c", b"\x1d", b"\x1e", b"\x1f"]
+SPACES = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
 #: A run of white space and the run of other characters after it.
 CHUNK = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
-#: Words remembered by one worker, in either of two layers; when full, a layer starts anew.
-REMEMBERED = 500_000
+#: Words that one worker remembers; the first ones that it meets are mostly the frequent ones, later ones are encoded anew.
+REMEMBERED = 800_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -26,97 +28,136 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Layered:
-    """Words in front, the pieces that they consist of behind; only unknown pieces reach the library."""
+def exotic(raw: bytes) -> bool:
+    return any(x in raw for x in EXOTIC) or b"\xe2\x80" in raw and SPACES.search(raw) is not None
+
+
+class Memo:
+    """Encodes texts word by word; only words not remembered reach the library, all of a batch at once."""
+
+    def __init__(self, text: str, pattern: str, lower: bool) -> None:
+        import os
 
-    def __init__(self, text: str, pieces, lower: bool) -> None:
         import numpy as np
+        import regex
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
         from tokenizers import Tokenizer
 
         self.np = np
         self.whole = Tokenizer.from_str(text)
         self.bare = Tokenizer(self.whole.model)  # merges only
         self.letters = _byte_letters()
-        self.pieces, self.lower = pieces, lower
+        self.pieces, self.lower = regex.compile(pattern).findall, lower
         self.words: dict[bytes, bytes] = {}
-        self.known: dict[str, bytes] = {}
 
     def library(self, text: str) -> bytes:
         return self.np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[bytes], shown: Callable[[bytes], bytes]) -> None:
-        """Ids of words not met before. ``shown`` gives the bytes that a key stands for."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut: dict[bytes, list[str]] = {}
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words not remembered."""
+        np, got, shapes, owners, counts = self.np, {}, [], [], []
         for w in words:
-            s = shown(w).decode()
-            if "<|" in s or max(s) >= "\u0100":
-                self.words[w] = self.library(s)  # special tokens, or letters that libraries may lower or class differently
+            s = self.shown(w).decode()
+            if not s.isascii() and max(s) >= "\u0100" or "<|" in s:
+                got[w] = self.library(s)  # special tokens, or letters that libraries may lower or class differently
             else:
-                cut[w] = self.pieces(s.lower() if self.lower else s)
-        new = list({p for ps in cut.values() for p in ps if p not in self.known})
-        if new:
-            shapes = [p.encode().decode("latin-1").translate(self.letters) for p in new]
-            for p, e in zip(new, self.bare.encode_batch_fast(shapes, add_special_tokens=False)):
-                self.known[p] = self.np.array(e.ids, "<u4").tobytes()
-        for w, ps in cut.items():
-            self.words[w] = b"".join([self.known[p] for p in ps])
-
-    def joined(self, words: list[bytes], shown: Callable[[bytes], bytes]) -> bytes:
+                ps = self.pieces(s.lower() if self.lower else s)
+                owners.append(w)
+                counts.append(len(ps))
+                shapes += ps
+        shapes = [x.encode().decode("latin-1").translate(self.letters) for x in shapes]
+        made = self.bare.encode_batch([shapes], is_pretokenized=True, add_special_tokens=False)[0]
+        owner = np.repeat(np.arange(len(owners)), counts)[np.array(made.word_ids, np.int64)] if shapes else np.empty(0, np.int64)
+        ids, ends = np.array(made.ids, "<u4").tobytes(), np.cumsum(4 * np.bincount(owner, minlength=len(owners))).tolist()
+        got.update(zip(owners, [ids[a:b] for a, b in zip([0, *ends], ends)]))
+        if len(self.words) < REMEMBERED:
+            self.words.update(got)
+        return got
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        gc.disable()  # many small objects and no cycles
         try:
-            return b"".join([self.words[w] for w in words])
-        except KeyError:
-            self.learn([w for w in set(words) if w not in self.words], shown)
-            return b"".join([self.words[w] for w in words])
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        got: list = []
+        missing: set[bytes] = set()
+        get = self.words.get
+        for t in texts:
+            words = self.split(t)
+            if words is None:
+                got.append(self.library(t))
+                continue
+            ids = list(map(get, words))
+            if None in ids:
+                missing.update([w for w, x in zip(words, ids) if x is None])
+                got.append((words, ids))
+            else:
+                got.append(b"".join(ids))
+        if not missing:
+            return got
+        fresh = self.learn(list(missing))
+        return [g if isinstance(g, bytes) else b"".join([fresh[w] if x is None else x for w, x in zip(*g)]) for g in got]
+
 
+class LowerWords(Memo):
+    """For the lower-casing vocabulary, whose pattern drops white space: words are independent of each other."""
 
-def lower_words(json_text: str) -> Callable[[str], bytes]:
-    """Encoder for the lower-casing vocabulary whose pattern drops white space: words are independent of each other."""
-    import regex
+    def __init__(self, text: str) -> None:
+        # fixed value: the split pattern inside the vocabulary file
+        super().__init__(text, r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", True)
 
-    # fixed value: the split pattern inside the vocabulary file
-    pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-    layer = _Layered(json_text, pattern.findall, lower=True)
+    def shown(self, word: bytes) -> bytes:
+        return word
 
-    def encode(text: str) -> bytes:
+    def split(self, text: str) -> list[bytes] | None:
+        """Keys of the words; none if the text must go through the library whole."""
         raw = text.encode()
-        if EXOTIC.search(raw):
-            return layer.library(text)
-        return layer.joined(raw.split() if b"<|" in raw else raw.lower().split(), bytes)
+        if exotic(raw):
+            return None
+        return raw.split() if b"<|" in raw else raw.lower().split()
 
-    return encode
 
+class ByteWords(Memo):
+    """For the byte-level vocabulary: a piece may take one space before it, never any after it."""
 
-def byte_words(json_text: str) -> Callable[[str], bytes]:
-    """Encoder for the byte-level vocabulary: a piece may take one space before it, never any after it."""
-    import regex
+    def __init__(self, text: str) -> None:
+        # fixed value: the public split pattern of this vocabulary
+        super().__init__(text, r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", False)
 
-    # fixed value: the public split pattern of this vocabulary
-    pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-    layer = _Layered(json_text, pattern.findall, lower=False)
+    def shown(self, word: bytes) -> bytes:
+        """A key after a line break stands for itself, one marked by a zero byte for a new line, any other for a space and itself."""
+        if word[:1] == b"\n":
+            return word[1:]
+        return b"\n" + word[1:] if word[:1] == b"\0" else b" " + word
 
-    def encode(text: str) -> bytes:
+    def split(self, text: str) -> list[bytes] | None:
         raw = text.encode()
-        if EXOTIC.search(raw):
-            return layer.library(text)
+        if exotic(raw):
+            return None
         if b"  " in raw or b" \n" in raw or b"\n " in raw or b"\n\n" in raw or raw[-1:] in (b" ", b"\n") or any(c in raw for c in (b"\t", b"\r", b"\x0b", b"\x0c")):
-            return layer.joined([b"\n" + c for c in CHUNK.findall(raw)], lambda w: w[1:])
+            return [b"\n" + c for c in CHUNK.findall(raw)]
         first, *rest = raw.replace(b"\n", b" \0").split(b" ") if b"\0" not in raw else [raw]
-        return layer.joined([b"\n" + first, *rest] if first else rest, _spaced)
-
-    return encode
+        return [b"\n" + first, *rest] if first else rest
 
 
-def _spaced(word: bytes) -> bytes:
-    """A key after a line break stands for itself, one marked by a zero byte for a new line, any other for a space and itself."""
-    if word[:1] == b"\n":
-        return word[1:]
-    return b"\n" + word[1:] if word[:1] == b"\0" else b" " + word
+def encoder(kind: str, json_text: str) -> Memo:
+    """The worker's encoder, of kind ``lower_words`` or ``byte_words``: texts in, ids as bytes out."""
+    return once((kind, len(json_text), hash(json_text)), lambda: {"lower_words": LowerWords, "byte_words": ByteWords}[kind](json_text))
 
 
-def encoder(kind: str, json_text: str) -> Callable[[str], bytes]:
-    """Ids as little-endian unsigned 32-bit integers, for ``lower_words`` or ``byte_words``."""
-    return once((kind, len(json_text), hash(json_text)), lambda: {"lower_words": lower_words, "byte_words": byte_words}[kind](json_text))
+def in_parts(texts: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
+    """Some texts at a time, of about so many characters together."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
