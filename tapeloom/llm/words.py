@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 from tapeloom.llm.common import once
@@ -17,8 +18,8 @@ EXOTIC = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80
 SPACES = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
 #: A run of white space and the run of other characters after it.
 CHUNK = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
-#: Words that one worker remembers; the first ones that it meets are mostly the frequent ones, later ones are encoded anew.
-REMEMBERED = 800_000
+#: Words that one worker remembers (some 60 MB), of those that recur within a few MB of text; others are encoded anew.
+REMEMBERED = 300_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -71,8 +72,6 @@ class Memo:
         owner = np.repeat(np.arange(len(owners)), counts)[np.array(made.word_ids, np.int64)] if shapes else np.empty(0, np.int64)
         ids, ends = np.array(made.ids, "<u4").tobytes(), np.cumsum(4 * np.bincount(owner, minlength=len(owners))).tolist()
         got.update(zip(owners, [ids[a:b] for a, b in zip([0, *ends], ends)]))
-        if len(self.words) < REMEMBERED:
-            self.words.update(got)
         return got
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -85,7 +84,7 @@ class Memo:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         got: list = []
-        missing: set[bytes] = set()
+        missing: list[bytes] = []
         get = self.words.get
         for t in texts:
             words = self.split(t)
@@ -94,13 +93,16 @@ class Memo:
                 continue
             ids = list(map(get, words))
             if None in ids:
-                missing.update([w for w, x in zip(words, ids) if x is None])
+                missing += [w for w, x in zip(words, ids) if x is None]
                 got.append((words, ids))
             else:
                 got.append(b"".join(ids))
         if not missing:
             return got
-        fresh = self.learn(list(missing))
+        times = Counter(missing)
+        fresh = self.learn(list(times))
+        if len(self.words) < REMEMBERED:
+            self.words.update({w: fresh[w] for w, n in times.items() if n > 1})
         return [g if isinstance(g, bytes) else b"".join([fresh[w] if x is None else x for w, x in zip(*g)]) for g in got]
 
 
@@ -150,7 +152,7 @@ def encoder(kind: str, json_text: str) -> Memo:
     return once((kind, len(json_text), hash(json_text)), lambda: {"lower_words": LowerWords, "byte_words": ByteWords}[kind](json_text))
 
 
-def in_parts(texts: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
+def in_parts(texts: list[str], most: int = 2 << 20) -> Iterator[list[str]]:
     """Some texts at a time, of about so many characters together."""
     part, size = [], 0
     for t in texts:
