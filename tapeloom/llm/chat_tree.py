@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from tapeloom.llm.common import once
+from tapeloom.llm.common import once, slices
 from tapeloom.llm.words import encoder
 from tapeloom.session import cut_lineage
 
@@ -55,7 +55,7 @@ def build(rows: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFrame]:
     def chain(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             paths = []
             for turns in batch.column("turns").to_pylist():
                 at, path = b"", []
@@ -82,7 +82,7 @@ def build(rows: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFrame]:
 
         ids_of = encoder("byte_words", shipped.value)
         before = 0
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for row in batch.to_pylist():
                 position = 0
@@ -119,7 +119,7 @@ def build(rows: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFrame]:
     def ancestors(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             starts, attends = [], []
             for row in batch.to_pylist():
                 so_far: list[tuple[int, int]] = []
@@ -147,7 +147,7 @@ def read_back(nodes: DataFrame, talks: DataFrame, vocabulary: str) -> DataFrame:
 
         tok = once(("decoder", len(shipped.value)), lambda: Tokenizer.from_str(shipped.value))
         say = lambda ids: tok.decode(ids, skip_special_tokens=False)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for nodes in batch.column("nodes").to_pylist():
                 turns, chars = [], 0

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tapeloom.llm.common import slices
 from tapeloom.llm.components import components
 from tapeloom.session import cut_lineage
 
@@ -102,7 +103,7 @@ def sketched(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             n, names, tokens, at = [], [], [], 0
             while at < len(texts):  # a megabyte of text at a time
@@ -280,7 +281,7 @@ def texts_of(names: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
         import pyarrow as pa
         import zstandard
 
-        for batch in batches:
+        for batch in slices(batches):
             press = zstandard.ZstdCompressor(level=3)
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([press.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["h", "packed"])
 

@@ -1,7 +1,7 @@
 """Small helpers that several operators share."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -27,3 +27,10 @@ def once(key: tuple, make: Callable[[], Any]) -> Any:
 def held_out(key: str, folds: int, fold: int) -> Column:
     """Whether crc32 of the key as text falls in the fold; a null key is never held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def slices(batches: Iterator, rows: int = 1000) -> Iterator:
+    """The batches in pieces of so many rows, so that a task holds few texts outside Arrow at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

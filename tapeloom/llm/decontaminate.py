@@ -19,6 +19,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
+from tapeloom.llm.common import slices
 from tapeloom.session import cut_lineage
 
 WINDOW = 13
@@ -164,7 +165,7 @@ def find(docs: DataFrame, items: DataFrame, keep: list[str], found: str = "found
 
             index = shipped.value
             sums = {s: np.zeros(len(keys), np.int64) for s, keys in index.shingles.items()}
-            for batch in batches:
+            for batch in slices(batches):
                 for text in batch.column(0).to_pylist():
                     ids = index.numbers(words_of(text))
                     for s, keys in index.shingles.items():
@@ -183,7 +184,7 @@ def find(docs: DataFrame, items: DataFrame, keep: list[str], found: str = "found
 
         def look(batches: Iterator, ordered=ordered, k=k) -> Iterator:
             index = ordered.value
-            for batch in batches:
+            for batch in slices(batches):
                 before = batch.column(carried).to_pylist() if k else []
                 out = []
                 for i, text in enumerate(batch.column("text").to_pylist()):

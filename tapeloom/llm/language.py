@@ -16,6 +16,8 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tapeloom.llm.common import slices
+
 UNKNOWN = "und"
 HIDDEN = 8
 STRETCH = 128
@@ -23,7 +25,7 @@ STRETCH = 128
 SAMPLE, PIECES, LENGTH = 600, 6, 64
 EPOCHS, BATCH, RATE = 8, 256, 0.02
 #: Stretches run side by side.
-SIDE = 4096
+SIDE = 2048
 
 
 def start(labels: int, seed: int = 7) -> dict[str, Any]:
@@ -206,7 +208,7 @@ def identify(docs: DataFrame, seen: Column, keep: list[str], into: str = "found"
 
         names, w = model.value
         letter = regex.compile(r"\p{L}")
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             known = [i for i, t in enumerate(texts) if w is not None and t and letter.search(t)]
             out: list[dict] = [{"lang": UNKNOWN, "score": 0.0}] * len(texts)

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
+from tapeloom.llm.common import slices
 from tapeloom.llm.words import encoder, in_parts
 from tapeloom.session import cut_lineage
 
@@ -77,7 +78,7 @@ def pack(docs: DataFrame, vocabulary: str, kind: str = "byte_words", end_id: int
             rows = []
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             encoded = (x for part in in_parts(batch.column("text").to_pylist()) for x in ids_of(part))
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), encoded):
                 ids = memoryview(raw + end)

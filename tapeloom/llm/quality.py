@@ -17,6 +17,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tapeloom.llm.common import slices
 from tapeloom.session import cut_lineage
 
 STATISTICS = (
@@ -97,7 +98,7 @@ def measured(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             x = [statistics(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
 

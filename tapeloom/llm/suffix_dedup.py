@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
+from tapeloom.llm.common import slices
 from tapeloom.session import cut_lineage
 
 LENGTH, GRAM = 400, 128
@@ -94,7 +95,7 @@ def members(docs: DataFrame) -> DataFrame:
             keys = np.array([x[:2] for x in part], np.int64)
             return pa.RecordBatch.from_arrays([pa.array(c) for c in (keys[row, 0], keys[row, 1], *rest)], ["k1", "k2", "at", "anchor", "context", "before", "after"])
 
-        for batch in batches:
+        for batch in slices(batches):
             part, size = [], 0
             for k1, k2, text in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text"))):
                 raw = text.encode()
@@ -236,7 +237,7 @@ def sorted_reaches(contexts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(4)], ["anchor", "context", "before", "after"])
 
         rows: list[tuple] = []
-        for batch in batches:
+        for batch in slices(batches):
             for r in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "head", "tail"))):
                 if len(rows) >= 16_384 and rows[-1][0] != r[0]:
                     yield some(rows)
@@ -253,7 +254,7 @@ def counted_reaches(contexts: DataFrame) -> DataFrame:
     def hashes(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             cores, extents = [], []
             for head, tail, low, high in zip(*(batch.column(c).to_pylist() for c in ("head", "tail", "low", "high"))):
                 whole = head + tail
@@ -287,7 +288,7 @@ def packed(docs: DataFrame, *columns: str) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
-        for batch in batches:
+        for batch in slices(batches):
             press = zstandard.ZstdCompressor(level=3)
             texts = pa.array([press.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
             at = batch.schema.names.index("text")
@@ -313,7 +314,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
-        for batch in batches:
+        for batch in slices(batches):
             lift, out = zstandard.ZstdDecompressor(), []
             for text, places in zip(batch.column("packed").to_pylist(), batch.column("wanted").to_pylist()):
                 raw = lift.decompress(text)
@@ -357,7 +358,7 @@ def remove(docs: DataFrame, keep: list[str], found: str = "found", as_text: bool
     def run(batches: Iterator) -> Iterator:
         import zstandard
 
-        for batch in batches:
+        for batch in slices(batches):
             lift, out = zstandard.ZstdDecompressor(), []
             for text, spans in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist()):
                 raw, runs = lift.decompress(text), []

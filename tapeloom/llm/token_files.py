@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tapeloom.llm.common import slices
 from tapeloom.llm.words import encoder, in_parts
 
 SCHEMA = "doc_id long, n_tokens int, local_start long, tokens array<int>"
@@ -39,7 +40,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, kind: str, end_id:
 
         ids_of = encoder(kind, shipped.value)
         before = 0
-        for batch in batches:
+        for batch in slices(batches):
             ids = [x + end for part in in_parts(batch.column("text").to_pylist()) for x in ids_of(part)]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             ends = np.cumsum(n)
@@ -77,10 +78,10 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column("tokens")
             at = np.asarray(lists.offsets)
-            ids = memoryview(np.ascontiguousarray(lists.values.to_numpy(), dtype="<u4")).cast("B")
+            ids = memoryview(np.asarray(lists.values).view("<u4")).cast("B")
             sums = [zlib.crc32(ids[4 * a:4 * b]) for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("file"), batch.column("local_start"), pa.array(np.diff(at).astype(np.int64)), pa.array(sums, pa.int64())], ["doc_id", "file", "local_start", "n_tokens", "ids_crc32"])
 
