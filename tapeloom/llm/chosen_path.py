@@ -8,8 +8,9 @@ finds it with 0.9695 and four trees miss one pair in a million; more similar pai
 
 Members of a node that have a likely partner by their minwise tokens meet there with their texts, and all pairs are compared on
 full sets at once; a node hands on a spanning forest of its links, never its pairs. Nodes that are still large at the bottom
-hold real groups of near copies. They are split into parts of SMALL with a few common members, which tie the group
-together; whoever isn't in the group's main component then meets all others, in cells of at most twice CELL.
+hold real groups of near copies; those with the same least member are merged, as a group stands in many of them. They are
+split into parts of SMALL with a few common members, which tie the group together; whoever isn't in the group's main
+component then meets all others, in cells of at most twice CELL.
 
 Words are split at ASCII white space, with A-Z in lower case; fewer than five words are one shingle. A null or empty text has no
 shingle and is linked with nothing. A null doc_id is linked like others; the smallest known id names the component. Rows with
@@ -128,7 +129,7 @@ def _child(node: Column, place: Column) -> Column:
 
 
 def grow(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, tree, at, name) of small nodes, and the same with their size of those that are large at the bottom."""
+    """(node, tree, at, name) of small nodes, and (node, name) of those that are large at the bottom."""
     # nodes of a tree are numbered as in a heap; node i uses coordinate i - 1 of its tree's 16
     slots = F.array(*(F.struct(F.lit(r).alias("tree"), F.lit(at).alias("at")) for r in range(TREES) for at in (1, 2)))
     rows = classes.select("name", "tokens", F.explode(slots).alias("s")).select("name", _child(F.col("s.tree").cast("long"), F.col("s.tree") * 16 + F.col("s.at") - 1).alias("node"), "s.tree", "s.at")
@@ -146,7 +147,7 @@ def grow(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = small[0]
     for s in small[1:]:
         both = both.unionByName(s)
-    return both, large.select("node", "tree", "at", "name", "size")
+    return both, large.select("node", "name")
 
 
 def _by_node(rows: DataFrame, columns: list[str], task, schema: str) -> DataFrame:
@@ -299,8 +300,12 @@ def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
     facts = classes.select("name", "n", "tokens")
     paired = cut_lineage(with_partner(small.join(facts, "name")))
 
-    # large nodes in parts of SMALL, each with a few members that all parts of the node share
-    large = cut_lineage(large.withColumn("parts", F.ceil(F.col("size") / SMALL)).withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts"))).drop("size"))
+    # nodes with the same least member hold about the same group, in other trees or on other paths: they become one, of 32 nodes at most
+    least = cut_lineage(large.groupBy("node").agg(F.min(F.xxhash64("name")).alias("like")))
+    large = cut_lineage(large.join(least, "node").select(F.col("like").alias("node"), "name").distinct())
+    sizes = cut_lineage(large.groupBy("node").agg(F.ceil(F.count("*") / SMALL).alias("parts")))
+    # in parts of SMALL, each with a few members that all parts of the node share
+    large = cut_lineage(large.join(sizes, "node").withColumn("part", F.pmod(F.xxhash64("name", F.lit(7)), F.col("parts"))))
     ties = large.groupBy("node").agg(F.max("parts").alias("parts"), *(F.min(F.struct(F.xxhash64("name", F.lit(k)).alias("h"), "name")).alias(f"t{k}") for k in range(4)))
     upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1)
     tied = ties.select("node", "parts", F.explode(F.array_distinct(F.array(*(F.col(f"t{k}.name") for k in range(4))))).alias("name")).select("node", "name", F.explode(upto("parts")).alias("part"))
