@@ -52,8 +52,31 @@ def short_hash(*cols, n: int = 16) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[c(x) for x in cols]), 256), 1, n)
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = 200_000, max_chars: int = 32_000_000) -> DataFrame:
-    """Broadcast a table of text terms when its rows and characters are counted to be few; else leave the plan to Spark."""
-    size = F.coalesce(F.sum(sum((F.length(x) for x in df.columns), F.lit(0))), F.lit(0))
-    n, chars = df.limit(max_rows + 1).agg(F.count("*"), size).first()
-    return F.broadcast(df) if n <= max_rows and chars <= max_chars else df
+#: Columns that tell the order in which rows were delivered; paths name day and run.
+DELIVERY = ("file_path", "row_no")
+
+
+def one_per_key(df: DataFrame, key: list[str], last: bool = True, order: tuple[str, ...] = DELIVERY) -> DataFrame:
+    """The last (or first) row of each key by delivery order, by content where the order is unknown or equal, so reruns agree."""
+    rest = [x for x in df.columns if x not in key]
+    at = [x for x in order if x in rest]
+    best = (F.max_by if last else F.min_by)(F.struct(*rest), F.struct(*at, *[x for x in rest if x not in at]))
+    return df.groupBy(*key).agg(best.alias("_one")).select(*[x if x in key else F.col(f"_one.{x}").alias(x) for x in df.columns])
+
+
+def occurrences(texts: DataFrame, terms: DataFrame, not_before: str = "") -> DataFrame:
+    """(event_id, term) for every term that stands in a text (event_id, text), not followed by a character of ``not_before``.
+
+    Each text is cut into its distinct substrings of the lengths that terms have, and these meet the terms in an equi-join:
+    work is in proportion to the texts, whatever the number of terms. Null and empty terms stand nowhere.
+    """
+    t = terms.where("term <> ''").select("term").distinct()
+    lengths = t.agg(F.sort_array(F.collect_set(F.length("term")))).scalar()
+    cut = texts.select("event_id", F.split("text", "").alias("chars"), F.length("text").alias("n"), lengths.alias("lengths"))
+    def pieces(k: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.col("n") - k + 1)
+        if not_before:
+            starts = F.filter(starts, lambda i: ~F.coalesce(F.get("chars", i + k - 1), F.lit("")).isin(*not_before))
+        return F.transform(starts, lambda i: F.array_join(F.slice("chars", i, k), ""))
+    some = F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda k: k <= F.col("n")), pieces)))
+    return cut.select("event_id", F.explode(some).alias("term")).join(t, "term").select("event_id", "term").distinct()

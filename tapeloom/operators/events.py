@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tapeloom.functions.columns import broadcast_checked
+from tapeloom.functions.columns import occurrences
 
 # fixed values: keywords that decide the scope of a message
 MACRO_WORDS = ("降准", "降息", "加息", "MLF", "LPR", "逆回购", "存款准备金", "美联储", "FOMC", "CPI", "PPI", "社融", "汇率", "国债")
@@ -107,21 +107,11 @@ def message_text() -> Column:
 
 
 def classify_scope(news: DataFrame) -> DataFrame:
-    """Flow and company by type, then macro words, then policy words, else unknown."""
+    """Flow and company by type, then macro words, then policy words, else unknown. A scope that is stored already stays."""
     text = message_text()
-    return news.withColumn("scope", F.when(F.col("event_type") == "flow", "flow").when(F.col("event_type") == "announcement", "company")
+    told = (F.when(F.col("event_type") == "flow", "flow").when(F.col("event_type") == "announcement", "company")
                            .when(text.rlike(any_word(MACRO_WORDS)), "macro").when(text.rlike(any_word(POLICY_WORDS)), "policy"))
-
-
-def term_pairs(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(event, term) pairs where the term occurs and is not followed by 周 or 节.
-
-    A pattern join has no equi key. Terms are a curated table: when it is checked to be small it is broadcast
-    and every text is scanned where it lies; otherwise Spark plans the nested loop itself.
-    """
-    t = broadcast_checked(terms.select("term").distinct())
-    pattern = F.concat(F.lit("\\Q"), F.col("term"), F.lit("\\E(?![周节])"))
-    return texts.join(t, F.contains("text", "term") & F.rlike("text", pattern)).select("event_id", "term")
+    return news.withColumn("scope", F.coalesce(F.nullif("scope", F.lit("")), told) if "scope" in news.columns else told)
 
 
 def link_events(news: DataFrame, watch: DataFrame, industry: DataFrame, linked: DataFrame | None = None) -> DataFrame:
@@ -131,7 +121,7 @@ def link_events(news: DataFrame, watch: DataFrame, industry: DataFrame, linked:
     themes = live.select("symbol", F.explode("themes").alias("term"))
     names = industry.join(live.select("symbol"), "symbol", "left_semi").select("symbol", F.col("industry_name").alias("term"))
     terms = themes.unionByName(names).where("term <> ''").distinct()
-    hits = term_pairs(texts, terms).join(terms, "term").select("event_id", "symbol").distinct()
+    hits = occurrences(texts, terms, not_before="周节").join(terms, "term").select("event_id", "symbol").distinct()
     return hits if linked is None else linked.select("event_id", "symbol").union(hits).distinct()
 
 

@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tapeloom.functions.columns import c
+from tapeloom.functions.columns import DELIVERY, c, one_per_key
 
 TOL = 1e-6
 SEARCH_DAYS = 40
@@ -102,9 +102,13 @@ def vals_equal(a, b, tol: float | None = TOL) -> Column:
 
 
 def merge_facts(cur: DataFrame, new: DataFrame, key: list[str], values: list[str], numeric: tuple[str, ...] = ()) -> DataFrame:
-    """Upsert by full outer join: the resulting rows with action insert, update, same or keep and old/new JSON of changes."""
+    """Upsert by full outer join: the resulting rows with action insert, update, same or keep and old/new JSON of changes.
+
+    Of a key that was delivered more than once the last row counts.
+    """
+    last = one_per_key(new.select(*key, *values, *[x for x in DELIVERY if x in new.columns and x not in key + values]), key)
     a = cur.select(*key, F.struct(*values).alias("_old"))
-    b = new.select(*key, F.struct(*values).alias("_new"))
+    b = last.select(*key, F.struct(*values).alias("_new"))
     x = a.join(b, key, "full_outer")
     same = reduce(lambda p, q: p & q, [vals_equal(F.col(f"_old.{v}"), F.col(f"_new.{v}"), TOL if v in numeric else None) for v in values])
     action = F.when(F.col("_new").isNull(), "keep").when(F.col("_old").isNull(), "insert").when(same, "same").otherwise("update")
@@ -115,12 +119,19 @@ def merge_facts(cur: DataFrame, new: DataFrame, key: list[str], values: list[str
 
 
 def append_revision(cur: DataFrame, new: DataFrame, key: list[str], values: list[str]) -> DataFrame:
-    """Rows to append: content equal to the newest revision is skipped, else revision = newest + 1."""
+    """Rows to append, numbered on from the newest revision in delivery order; content equal to the one before it is skipped.
+
+    A batch holds few deliveries of a key, so the window per key stays small.
+    """
+    at = [x for x in DELIVERY if x in new.columns and x not in key + values]
     last = cur.groupBy(*key).agg(F.max_by(F.struct("revision", *values), "revision").alias("_l"))
-    x = new.join(last, key, "left")
-    same = reduce(lambda p, q: p & q, [F.col(f"_l.{v}").eqNullSafe(F.col(v)) for v in values])
-    x = x.where(F.col("_l").isNull() | ~same)
-    return x.withColumn("revision", F.coalesce(F.col("_l.revision"), F.lit(0)) + 1).drop("_l")
+    w = Window.partitionBy(*key).orderBy(*at, *values)
+    x = new.join(last, key, "left").withColumn("_n", F.row_number().over(w))
+    before = lambda v: F.when(F.col("_n") == 1, F.col(f"_l.{v}")).otherwise(F.lag(v).over(w))
+    same = reduce(lambda p, q: p & q, [before(v).eqNullSafe(F.col(v)) for v in values])
+    x = x.withColumn("_add", ((F.col("_n") == 1) & F.col("_l").isNull()) | ~same)
+    number = F.coalesce(F.col("_l.revision"), F.lit(0)) + F.sum(F.col("_add").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn("revision", number.cast(cur.schema["revision"].dataType)).where("_add").drop("_l", "_n", "_add", *at)
 
 
 def next_open(rows: DataFrame, spine: DataFrame, day: str, name: str = "available_on") -> DataFrame:

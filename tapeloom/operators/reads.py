@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapeloom.functions.columns import c, nonzero
 from tapeloom.operators.daily_watch import box_state, tier_state
+from tapeloom.session import cut_lineage
 
 # fixed values: indicator columns on the price scale, which fold with the factor
 PRICE_SCALE = ("ma5", "ma10", "ma20", "ma60", "ma120", "ma250", "boll_mid", "boll_upper", "boll_lower")
@@ -175,16 +176,22 @@ def card_list(cards: DataFrame, pool: DataFrame, symbol=None, status=None, start
     return x.join(pool.select("symbol", "name"), "symbol", "left")
 
 
-def card_chain(cards: DataFrame, max_depth: int = 200) -> DataFrame:
-    """Chain of versions each card supersedes, newest first, as a recursive query; a cycle ends the walk."""
-    cards.select("card_version_id", "supersedes_id").createOrReplaceTempView("_chain_cards")
-    return cards.sparkSession.sql(f"""
-      WITH RECURSIVE walk(card_version_id, nxt, chain) MAX RECURSION LEVEL {max_depth} AS (
-        SELECT card_version_id, supersedes_id, array(card_version_id) FROM _chain_cards
-        UNION ALL
-        SELECT w.card_version_id, c.supersedes_id, array_append(w.chain, w.nxt) FROM walk w LEFT JOIN _chain_cards c ON c.card_version_id = w.nxt
-        WHERE w.nxt IS NOT NULL AND NOT array_contains(w.chain, w.nxt))
-      SELECT card_version_id, max_by(chain, size(chain)) AS chain FROM walk GROUP BY card_version_id""")
+def card_chain(cards: DataFrame) -> DataFrame:
+    """Chain of versions each card supersedes, newest first, of any length; a cycle ends the walk, an unknown version ends its chain.
+
+    Each round doubles the known part of all chains, so a chain of n versions takes log2(n) joins. The result holds the chain of
+    every card given; for the history of one symbol pass its cards only.
+    """
+    walk = cards.select("card_version_id", F.array("card_version_id").alias("chain"), F.col("supersedes_id").alias("nxt"))
+    while True:
+        walk = cut_lineage(walk)
+        if walk.where("nxt is not null").isEmpty():
+            return walk.select("card_version_id", "chain")
+        on = walk.select(F.col("card_version_id").alias("nxt"), F.col("chain").alias("more"), F.col("nxt").alias("then"))
+        longer = F.when(F.col("nxt").isNull(), F.col("chain")).otherwise(F.concat("chain", F.coalesce("more", F.array("nxt"))))
+        x = walk.join(on, "nxt", "left").select("card_version_id", longer.alias("chain"), "then")
+        once = F.array_distinct("chain")  # a walk round a cycle repeats what it has passed
+        walk = x.select("card_version_id", once.alias("chain"), F.when(F.size(once) == F.size("chain"), F.col("then")).alias("nxt"))
 
 
 def executions_between(x: DataFrame, start: str, end: str, symbol: str | None = None) -> DataFrame:

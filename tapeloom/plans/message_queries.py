@@ -142,6 +142,7 @@ def _(m):
     cur = x.where("fiscal_year < 2000 and q <> 3 and sym like '%.SH'").select(
         F.col("sym").alias("symbol"), F.col("period_end").alias("stat_date"), (F.floor((F.col("revenue") / 1000).cast("double")) + F.when(F.col("q") == 2, 1).otherwise(0)).cast("double").alias("holder_count"),
         none.alias("holder_count_prev"), F.floor((F.col("net_profit_attr") / 1000).cast("double")).cast("double").alias("holder_count_delta"), *[none.alias(k) for k in rp.HOLDER_FIELDS[3:]], s("available_date").alias("announced_at"))
+    raw = raw.withColumns({"holder_count": F.when(F.col("holder_count") != "", "1").otherwise(""), "row_no": F.lit(1)}).unionByName(raw.withColumn("row_no", F.lit(2)))
     return rp.parse_holders(raw, cur).select("symbol", "stat_date", "action", "holder_count", "holder_count_delta")
 
 
@@ -254,7 +255,8 @@ def feed(m):
 
 @query("s24_parse_news", f"""
 select f.row_no, f.title, case when f.ext is not null then {EVT('akshare', 'f.ext')} when f.h is not null then {EVT('akshare', 'f.h')} else {EVT('akshare', 'f.title')} end as event_id,
-  substring(trim(f.content), 1, 120) as summary, 4 as source_tier from feed_kept k join feed f using (row_no)""")
+  substring(trim(f.content), 1, 120) as summary, 4 as source_tier from feed_kept k join feed f using (row_no)
+qualify row_number() over (partition by coalesce(f.ext, f.h, f.title) order by f.row_no) = 1""")
 def _(m):
     x = feed(m)
     known = x.join(m.table("labels").where("quality = 0").select(F.col("doc_id").alias("row_no")), "row_no", "left_semi").select(
@@ -291,14 +293,15 @@ def _(m):
 
 
 @query("s27_flow_block", f"""
-with x as (select p_brand as sym, l_shipdate::date as d, l_extendedprice::decimal(18,2)::varchar as price, l_quantity::int::varchar as vol, min(l_discount::decimal(6,2)::varchar) as prem, l_extendedprice*1000 as amt
-  from lineitem join part on p_partkey = l_partkey group by 1, 2, 3, 4, l_extendedprice)
+with y as (select p_brand as sym, l_shipdate::date as d, l_extendedprice::decimal(18,2)::varchar as price, l_quantity::int::varchar as vol, l_discount::decimal(6,2)::varchar as prem, l_extendedprice*1000 as amt,
+  'B' || l_suppkey as buyer, l_orderkey * 100 + l_linenumber as row_no from lineitem join part on p_partkey = l_partkey),
+x as (select * from y qualify row_number() over (partition by sym, d, price, vol order by row_no, prem, buyer) = 1)
 select {EVT('akshare|dzjy', "'dzjy:' || sym || ':' || d::varchar || ':' || price || ':' || vol")} as event_id, sym as symbol, d::varchar as trade_date, '大宗交易：成交价 ' || price || '（折溢价 ' || prem || '%）' as title,
-  '成交量 ' || vol || ' 股；成交额 ' || printf('%.2f', amt/1e8) || ' 亿元；买方 B' as summary from x""")
+  '成交量 ' || vol || ' 股；成交额 ' || printf('%.2f', amt/1e8) || ' 亿元；买方 ' || buyer as summary from x""")
 def _(m):
     li = m.table("lineitem").join(m.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol")), "l_partkey")
     raw = li.select("symbol", F.to_date("l_shipdate").alias("trade_date"), s(F.col("l_extendedprice").cast("decimal(18,2)")).alias("price"), s(F.col("l_quantity").cast("int")).alias("volume"),
-                    s(F.col("l_discount").cast("decimal(6,2)")).alias("premium_rate"), s(F.col("l_extendedprice") * 1000).alias("amount"), F.lit("B").alias("buy_branch"), F.lit("").alias("sell_branch"))
+                    s(F.col("l_discount").cast("decimal(6,2)")).alias("premium_rate"), s(F.col("l_extendedprice") * 1000).alias("amount"), F.concat(F.lit("B"), s("l_suppkey")).alias("buy_branch"), F.lit("").alias("sell_branch"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("row_no"))
     return ms.flow_block(raw)
 
 
@@ -327,6 +330,7 @@ select 'x' as factor_type, code, trade_date::varchar as trade_date, case when tr
 def _(m):
     base = m.macro_factors.withColumn("factor_type", F.lit("x"))
     new = base.where("trade_date >= '2000-01-15'").select("factor_type", "code", "trade_date", F.lit("").alias("market"), (F.col("close") + 1).cast("decimal(38,10)").alias("close"))
+    new = new.withColumns({"close": (F.col("close") + 7).cast("decimal(38,10)"), "row_no": F.lit(1)}).unionByName(new.withColumn("row_no", F.lit(2)))
     return ms.parse_macro(new, base.where("trade_date < '2000-01-20'").select("factor_type", "code", "trade_date", "market", "close"))
 
 
@@ -337,6 +341,7 @@ def _(m):
     cur = x.select("symbol", "industry_code", "industry_name", F.lit("2000-01-05").cast("date").alias("classification_date"))
     old = x.select("symbol", F.lit("BK7").alias("industry_code"), "industry_name", F.lit("2001-01-05").cast("date").alias("classification_date"))
     raw = x.select(F.lit("data/raw/akshare/industry/2001-01-05/run1/symbol_industry.csv").alias("file_path"), "symbol", F.lit("BK9").alias("industry_code"), "industry_name")
+    raw = raw.withColumns({"industry_code": F.lit("BX"), "row_no": F.lit(1)}).unionByName(raw.withColumn("row_no", F.lit(2)))
     return ms.parse_industry(raw.unionByName(raw.withColumn("industry_name", F.lit(""))), cur.unionByName(old))
 
 

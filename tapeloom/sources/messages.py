@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tapeloom.functions.columns import broadcast_checked
+from tapeloom.functions.columns import DELIVERY, occurrences, one_per_key
 from tapeloom.session import cut_lineage
 from tapeloom.operators.quality import clean_num, local_midnight_utc, market_of, next_open, text, to_symbol, tz_of
 
@@ -91,16 +91,20 @@ def first_of_two_keys(x: DataFrame, a: str, b: str, order: str) -> DataFrame:
 
 
 def parse_news(df: DataFrame, known: DataFrame, source: str = "akshare") -> DataFrame:
-    """News without duplicates: same external id or same content hash, against the stored ones and each other."""
+    """News without duplicates: same external id or same content hash, against the stored ones and each other.
+
+    Messages with neither are known by their title; of one event id the first row stays.
+    """
     x = df.select(text("title").alias("title"), F.coalesce(text("content"), F.lit("")).alias("content"), text("published_at").alias("published_at"),
                   text("source_external_id").alias("ext_id"), text("content_hash").alias("content_hash"), text("summary").alias("_sum"), "row_no")
     x = x.where("title is not null and published_at is not null")
     x = x.join(known.where("ext_id is not null").select("ext_id").distinct(), "ext_id", "left_anti").join(
         known.where("content_hash is not null").select("content_hash").distinct(), "content_hash", "left_anti")
     ids = first_of_two_keys(x.select("row_no", "ext_id", "content_hash"), "ext_id", "content_hash", "row_no").select("row_no")
-    return x.join(ids, "row_no", "left_semi").select(
+    kept = x.join(ids, "row_no", "left_semi").select(
         "row_no", event_id(F.lit(source), F.coalesce("ext_id", "content_hash", "title")).alias("event_id"), "title", "content", "published_at",
         F.col("published_at").alias("available_at"), F.coalesce("_sum", F.substring("content", 1, SUMMARY_CHARS)).alias("summary"), F.lit(4).alias("source_tier"))
+    return one_per_key(kept, ["event_id"], last=False, order=("row_no",)).select(*kept.columns)
 
 
 def match_entities(news: DataFrame, watch: DataFrame) -> DataFrame:
@@ -109,8 +113,7 @@ def match_entities(news: DataFrame, watch: DataFrame) -> DataFrame:
     texts = news.select("event_id", t.alias("text"))
     codes = texts.select("event_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?<![0-9A-Za-z_])(\d{6}\.(?:SH|SZ|BJ|HK))(?![0-9A-Za-z_])"), F.lit(1))).alias("symbol"))
     terms = watch.where("active").select("symbol", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("term")).where("term <> ''")
-    distinct = broadcast_checked(terms.select("term").distinct())
-    named = texts.join(distinct, F.contains("text", "term")).select("event_id", "term").join(terms, "term").select("event_id", "symbol")
+    named = occurrences(texts, terms).join(terms, "term").select("event_id", "symbol")
     return codes.unionByName(named).distinct()
 
 
@@ -137,14 +140,14 @@ def flow_lhb(df: DataFrame) -> DataFrame:
 
 
 def flow_block(df: DataFrame) -> DataFrame:
-    """One event per symbol, day, price and volume."""
+    """One event per symbol, day, price and volume, whole as it was delivered first."""
     x = df.where(F.coalesce(text("price"), F.lit("")) != "").where("symbol is not null and trade_date is not null and volume is not null")
     ext = F.concat_ws(":", F.lit("dzjy"), "symbol", F.col("trade_date").cast("string"), "price", "volume")
     title = F.concat(F.lit("大宗交易：成交价 "), "price", F.coalesce(F.concat(F.lit("（折溢价 "), text("premium_rate"), F.lit("%）")), F.lit("")))
     body = F.concat_ws("；", F.concat(F.lit("成交量 "), "volume", F.lit(" 股")), F.concat(F.lit("成交额 "), yi("amount"), F.lit("元")),
                        F.concat(F.lit("买方 "), text("buy_branch")), F.concat(F.lit("卖方 "), text("sell_branch")))
-    y = x.select(event_id(F.lit("akshare"), F.lit("dzjy"), ext).alias("event_id"), "symbol", "trade_date", title.alias("title"), body.alias("summary"))
-    return y.groupBy("event_id").agg(*[F.min(c).alias(c) for c in ("symbol", "trade_date", "title", "summary")])
+    y = x.select(event_id(F.lit("akshare"), F.lit("dzjy"), ext).alias("event_id"), "symbol", "trade_date", title.alias("title"), body.alias("summary"), *[k for k in DELIVERY if k in df.columns])
+    return one_per_key(y, ["event_id"], last=False).select("event_id", "symbol", "trade_date", "title", "summary")
 
 
 def cal_id(kind: str, day: Column) -> Column:
@@ -170,19 +173,22 @@ def cal_unlock(df: DataFrame) -> DataFrame:
 
 
 def parse_macro(df: DataFrame, current: DataFrame) -> DataFrame:
-    """Upsert by factor type, code and day: a delivered row replaces the stored one."""
+    """Upsert by factor type, code and day: the row delivered last replaces the stored one."""
     x = df.where("factor_type is not null and code is not null and trade_date is not null and close is not null").select(
-        "factor_type", "code", "trade_date", F.coalesce(text("market"), F.lit("CN")).alias("market"), "close")
+        "factor_type", "code", "trade_date", F.coalesce(text("market"), F.lit("CN")).alias("market"), "close", *[k for k in DELIVERY if k in df.columns])
     key = ["factor_type", "code", "trade_date"]
+    x = one_per_key(x, key).select(*key, "market", "close")
     return current.select(*key, "market", "close").join(x, key, "left_anti").withColumn("fresh", F.lit(False)).unionByName(x.withColumn("fresh", F.lit(True)))
 
 
 def parse_industry(df: DataFrame, current: DataFrame) -> DataFrame:
-    """Industry membership; the classification day is the folder after ``industry``."""
+    """Industry membership, the row delivered last; the classification day is the folder after ``industry``."""
     x = df.select(text("symbol").alias("symbol"), text("industry_code").alias("industry_code"), text("industry_name").alias("industry_name"),
-                  F.try_to_date(F.regexp_extract("file_path", r"/industry/(\d{4}-\d{2}-\d{2})/", 1), "yyyy-MM-dd").alias("classification_date")).dropna()
+                  F.try_to_date(F.regexp_extract("file_path", r"/industry/(\d{4}-\d{2}-\d{2})/", 1), "yyyy-MM-dd").alias("classification_date"), *[k for k in DELIVERY if k in df.columns])
     key = ["symbol", "classification_date"]
-    return current.join(x, key, "left_anti").unionByName(x.dropDuplicates(key))
+    fields = [*key, "industry_code", "industry_name"]
+    x = one_per_key(x.dropna(subset=fields), key).select("symbol", "industry_code", "industry_name", "classification_date")
+    return current.join(x, key, "left_anti").unionByName(x)
 
 
 def expand_calendar(spec: DataFrame, holidays: DataFrame, half_days: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tapeloom.functions.columns import DELIVERY, one_per_key
 from tapeloom.operators.quality import clean_num, gate_calendar, lookup, market_of, ohlc_reason, text, to_symbol
 
 # fixed values
@@ -55,8 +56,9 @@ def parse_price_b(df: DataFrame, cal: DataFrame) -> DataFrame:
 
 
 def turnover_update(bars: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Turnover written onto existing bars, only where it is known and differs."""
-    t = parsed.where("turnover is not null").select("symbol", "trade_date", F.col("turnover").alias("_t"))
+    """Turnover written onto existing bars, only where it is known and differs; of repeated deliveries the last counts."""
+    t = parsed.where("turnover is not null").select("symbol", "trade_date", F.col("turnover").alias("_t"), *[x for x in DELIVERY if x in parsed.columns])
+    t = one_per_key(t, ["symbol", "trade_date"]).select("symbol", "trade_date", "_t")
     x = bars.join(t, ["symbol", "trade_date"], "left")
     change = F.col("_t").isNotNull() & (F.col("turnover").isNull() | (F.col("turnover") != F.col("_t")))
     return x.withColumns({"turnover_changed": change, "turnover": F.when(change, F.col("_t")).otherwise(F.col("turnover"))}).drop("_t")

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tapeloom.functions.columns import DELIVERY
 from tapeloom.operators.quality import append_revision, clean_dec, clean_num, lookup, market_of, merge_facts, text, to_symbol
 from tapeloom.operators.valuation import PREFERRED_GROUP
 
@@ -33,9 +34,10 @@ def parse_income_a(df: DataFrame, current: DataFrame) -> DataFrame:
     """Income statements whose period is in the file name; the first filled candidate column wins. Only new content
     comes back, as revision 1 or one above the newest."""
     facts = [F.coalesce(*[clean_dec(k) for k in cols]).alias(n) for n, cols in INCOME_COLUMNS.items()]
-    x = df.select(text("thscode").alias("symbol"), file_period().alias("period_end"), *facts).where("symbol is not null and period_end is not null")
+    at = [k for k in DELIVERY if k in df.columns]
+    x = df.select(text("thscode").alias("symbol"), file_period().alias("period_end"), *facts, *at).where("symbol is not null and period_end is not null")
     x = x.select("symbol", "period_end", period_type(F.col("period_end")).alias("period_type"), F.lit(True).alias("is_cumulative"),
-                 F.year("period_end").alias("fiscal_year"), *FACTS)
+                 F.year("period_end").alias("fiscal_year"), *FACTS, *at)
     return append_revision(current, x, REPORT_KEY, FACTS)
 
 
@@ -121,8 +123,8 @@ def parse_holders(df: DataFrame, current: DataFrame) -> DataFrame:
     whole = lambda k: F.floor(clean_num(k)).cast("double")
     cols = [(whole(k) if k.startswith("holder_count") and k != "holder_count_delta_pct" else clean_num(k)).alias(k) for k in HOLDER_FIELDS]
     x = df.select(F.regexp_extract("file_path", r"(\d{6}\.(?:SH|SZ|BJ))_gdhs", 1).alias("symbol"), F.try_to_date(F.trim("stat_date"), "yyyy-MM-dd").alias("stat_date"),
-                  *cols, text("announced_at").alias("announced_at"))
-    x = x.where("symbol <> '' and stat_date is not null and holder_count is not null").dropDuplicates(["symbol", "stat_date"])
+                  *cols, text("announced_at").alias("announced_at"), *[k for k in DELIVERY if k in df.columns])
+    x = x.where("symbol <> '' and stat_date is not null and holder_count is not null")
     return merge_facts(current, x, ["symbol", "stat_date"], [*HOLDER_FIELDS, "announced_at"], HOLDER_FIELDS)
 
 

@@ -226,3 +226,44 @@ def test_news_dedup_equals_sequential_replay(spark):
         hs |= {h} - {None}
     df = spark.createDataFrame(rows, "n int, e string, h string")
     assert sorted(r.n for r in first_of_two_keys(df, "e", "h", "n").collect()) == want
+
+
+def test_repeated_deliveries_keep_the_key(spark):
+    from tapeloom.sources.prices import turnover_update
+    cur = spark.createDataFrame([("a", 1.0)], "k string, v double")
+    new = spark.createDataFrame([("a", 2.0, 1), ("a", 3.0, 2), ("b", 5.0, 4), ("b", 4.0, 3)], "k string, v double, row_no int")
+    got = {r.k: (r.action, r.v) for r in quality.merge_facts(cur, new, ["k"], ["v"], ("v",)).collect()}
+    assert got == {"a": ("update", 3.0), "b": ("insert", 5.0)}
+    had = spark.createDataFrame([("a", 1.0, 3)], "k string, v double, revision int")
+    new = spark.createDataFrame([("a", 1.0, 1), ("a", 2.0, 2), ("a", 2.0, 3), ("a", 1.0, 4), ("b", 7.0, 5), ("b", 7.0, 6)], "k string, v double, row_no int")
+    got = sorted((r.k, r.revision, r.v) for r in quality.append_revision(had, new, ["k"], ["v"]).collect())
+    assert got == [("a", 4, 2.0), ("a", 5, 1.0), ("b", 1, 7.0)]
+    bars = spark.createDataFrame([("a", D0, 0.1), ("b", D0, 0.2)], "symbol string, trade_date date, turnover double")
+    told = spark.createDataFrame([("a", D0, 0.3, "d/1"), ("a", D0, 0.4, "d/2")], "symbol string, trade_date date, turnover double, file_path string")
+    assert sorted((r.symbol, r.turnover) for r in turnover_update(bars, told).collect()) == [("a", 0.4), ("b", 0.2)]
+
+
+def test_long_card_chain(spark):
+    from tapeloom.operators.reads import card_chain
+    rows = [(f"v{i}", f"v{i - 1}" if i else None) for i in range(1000)] + [("x", "y"), ("y", "z"), ("z", "y"), ("lone", "unknown")]
+    got = {r.card_version_id: r.chain for r in card_chain(spark.createDataFrame(rows, "card_version_id string, supersedes_id string")).collect()}
+    assert got["v999"] == [f"v{i}" for i in range(999, -1, -1)] and got["v0"] == ["v0"]
+    assert got["x"] == ["x", "y", "z"] and got["y"] == ["y", "z"] and got["z"] == ["z", "y"] and got["lone"] == ["lone", "unknown"]
+
+
+def test_terms_occur_as_in_plain_search(spark):
+    from tapeloom.functions.columns import occurrences
+    rnd = random.Random(5)
+    texts = [(i, "".join(rnd.choice("ab周节") for _ in range(rnd.randrange(12)))) for i in range(60)] + [(60, None), (61, "")]
+    terms = sorted({"".join(rnd.choice("ab") for _ in range(n)) for n in (1, 2, 3, 3)}) + ["", None]
+    t, w = spark.createDataFrame(texts, "event_id int, text string"), spark.createDataFrame([(x,) for x in terms], "term string")
+    found = lambda n: {(r.event_id, r.term) for r in occurrences(t, w, n).collect()}
+    spots = [(i, k, text[at + len(k):at + len(k) + 1]) for i, text in texts if text for k in terms if k for at in range(len(text)) if text.startswith(k, at)]
+    assert found("") == {(i, k) for i, k, _ in spots}
+    assert found("周节") == {(i, k) for i, k, then in spots if then not in ("周", "节")}
+
+
+def test_a_stored_scope_stays(spark):
+    from tapeloom.operators.events import classify_scope
+    news = spark.createDataFrame([(1, "news", "MLF", None, "industry"), (2, "news", "MLF", None, None), (3, "flow", "x", None, "")], "event_id int, event_type string, title string, summary string, scope string")
+    assert {r.event_id: r.scope for r in classify_scope(news).collect()} == {1: "industry", 2: "macro", 3: "flow"}
