@@ -359,11 +359,14 @@ def _(m):
 
 @query("s35_explode_md_table", """
 with l as (select doc_id, u.i, u.line from (select doc_id, string_split(text, chr(10)) as ls from documents) d, lateral (select unnest(range(len(ls))) as i, unnest(ls) as line) u),
-w as (select doc_id, i, '| ' || array_to_string(list_slice(string_split(line, ' '), 1, 3), ' | ') || ' |' as t from l),
+w as (select doc_id, i, '| ' || array_to_string(list_slice(ws, k * 3 + 1, k * 3 + 3), ' | ') || ' |' as t from (select doc_id, i, ws, unnest(range((len(ws) + 2) // 3)) as k from (select doc_id, i, string_split(line, ' ') as ws from l) x) y),
 c as (select doc_id, i, list_transform(string_split(regexp_replace(t, '^\\|+|\\|+$', '', 'g'), '|'), lambda v: regexp_replace(v, '^\\s+|\\s+$', '', 'g')) as c from w where not regexp_full_match(t, '\\|[\\s\\-:|]+\\|')),
 k as (select c, min((doc_id, i + 1)) as k from c where len(c) = 3 group by 1)
 select k[1] as doc_id, u.h as "column", u.v as value from (select k, c from k) z, lateral (select unnest(['name', '_col2', 'name_2']) as h, unnest(c) as v) u""")
 def _(m):
-    rows = F.transform(F.split("text", "\n"), lambda v: F.concat(F.lit("| "), F.array_join(F.slice(F.split(v, " "), 1, 3), " | "), F.lit(" |")))
+    # every three words of a line are a row; what is left over at its end makes a ragged one
+    row = lambda ws, k: F.concat(F.lit("| "), F.array_join(F.slice(ws, k * 3 + 1, 3), " | "), F.lit(" |"))
+    lines = F.transform(F.split("text", "\n"), lambda v: F.split(v, " "))
+    rows = F.flatten(F.transform(lines, lambda ws: F.transform(F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / 3).cast("int")), lambda k: row(ws, k))))
     md = F.concat(F.lit("| name |  | name |\\n|---|:-:|---|\n"), F.array_join(rows, "\n"))
     return ms.explode_md_table(m.table("documents").select("doc_id", md.alias("table_markdown"))).drop("row_no")

@@ -137,13 +137,13 @@ def _(m):
 
 
 @query("v02_clean_values", """
-with t as (select conv_id, turn, split_part(text, ' ', 1) as w, conv_id % 7 as k, conv_id from conversations)
+with t as (select conv_id, turn, conv_id % 7 as k, text from conversations)
 select conv_id, turn, case k when 0 then null when 1 then null when 2 then null when 3 then 1200.5 when 4 then null when 5 then null else conv_id end::double as num,
-  case k when 3 then '1200.5' when 6 then conv_id::varchar end as dec from t""")
+  case k when 3 then '1200.5' when 6 then conv_id::varchar end as dec, try_cast(nullif(trim(text), '') as double) as of_text from t""")
 def _(m):
     k = F.col("conv_id") % 7
-    raw = F.when(k == 0, " ").when(k == 1, "NA").when(k == 2, "nan").when(k == 3, " 1.2005E3 ").when(k == 4, "None").when(k == 5, F.element_at(F.split("text", " "), 1)).otherwise(F.col("conv_id").cast("string"))
-    return m.table("conversations").select("conv_id", "turn", q.clean_num(raw).alias("num"), q.dec_text(q.clean_dec(raw)).alias("dec"))
+    raw = F.when(k == 0, " ").when(k == 1, "NA").when(k == 2, "nan").when(k == 3, " 1.2005E3 ").when(k == 4, "None").when(k == 5, F.col("text")).otherwise(F.col("conv_id").cast("string"))
+    return m.table("conversations").select("conv_id", "turn", q.clean_num(raw).alias("num"), q.dec_text(q.clean_dec(raw)).alias("dec"), q.clean_num("text").alias("of_text"))
 
 
 @query("v03_gate_calendar", "select sym as symbol, td::varchar as trade_date, case when market = 'HK' then 'calendar_missing' else cal_reason end as cal_reason from vgate")
