@@ -83,16 +83,25 @@ def test_share_factor_counts_splits_after_the_day(spark):
 
 def test_kernel_holds_unit_mass():
     edges = np.linspace(5, 15, 41)
-    for args in ((8.0, 12.0, 8.0), (8.0, 12.0, 12.0), (8.0, 12.0, 9.3), (9.0, 9.0, 9.0)):
-        mass = chips.day_kernel(edges, *args)
-        assert mass.sum() == pytest.approx(1.0) and (mass >= -1e-12).all()
+    low, high, top = np.array([(8.0, 12.0, 8.0), (8.0, 12.0, 12.0), (8.0, 12.0, 9.3), (9.0, 9.0, 9.0), (1.0, 20.0, 3.0)]).T
+    for flat in (False, True):
+        mass = chips.masses(edges, low, high, top, np.full(5, flat))
+        assert mass.sum(axis=1) == pytest.approx(1.0) and (mass >= -1e-12).all()
+    assert mass[0] == pytest.approx(np.where((edges[:-1] >= 8) & (edges[1:] <= 12), 1 / 16, 0)) and np.flatnonzero(mass[3]).tolist() == [15]
+
+
+def triangle(x, a, b, peak):
+    if x <= a or x >= b:
+        return float(x >= b)
+    return (x - a) ** 2 / (b - a) / (peak - a) if x <= peak else 1 - (b - x) ** 2 / (b - a) / (b - peak)
 
 
 def test_chip_replay_against_direct_recursion():
     rnd = random.Random(2)
-    c = [10 + rnd.uniform(-2, 2) for _ in range(40)]
-    pdf = bars(c, high_raw=[x + 1 for x in c], low_raw=[x - 1 for x in c], turnover=[rnd.uniform(0, 0.4) if i % 7 else None for i in range(40)],
-               volume_raw=[0.0 if i == 11 else 100.0 for i in range(40)])
+    n = 2 * chips.BLOCK + 9
+    c = [10 + rnd.uniform(-2, 2) for _ in range(n)]
+    pdf = bars(c, high_raw=[x + 1 for x in c], low_raw=[x - 1 for x in c], turnover=[rnd.uniform(0, 1.4) if i % 7 else None for i in range(n)],
+               volume_raw=[0.0 if i == 11 else 100.0 for i in range(n)])
     pdf["turnover"] = pdf["turnover"].astype(float)
     pdf["trading_status"] = "trading"
     out = chips.replay(pdf, 60)
@@ -104,9 +113,10 @@ def test_chip_replay_against_direct_recursion():
             w = np.clip((edges[1:] - r.low_raw) / 2, 0, 1) - np.clip((edges[:-1] - r.low_raw) / 2, 0, 1)
         elif r.volume_raw > 0 and not math.isnan(r.turnover):
             k = min(0.7 * r.turnover, 0.8)
-            w = (1 - k) * w + k * chips.day_kernel(edges, r.low_raw, r.high_raw, r.close_raw)
+            w = (1 - k) * w + k * np.diff([triangle(x, r.low_raw, r.high_raw, r.close_raw) for x in edges])
         assert out["avg_cost_adj"].iloc[i] == pytest.approx(float(mid @ w))
         assert out["winner_ratio"].iloc[i] == pytest.approx(float(np.interp(r.close_raw, mid, np.cumsum(w))))
+        assert [out["cost_5_adj"].iloc[i], out["cost_95_adj"].iloc[i]] == pytest.approx(np.interp([0.05, 0.95], np.cumsum(w), mid))
     assert math.isnan(out["turnover_used"].iloc[11])
 
 
