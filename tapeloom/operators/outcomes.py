@@ -91,15 +91,19 @@ def first_below(entries: DataFrame, bars: DataFrame, key: str, day: str, line: s
     return a.unionByName(b).groupBy("symbol").applyInPandas(_first_below, "symbol string, key string, deep_date date")
 
 
-def exit_points(positions: DataFrame, facts: DataFrame, bars: DataFrame) -> DataFrame:
-    """Exits offered to an open position: confirmed falsifications and stop-outs after entry, first close below the deep line."""
+def exit_points(positions: DataFrame, facts: DataFrame, bars: DataFrame, decided: DataFrame | None = None) -> DataFrame:
+    """Exits offered to an open position: confirmed falsifications and stop-outs after entry, first close below the deep line.
+
+    Exits in ``decided`` (symbol, decision_date, source) aren't offered again; a decided deep exit is not followed by a later one.
+    """
     pos = positions.select("symbol", "position_id", "entry_date", "deep_exit_line")
     sig = facts.where(((F.col("signal") == "falsification_breach") & F.col("triggered")) | ((F.col("signal") == "right_side") & (F.col("state") == "stopped_out")))
     sig = sig.select("symbol", "observed_on", F.when(F.col("signal") == "right_side", "stopped_out").otherwise(F.col("signal")).alias("source"))
     hits = pos.join(sig, "symbol").where("observed_on > entry_date").select("symbol", "position_id", F.col("observed_on").alias("exit_date"), "source")
     deep = first_below(pos, bars, "position_id", "entry_date", "deep_exit_line").select(
         "symbol", F.col("key").alias("position_id"), F.col("deep_date").alias("exit_date"), F.lit("deep_exit").alias("source"))
-    return hits.unionByName(deep)
+    points = hits.unionByName(deep)
+    return points if decided is None else points.join(decided.withColumnRenamed("decision_date", "exit_date"), ["symbol", "exit_date", "source"], "left_anti").select(points.columns)
 
 
 def decision_fields(points: DataFrame, bar_cards: DataFrame, spine: DataFrame, now: str) -> DataFrame:

@@ -218,10 +218,15 @@ select symbol, observed_on, case when signal = 'right_side' then 'stopped_out' e
 
 
 @query("t03_exit_points", """
-select p.symbol, position_id, observed_on::varchar as exit_date, e.source from positions p join exit_sig e on e.symbol = p.symbol and e.observed_on > p.entry_date
-union all select p.symbol, position_id, min(trade_date)::varchar, 'deep_exit' from positions p join daily_bars b on b.symbol = p.symbol and b.trade_date > p.entry_date and b.close_raw < p.deep_exit_line group by 1, 2""")
+select symbol, position_id, d::varchar as exit_date, source from (
+  select p.symbol, position_id, observed_on as d, e.source from positions p join exit_sig e on e.symbol = p.symbol and e.observed_on > p.entry_date
+  union all select p.symbol, position_id, min(trade_date), 'deep_exit' from positions p join daily_bars b on b.symbol = p.symbol and b.trade_date > p.entry_date and b.close_raw < p.deep_exit_line group by 1, 2)
+where not (source = 'stopped_out' and day(d) % 3 = 0 or source = 'deep_exit' and day(d) % 4 = 0)""")
 def _(m):
-    return oc.exit_points(m.positions, m.sig_facts, m.daily_bars)
+    """Stop-outs of every third day of a month and deep exits of every fourth were decided before."""
+    days = m.daily_bars.select("symbol", F.col("trade_date").alias("decision_date"))
+    decided = days.where(F.day("decision_date") % 3 == 0).withColumn("source", F.lit("stopped_out")).unionByName(days.where(F.day("decision_date") % 4 == 0).withColumn("source", F.lit("deep_exit")))
+    return oc.exit_points(m.positions, m.sig_facts, m.daily_bars, decided)
 
 
 @query("t04_decision_fields", """
