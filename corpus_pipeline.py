@@ -10,6 +10,8 @@ from tapeloom.session import cut_lineage
 
 #: Mean label probability below which a document's language counts as unknown.
 LEAST_SCORE = 0.35
+#: Similarity in a hundred from which two documents are near-duplicates.
+NEAR = 80
 
 
 def _fresh(docs: DataFrame) -> str:
@@ -29,7 +31,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near-duplicates; of each group the document of the smallest id stays, in all rows that have this id."""
-    found = chosen_path.near_duplicates(docs)
+    found = chosen_path.near_duplicates(docs, NEAR)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 

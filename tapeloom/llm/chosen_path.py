@@ -1,10 +1,11 @@
 """Near-duplicates by a chosen-path similarity join over five-word shingles.
 
-Documents with the same shingle set are one class from the start. Each class has COORDINATES minwise tokens. In each of TREES
-independent trees every node sends its classes to two children by the minwise tokens at two coordinates of that node's
+Documents with the same shingle set are one class from the start. Each class has SLOTS minwise tokens for each tree. In each of
+the independent trees every node sends its classes to two children by the minwise tokens at two coordinates of that node's
 own; nodes of at most SMALL classes are compared exhaustively, larger ones branch on, LEVELS deep. A pair of
-similarity 0.85 stays together at a node with probability 1 - (1 - 0.85 q)**2, where q is that of the level below, so a tree
-finds it with 0.9695 and four trees miss one pair in a million; more similar pairs are missed less.
+similarity s stays together at a node with probability 1 - (1 - s q)**2, where q is that of the level below. There are as many
+trees as miss at most one pair in a million of the least similarity asked for: at 0.85 a tree finds it with 0.9695 and four are
+enough, at 0.80 with 0.9409 and it takes five; more similar pairs are missed less.
 
 Members of a node that have a likely partner by their minwise tokens meet there with their texts, and all pairs are compared on
 full sets at once; a node hands on a spanning forest of its links, never its pairs. Nodes that are still large at the bottom
@@ -18,6 +19,7 @@ equal ids are documents of their own. An empty table gives no rows. Other column
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,14 +29,30 @@ from tapeloom.llm.components import components
 from tapeloom.session import cut_lineage
 
 SHINGLE = 5
-TREES, LEVELS, COORDINATES = 4, 3, 64
+LEVELS, SLOTS = 3, 16
 SMALL = 64
 CELL = 256
-#: Equal minwise tokens of a likely pair: six deviations below the 54 expected at similarity 0.85.
-LIKELY = 36
+#: Share of the pairs of the least similarity that all trees may miss.
+MISSED = 1e-6
 MIX_1, MIX_2, BASE = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15 | 1
 
 
+def trees_for(share: int) -> int:
+    """Number of trees that miss at most MISSED of the pairs of similarity ``share`` in a hundred."""
+    if not 0 < share <= 100:
+        raise ValueError("the share is from 1 to 100")
+    together = 1.0
+    for _ in range(LEVELS):
+        together = 1 - (1 - share / 100 * together) ** 2
+    return 1 if together == 1 else max(1, math.ceil(math.log(MISSED) / math.log(1 - together)))
+
+
+def likely_from(share: int) -> int:
+    """Equal minwise tokens of a likely pair: six deviations below what is expected at similarity ``share`` in a hundred."""
+    tokens = SLOTS * trees_for(share)
+    return max(1, int(tokens * share // 100 - 6 * math.sqrt(tokens * share * (100 - share)) / 100))
+
+
 def _mix(x):
     """Spread 64-bit numbers; wraps around."""
     import numpy as np
@@ -80,18 +98,18 @@ def names_of(sets: list) -> list[bytes]:
         return [np.array([_mix(s).sum(dtype=np.uint64), _mix(s + np.uint64(BASE)).sum(dtype=np.uint64)]).tobytes() for s in sets]
 
 
-def signatures(sets: list) -> tuple[list[bytes], list[bytes]]:
+def signatures(sets: list, coordinates: int) -> tuple[list[bytes], list[bytes]]:
     """A 128-bit name of each set, and its minwise tokens as 32-bit numbers."""
     import numpy as np
 
     with np.errstate(over="ignore"):
         full = [i for i, s in enumerate(sets) if len(s)]
-        tokens = np.zeros((len(sets), COORDINATES), np.uint32)
+        tokens = np.zeros((len(sets), coordinates), np.uint32)
         if full:
             flat = np.concatenate([sets[i] for i in full])
             begin = np.concatenate([[0], np.cumsum([len(sets[i]) for i in full])[:-1]])
-            salts = _mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(BASE))
-            for c in range(COORDINATES):
+            salts = _mix(np.arange(1, 2 * coordinates + 1, dtype=np.uint64) * np.uint64(BASE))
+            for c in range(coordinates):
                 mixed = (flat ^ salts[2 * c]) * (salts[2 * c + 1] | np.uint64(1))
                 mixed ^= mixed >> np.uint64(32)
                 mixed *= np.uint64(MIX_1)
@@ -99,7 +117,7 @@ def signatures(sets: list) -> tuple[list[bytes], list[bytes]]:
     return names_of(sets), [t.tobytes() for t in tokens]
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def sketched(docs: DataFrame, trees: int) -> DataFrame:
     """(doc_id, h, n, name, tokens) of every document; name is null without shingles."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -113,7 +131,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                     size += len(texts[stop])
                     stop += 1
                 sets = shingle_sets(texts[at:stop])
-                more = signatures(sets)
+                more = signatures(sets, SLOTS * trees)
                 n += [len(s) for s in sets]
                 names += [x if len(s) else None for x, s in zip(more[0], sets)]
                 tokens += [x if len(s) else None for x, s in zip(more[1], sets)]
@@ -128,11 +146,11 @@ def _child(node: Column, place: Column) -> Column:
     return F.xxhash64(node, place, F.substring("tokens", place * 4 + 1, F.lit(4)))
 
 
-def grow(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def grow(classes: DataFrame, trees: int) -> tuple[DataFrame, DataFrame]:
     """(node, tree, at, name) of small nodes, and (node, name) of those that are large at the bottom."""
-    # nodes of a tree are numbered as in a heap; node i uses coordinate i - 1 of its tree's 16
-    slots = F.array(*(F.struct(F.lit(r).alias("tree"), F.lit(at).alias("at")) for r in range(TREES) for at in (1, 2)))
-    rows = classes.select("name", "tokens", F.explode(slots).alias("s")).select("name", _child(F.col("s.tree").cast("long"), F.col("s.tree") * 16 + F.col("s.at") - 1).alias("node"), "s.tree", "s.at")
+    # nodes of a tree are numbered as in a heap; node i uses coordinate i - 1 of its tree's SLOTS
+    slots = F.array(*(F.struct(F.lit(r).alias("tree"), F.lit(at).alias("at")) for r in range(trees) for at in (1, 2)))
+    rows = classes.select("name", "tokens", F.explode(slots).alias("s")).select("name", _child(F.col("s.tree").cast("long"), F.col("s.tree") * SLOTS + F.col("s.at") - 1).alias("node"), "s.tree", "s.at")
     small = []
     for level in range(1, LEVELS + 1):
         rows = cut_lineage(rows)
@@ -143,7 +161,7 @@ def grow(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         large = rows.where(F.col("size") > SMALL)
         if level < LEVELS:
             down = large.select("node", "name", "tree", F.explode(F.array(F.col("at") * 2 + 1, F.col("at") * 2 + 2)).alias("at"))
-            rows = down.join(classes.select("name", "tokens"), "name").select("name", _child(F.col("node"), F.col("tree") * 16 + F.col("at") - 1).alias("node"), "tree", "at")
+            rows = down.join(classes.select("name", "tokens"), "name").select("name", _child(F.col("node"), F.col("tree") * SLOTS + F.col("at") - 1).alias("node"), "tree", "at")
     both = small[0]
     for s in small[1:]:
         both = both.unionByName(s)
@@ -171,34 +189,36 @@ def _by_node(rows: DataFrame, columns: list[str], task, schema: str) -> DataFram
     return rows.select(*columns).repartition("node").sortWithinPartitions("node").mapInArrow(run, schema)
 
 
-def with_partner(rows: DataFrame) -> DataFrame:
+def with_partner(rows: DataFrame, share: int) -> DataFrame:
     """(node, name) of the members of small nodes that have a likely partner there.
 
     A pair counts in one node only: in the first tree, and there on the first path, on which its tokens agree all the way down,
     for on that path it is compared for certain; where there is none, in every node that it shares.
     """
+    trees, least = trees_for(share), likely_from(share)
+
     def task(table) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         node, n, tree, at = (table.column(c).to_numpy() for c in ("node", "n", "tree", "at"))
-        tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint32).reshape(len(node), COORDINATES)
+        tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint32).reshape(len(node), SLOTS * trees)
         partner, k, rows = np.zeros(len(node), bool), 1, np.arange(len(node))
         while True:
             rows = rows[rows + k < len(node)]
             rows = rows[node[rows] == node[rows + k]]  # sorted by node: a row without a k-th neighbour has none further off
             if not len(rows):
                 break
-            sized = rows[100 * np.minimum(n[rows], n[rows + k]) >= 85 * np.maximum(n[rows], n[rows + k])]
+            sized = rows[100 * np.minimum(n[rows], n[rows + k]) >= share * np.maximum(n[rows], n[rows + k])]
             equal = tokens[sized] == tokens[sized + k]
-            likely = equal.sum(axis=1) >= LIKELY
+            likely = equal.sum(axis=1) >= least
             i, equal = sized[likely], equal[likely]
-            first = np.full((len(i), TREES), 99)  # the first leaf number on which the pair agrees all the way, by tree
-            for r in range(TREES):
+            first = np.full((len(i), trees), 99)  # the first leaf number on which the pair agrees all the way, by tree
+            for r in range(trees):
                 for leaf in range(14, 6, -1):
                     way = [leaf, (leaf - 1) // 2, ((leaf - 1) // 2 - 1) // 2]
-                    first[equal[:, [16 * r + x - 1 for x in way]].all(axis=1), r] = leaf
-            earlier = (first < 99) & (np.arange(TREES) < tree[i][:, None])
+                    first[equal[:, [SLOTS * r + x - 1 for x in way]].all(axis=1), r] = leaf
+            earlier = (first < 99) & (np.arange(trees) < tree[i][:, None])
             own = first[np.arange(len(i)), tree[i]]
             levels = np.where(at[i] > 6, 0, np.where(at[i] > 2, 1, 2))
             above = own.copy()
@@ -294,11 +314,11 @@ def texts_of(names: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; links are confirmed at ``share`` in a hundred."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = cut_lineage(sketched(docs))
+    sketches = cut_lineage(sketched(docs, trees_for(share)))
     classes = cut_lineage(sketches.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min("h").alias("h"), F.max("n").alias("n"), F.max("tokens").alias("tokens")))
-    small, large = grow(classes)
+    small, large = grow(classes, trees_for(share))
     facts = classes.select("name", "n", "tokens")
-    paired = cut_lineage(with_partner(small.join(facts, "name")))
+    paired = cut_lineage(with_partner(small.join(facts, "name"), share))
 
     # nodes with the same least member hold about the same group, in other trees or on other paths: they become one, of 32 nodes at most
     least = cut_lineage(large.groupBy("node").agg(F.min(F.xxhash64("name")).alias("like")))

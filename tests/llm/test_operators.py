@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tapeloom.llm import ball_tree, chosen_path, decontaminate, language, packing, quality, suffix_dedup, token_files
 from tapeloom.llm.queries import CHECKS, QUERIES, vocabulary
 from tapeloom.session import work_folder
@@ -68,6 +69,20 @@ def test_large_nodes(spark):
     assert {r.component_id for r in got.collect()} == {0}
 
 
+def test_least_share(spark):
+    assert [(chosen_path.trees_for(x), chosen_path.likely_from(x)) for x in (85, 80)] == [(4, 36), (5, 42)]
+    texts = []
+    for k in range(150):  # of each pair, one is the first 81 of the other's 100 shingles: similarity 0.81, and sizes as far apart
+        w = [f"v{k}w{i}" for i in range(104)]
+        texts += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:85]))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in chosen_path.near_duplicates(docs, 80).collect()}
+    assert got == {d: d - d % 2 for d, _ in texts}
+    got = {r.doc_id: r.component_id for r in chosen_path.near_duplicates(docs).collect()}
+    assert got == {d: d for d, _ in texts}
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()) == [2 * k for k in range(150)]
+
+
 def brute_removal(rows):
     texts, seen = [t.encode() for _, t in rows], {}
     for t in texts:
