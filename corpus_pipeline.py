@@ -30,10 +30,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-duplicates; of each group the document of the smallest id stays, in all rows that have this id."""
-    found = chosen_path.near_duplicates(docs, NEAR)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """Near-duplicates; of each group the row of the smallest id stays, and one row only. Rows without words all stay."""
+    row = _fresh(docs)
+    keyed = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    kept = chosen_path.first_rows(keyed, row, NEAR).withColumnRenamed("row", "_" + row)
+    return keyed.join(kept, F.col(row) == F.col("_" + row), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

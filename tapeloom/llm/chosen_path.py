@@ -118,7 +118,7 @@ def signatures(sets: list, coordinates: int) -> tuple[list[bytes], list[bytes]]:
 
 
 def sketched(docs: DataFrame, trees: int) -> DataFrame:
-    """(doc_id, h, n, name, tokens) of every document; name is null without shingles."""
+    """(doc_id, row, h, n, name, tokens) of every document; name is null without shingles."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -136,9 +136,9 @@ def sketched(docs: DataFrame, trees: int) -> DataFrame:
                 names += [x if len(s) else None for x, s in zip(more[0], sets)]
                 tokens += [x if len(s) else None for x, s in zip(more[1], sets)]
                 at = stop
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "h", "n", "name", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("h"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "row", "h", "n", "name", "tokens"])
 
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, n long, name binary, tokens binary")
+    return docs.select("doc_id", "row", F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(run, "doc_id long, row long, h long, n long, name binary, tokens binary")
 
 
 def _child(node: Column, place: Column) -> Column:
@@ -311,11 +311,10 @@ def texts_of(names: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return cut_lineage(needed.hint("merge").join(texts, "h").groupBy("name").agg(F.min("packed").alias("packed")))
 
 
-def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; links are confirmed at ``share`` in a hundred."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _rooted(docs: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of (doc_id, row, text), and (name, doc_id, first, root) of their classes: the smallest id, the first row, the component."""
     sketches = cut_lineage(sketched(docs, trees_for(share)))
-    classes = cut_lineage(sketches.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min("h").alias("h"), F.max("n").alias("n"), F.max("tokens").alias("tokens")))
+    classes = cut_lineage(sketches.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.isnull("doc_id"), "doc_id", "h", "row")).alias("first"), F.min("h").alias("h"), F.max("n").alias("n"), F.max("tokens").alias("tokens")))
     small, large = grow(classes, trees_for(share))
     facts = classes.select("name", "n", "tokens")
     paired = cut_lineage(with_partner(small.join(facts, "name"), share))
@@ -348,8 +347,22 @@ def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
         links = cut_lineage(links.unionByName(links_within(grid.join(texts, "name"), share)).distinct())
         roots = cut_lineage(components(links))
 
-    named = classes.select("name", "doc_id").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    return sketches, classes.select("name", "doc_id", "first").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+
+
+def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; links are confirmed at ``share`` in a hundred."""
+    sketches, named = _rooted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row"), "text"), share)
     least = cut_lineage(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     own = cut_lineage(named.join(least, "root").select("name", "component_id"))
     linked = sketches.where("name is not null").join(own, "name").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(sketches.where("name is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def first_rows(docs: DataFrame, row: str, share: int = 85) -> DataFrame:
+    """(row) of one row of each component: the smallest known id, on ties the least hash of id and text, then the least ``row``.
+
+    ``row`` is a column of distinct longs that stays the same however often ``docs`` is read. A row without shingles is a component of its own.
+    """
+    sketches, named = _rooted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), "text"), share)
+    return named.groupBy("root").agg(F.min("first").alias("first")).select("first.row").unionByName(sketches.where("name is null").select("row"))

@@ -83,6 +83,19 @@ def test_least_share(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()) == [2 * k for k in range(150)]
 
 
+def test_one_row_of_each(spark):
+    say = lambda k: " ".join(f"v{k}w{i}" for i in range(200))
+    near = say(1).replace("v1w100 ", "other ")
+    rows = [(1, say(0), "a"), (1, say(0), "b"), (1, say(0), "a"), (3, say(1), ""), (5, near, ""), (5, say(2), ""), (None, say(3), ""), (None, near, ""), (None, say(4), ""), (None, say(4), ""),
+            (9, None, ""), (9, None, ""), (None, "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, found string")
+    got = corpus_pipeline.one_of_each(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, say(0)), (3, say(1)), (5, say(2)), (None, say(3)), (None, say(4)), (9, None), (9, None), (None, "")]
+    assert sorted(str((r.doc_id, r.text)) for r in got.collect()) == sorted(map(str, want))
+    assert all(r.text == t for r, (_, t) in zip(sorted(corpus_pipeline.without_repeats(spark, got.where("doc_id = 1"), "").collect()), want))
+
+
 def brute_removal(rows):
     texts, seen = [t.encode() for _, t in rows], {}
     for t in texts:
