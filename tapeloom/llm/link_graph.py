@@ -4,7 +4,9 @@ Pages that rules allow or block make their hosts seeds, each with the share of i
 (personalised PageRank from trusted hosts), distrust against them (from blocked hosts to those that link there). A host with
 more distrust than trust is blocked. Everything is native: links are cut out of the HTML by one regular expression, edges are
 counted before any shuffle carries them, and a round is one join and one aggregate over host edges. Ranks are whole numbers
-(a full seed is SCALE), so sums don't depend on their order.
+(a full seed is SEED), so sums don't depend on their order. A round passes on what the one before it added to each rank, and the
+last one is that in which no rank grows by a whole unit; as each hands on at most 85 in a hundred, there are some 255 rounds and
+6 more for each factor of 2.6 between all seeds and a full one, or as many as the longest way if no links lead back.
 
 Nulls: a url that is null or has no ``://`` has an empty host and path, fits no rule and is allowed; null html has no links.
 Repeated rows are judged alike. An empty table gives no rows. Other columns are not read.
@@ -17,9 +19,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeloom.session import cut_lineage
 
-SCALE = 1_000_000_000
+SEED = 10**18
 DAMPING = 0.85
-ROUNDS = 10
+RANK = "decimal(38,0)"
+#: A full seed and the number of rounds in the SQL check, which is coarser than the query.
+SCALE, ROUNDS = 1_000_000_000, 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The host of links with an absolute target; others stay on their own host.
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]*)"""
@@ -64,21 +68,35 @@ def host_edges(pages: DataFrame) -> DataFrame:
     )
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) after the rounds. ``seeds`` has host, trust and distrust from 0 to SCALE."""
-    spread = F.lit(DAMPING)
+def _share(rank: Column, part: Column, total: Column) -> Column:
+    """The whole number of units in ``rank * part / total``, without a product that could pass 38 digits."""
+    rank, part, total = rank.cast(RANK), part.cast("decimal(19,0)"), total.cast("decimal(19,0)")
+    rest = rank % total
+    whole = ((rank - rest).cast(RANK) / total).cast(RANK)
+    odd = (rest * part).cast(RANK)
+    return (whole * part + (odd - odd % total).cast(RANK) / total).cast(RANK)
+
+
+def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(host, trust, distrust) once no rank grows by a unit any more. ``seeds`` has host, trust and distrust from 0 to SEED."""
+    hundredths = lambda x: _share(F.col("rank"), F.lit(x), F.lit(100))
+    damping = round(100 * DAMPING)
     into = edges.groupBy("dst").agg(F.sum("w").alias("total"))
     out = edges.groupBy("src").agg(F.sum("w").alias("total"))
     both = cut_lineage(
         edges.join(out, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "w", "total")
         .unionByName(edges.join(into, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "w", "total"))
     )
-    start = seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "rank")).where("rank > 0")
-    state = cut_lineage(start)
-    base = state.select("kind", "host", F.floor(F.col("rank") * (1 - DAMPING)).alias("rank"))
-    for _ in range(rounds if not both.isEmpty() else 1):
-        passed = state.join(both, ["kind", "host"]).select("kind", F.col("to").alias("host"), F.floor(F.col("rank").cast("double") * spread * F.col("w") / F.col("total")).alias("rank"))
-        state = cut_lineage(base.unionByName(passed).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
+    start = seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trust").cast(RANK), F.lit("distrust"), F.col("distrust").cast(RANK))).alias("kind", "rank")).where("rank > 0")
+    # what a rank is so far, and what the last round added to it
+    state = cut_lineage(start.select("kind", "host", hundredths(100 - damping).alias("rank")).withColumn("new", F.col("rank")))
+    more = not both.isEmpty()
+    while more:
+        passed = state.where("new > 0").select("kind", "host", F.col("new").alias("rank")).withColumn("rank", hundredths(damping)).join(both, ["kind", "host"])
+        passed = passed.select("kind", F.col("to").alias("host"), F.lit(0).cast(RANK).alias("rank"), _share(F.col("rank"), F.col("w"), F.col("total")).alias("new")).where("new > 0")
+        summed = state.select("kind", "host", "rank", F.lit(0).cast(RANK).alias("new")).unionByName(passed).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("new").alias("new"))
+        state = cut_lineage(summed.select("kind", "host", (F.col("rank") + F.col("new")).cast(RANK).alias("rank"), F.col("new").cast(RANK).alias("new")))
+        more = not state.where("new > 0").isEmpty()
     return state.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0)).alias(k) for k in ("trust", "distrust")))
 
 
@@ -87,7 +105,7 @@ def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     parsed = pages.select("page_id", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     parsed = parsed.withColumn("_fit", longest_rule(rules, F.col("host"), F.col("path")))
     judged = parsed.select("page_id", "host", "path", F.col("_fit.rule").alias("rule"), F.col("_fit.verdict").alias("_verdict"))
-    share = lambda v: F.floor(F.count(F.when(F.col("_verdict") == v, 1)) * F.lit(SCALE) / F.count("*"))
+    share = lambda v: _share(F.lit(SEED), F.count(F.when(F.col("_verdict") == v, 1)), F.count("*"))
     seeds = judged.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     ranks = propagate(seeds, cut_lineage(host_edges(parsed)))
     blocked = ranks.where("distrust > trust").select("host", F.lit("block").alias("_host"))

@@ -1,6 +1,7 @@
 """Edge cases and brute force on small tables: nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables."""
 import random
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tapeloom.llm import ball_tree, chosen_path, decontaminate, language, packing, quality, suffix_dedup, token_files
+from tapeloom.llm import ball_tree, chosen_path, decontaminate, language, link_graph, packing, quality, suffix_dedup, token_files
 from tapeloom.llm.queries import CHECKS, QUERIES, vocabulary
 from tapeloom.session import work_folder
 
@@ -216,6 +217,28 @@ def test_against_sql(spark, tmp_path, name, table, rows):
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
+def test_links_far_and_many(spark):
+    rules = [link_graph.Rule("block", "bad.test", "/x"), link_graph.Rule("block", "hub.test", "/0/")]
+    link = lambda host, n=1: f"<a href='//{host}/'>" * n
+    rows = [(0, "http://bad.test/x", "")] + [(k, f"http://h{k}.test/", link(f"h{k - 1}.test" if k > 1 else "bad.test")) for k in range(1, 16)]
+    rows += [(100, "http://one.test/", link("hub.test")), (101, "http://many.test/", link("hub.test", 90_000)), (102, "http://none.test/", link("else.test"))]
+    hub = spark.range(10_000).selectExpr("1000 + id as page_id", "concat('http://hub.test/', id, '/') as url", "'' as html")  # page 0 is blocked
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").unionByName(hub)
+    got = {r.page_id: r.verdict for r in link_graph.judge(pages, rules).where("page_id <= 1000").collect()}
+    assert got == {**dict.fromkeys([*range(16), 100, 101, 1000], "block"), 102: "allow"}
+
+
+def test_ranks_on_a_circle(spark):
+    """Against the limit in fractions; a circle of two hosts never runs dry by itself."""
+    seeds = spark.createDataFrame([("a", link_graph.SEED, 0)], "host string, trust long, distrust long")
+    edges = spark.createDataFrame([("a", "b", 2), ("a", "c", 1), ("b", "a", 5)], "src string, dst string, w long")
+    got = {r.host: int(r.trust) for r in link_graph.propagate(seeds, edges).collect()}
+    a = Fraction(15, 100) / (1 - Fraction(85, 100) ** 2 * Fraction(2, 3))
+    want = {"a": a, "b": a * Fraction(85, 100) * Fraction(2, 3), "c": a * Fraction(85, 100) / 3}
+    assert set(got) == set(want)
+    assert all(0 <= want[h] * link_graph.SEED - got[h] < 1000 for h in want)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert chosen_path.near_duplicates(none).count() == 0
