@@ -1,4 +1,4 @@
-"""Queries of the ten operators with their SQL checks."""
+"""Queries of the operators with their SQL checks."""
 from __future__ import annotations
 
 from collections.abc import Callable
@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tapeloom.llm import ball_tree, chat_tree, chosen_path, decontaminate, language, link_graph, packing, quality, suffix_dedup, token_files
+from tapeloom.llm import archives, ball_tree, chat_tree, chosen_path, decontaminate, language, link_graph, packing, quality, suffix_dedup, token_files
 from tapeloom.llm.common import held_out, read
 from tapeloom.session import work_folder
 
@@ -143,3 +143,34 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", f["n_bytes"].alias("n_bytes"), (f["n_bytes"] - F.octet_length(f["kept"])).alias("n_removed"),
         F.size(f["spans"]).cast("long").alias("n_spans"), F.sha2(f["kept"], 256).alias("kept_sha256"),
     )
+
+
+@query
+def op11_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as legacy archives of both versions, converted, and read back from the WARC files alone."""
+    arcs, warcs = work_folder(spark), work_folder(spark)
+    body = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
+    told = F.coalesce(F.concat(F.lit("\r\nX-Page-Id: "), F.col("page_id").cast("string")), F.lit(""))
+    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"), told, F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
+    captures = read(spark, sf_dir, "pages").select(
+        "page_id", "url", F.lit("20240101000000").alias("date"), F.lit("text/html").alias("mime"), F.concat(F.encode(head, "UTF-8"), body).alias("block"),
+    )
+    odd = F.coalesce(F.col("page_id") % 2 != 0, F.lit(False))
+    archives.write_arc(captures.where(~odd), f"{arcs}/v1", 1)
+    archives.write_arc(captures.where(odd), f"{arcs}/v2", 2)
+    archives.convert(spark, arcs, warcs, rank="X-Page-Id")
+    back = archives.read_warc(spark, warcs).where("type in ('response', 'revisit')").select("record_id", "type", "payload_digest", "payload_bytes", "refers_to", archives_page())
+    named = back.where("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("first"))
+    return back.join(named, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("first").alias("refers_to"))
+
+
+def archives_page() -> Column:
+    return F.regexp_extract(F.decode("head", "UTF-8"), r"X-Page-Id: (-?\d+)", 1).try_cast("long").alias("page_id")
+
+
+CHECKS["op11_arc_to_warc"] = """
+with p as (select row_number() over () as r, page_id, coalesce(html, '') as html from pages),
+h as (select *, sha1(html) as x, max(page_id) over (partition by html) as top, row_number() over (partition by html order by page_id desc nulls last, r) as k from p)
+select page_id, strlen(html)::bigint as payload_bytes,
+  list_reduce(list_transform(range(8), lambda i: list_reduce(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, 5 * i::int + 1, 5))::bigint >> b::int) & 31) + 1)::bigint, 1)), lambda a, b: a || b)), lambda a, b: a || b) as payload_digest,
+  case when k = 1 then 'response' else 'revisit' end as record_type, case when k > 1 then top end as refers_to from h"""
