@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tapeloom.llm import archives, ball_tree, chat_tree, chosen_path, decontaminate, language, link_graph, packing, quality, suffix_dedup, token_files
+from tapeloom.llm import archives, ball_tree, chat_tree, chosen_path, decontaminate, language, link_graph, packing, quality, stripes, suffix_dedup, token_files
 from tapeloom.llm.common import held_out, read
 from tapeloom.session import work_folder
 
@@ -174,3 +174,24 @@ h as (select *, sha1(html) as x, max(page_id) over (partition by html) as top, r
 select page_id, strlen(html)::bigint as payload_bytes,
   list_reduce(list_transform(range(8), lambda i: list_reduce(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, 5 * i::int + 1, 5))::bigint >> b::int) & 31) + 1)::bigint, 1)), lambda a, b: a || b)), lambda a, b: a || b) as payload_digest,
   case when k = 1 then 'response' else 'revisit' end as record_type, case when k > 1 then top end as refers_to from h"""
+
+
+@query
+def op12_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stripes.divergences(read(spark, sf_dir, "documents"))
+
+
+CHECKS["op12_stripes"] = """
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as ws from documents),
+w as (select r, lang, source, unnest(ws) as term from d),
+k as (select lang, term, count(*)::hugeint as n from w group by all having count(distinct r) >= 3),
+c as (select lang, source, term, count(*)::hugeint as n from w join k using (lang, term) group by all),
+g as (select distinct lang, source from d),
+v as (select lang, count(*)::hugeint as v, sum(n)::hugeint as total from k group by lang),
+s as (select lang, source, coalesce(v, 0)::hugeint as v, coalesce(total, 0)::hugeint as lang_total, coalesce(t, 0)::hugeint as total from g left join v using (lang) left join (select lang, source, sum(n) as t from c group by all) using (lang, source)),
+p as (select lang, source, term, coalesce(c.n, 0) as n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (total + s.v) as p, 1 + 1000000000 * (k.n + 1) // (lang_total + s.v) as q from s join k using (lang) left join c using (lang, source, term)),
+pair as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+x as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join pair on pair.lang = a.lang and pair.source = a.source and pair.item = b.source
+  union all select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint from p where n > 0 and p > q),
+z as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from x)
+select lang, source, part, item, value, rank from z where part = 'pair' or rank <= 200"""
