@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tapeloom.llm import archives, ball_tree, chat_tree, chosen_path, decontaminate, language, link_graph, packing, quality, stripes, suffix_dedup, token_files
+from tapeloom.llm import archives, ball_tree, chat_tree, chosen_path, collocations, decontaminate, language, link_graph, packing, quality, stripes, suffix_dedup, token_files
 from tapeloom.llm.common import held_out, read
 from tapeloom.session import work_folder
 
@@ -195,3 +195,23 @@ x as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value,
   union all select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint from p where n > 0 and p > q),
 z as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from x)
 select lang, source, part, item, value, rank from z where part = 'pair' or rank <= 200"""
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(read(spark, sf_dir, "documents"))
+
+
+CHECKS["op13_collocations"] = """
+with t as (select row_number() over () as r, coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+p as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as ws from t),
+f as (select lang, k, phrase, count(*)::hugeint as a from (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as phrase from p, (select unnest([1, 2, 3]) as k)) group by all),
+n as (select lang, sum(a) as n from f where k = 1 group by lang),
+c as (select lang, k, phrase, a, string_split(phrase, ' ') as ws from f where k > 1 and a >= 10),
+y as (select lang, k, phrase, a, cut, array_to_string(ws[1:cut], ' ') as early, array_to_string(ws[cut + 1:k], ' ') as late from (select *, unnest(range(1, k)) as cut from c)),
+u as (select y.lang, y.k, y.phrase, y.a, cut, l.a as l, r.a as r, 1000000 * y.a * y.a // (l.a * r.a) as score from y join f l on l.lang = y.lang and l.phrase = early and l.k = cut join f r on r.lang = y.lang and r.phrase = late and r.k = y.k - cut),
+b as (select * from (select *, row_number() over (partition by lang, phrase order by score, cut) as x from u) where x = 1),
+i as (select lang, array_to_string(ws[x:x + 1], ' ') as phrase, max(a) as a from c, (select unnest([1, 2]) as x) where k = 3 group by all),
+d as (select b.lang, b.phrase from b join i using (lang, phrase) where b.k = 2 and 100 * i.a >= 50 * b.a),
+z as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b anti join d using (lang, phrase))
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from z join n using (lang) where rank <= 2000"""
