@@ -27,8 +27,8 @@ from tapeloom.session import cut_lineage
 #: Letters of UTF-8, after lower-casing A-Z only.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Entries (term and source) that a task holds before it spills, some 60 MB; pairs of one stripe's sources worked on at a time.
-HELD = 500_000
+#: Entries (term and source) that a task holds before it spills, some 200 MB; pairs of one stripe's sources worked on at a time.
+HELD = 1_000_000
 PAIRS = 1 << 20
 #: Shares are in billionths.
 SCALE = 1_000_000_000
@@ -173,15 +173,18 @@ def divergences(docs: DataFrame, least: int = 3, terms: int = 200) -> DataFrame:
     """(lang, source, part, item, value, rank) of ``docs`` (lang, source, text), for part ``pair`` (other sources) and ``term``."""
     read = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     kept = cut_lineage(stripes(read, least))
-    entries = kept.select("lang", "term", F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b).alias("in_lang"), F.explode(F.arrays_zip("sources", "counts")).alias("e"))
-    entries = entries.select("lang", "term", "in_lang", F.col("e.sources").alias("source"), F.col("e.counts").alias("n"))
-    totals = entries.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)).alias("lang_total"))
+    whole = F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)
+    totals = kept.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("e")).groupBy("lang", F.col("e.sources").alias("source")).agg(F.sum("e.counts").alias("total"))
+    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum(whole).alias("lang_total"))
     groups = read.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
     total, v = F.coalesce("total", F.lit(0)), F.coalesce("v", F.lit(0))
     groups = cut_lineage(groups.select("lang", "source", v.alias("v"), (total + v).alias("of"), (F.coalesce("lang_total", F.lit(0)) + v).alias("lang_of")))
     groups = groups.withColumn("zero", share(F.lit(0).cast("long"), F.col("of")))
-    known = entries.join(groups, ["lang", "source"])
+    # every stripe meets the totals of its language; Spark broadcasts them while they are few, and splits a hot language else
+    by_lang = cut_lineage(groups.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("source", "of"))).alias("ofs"), F.first("lang_of").alias("lang_of")))
+    told = kept.join(by_lang, "lang").select("lang", "term", "lang_of", whole.alias("in_lang"), F.arrays_zip(
+        F.col("sources").alias("source"), F.col("counts").alias("n"), F.transform("sources", lambda s: F.element_at("ofs", s)).alias("of")).alias("entries"))
+    known = told.select("lang", "term", "lang_of", "in_lang", F.explode("entries").alias("e")).select("lang", "term", "lang_of", "in_lang", "e.source", "e.n", "e.of")
 
     scored = known.withColumn("p", share(F.col("n"), F.col("of"))).withColumn("q", share(F.col("in_lang"), F.col("lang_of"))).where("p > q")
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
@@ -192,13 +195,12 @@ def divergences(docs: DataFrame, least: int = 3, terms: int = 200) -> DataFrame:
     here, there = groups.alias("a"), groups.alias("b")
     both = here.join(there, (F.col("a.lang") == F.col("b.lang")) & (F.col("a.source") != F.col("b.source")))
     neither = both.select("a.lang", "a.source", F.col("b.source").alias("item"), F.coalesce(big(F.col("a.v")) * big(apart(F.col("a.zero"), F.col("b.zero"))), big(F.lit(0))).alias("value"))
-    sizes = known.groupBy("lang", "source", "n", "of", "zero").agg(F.count("*").alias("times")).withColumn("p", share(F.col("n"), F.col("of"))).alias("c")
+    sizes = known.groupBy("lang", "source", "n", "of").agg(F.count("*").alias("times")).withColumn("p", share(F.col("n"), F.col("of"))).withColumn("zero", share(F.lit(0).cast("long"), F.col("of"))).alias("c")
     one = sizes.join(there, (F.col("c.lang") == F.col("b.lang")) & (F.col("c.source") != F.col("b.source")))
     p, mine, other = F.col("c.p"), F.col("c.zero"), F.col("b.zero")
     left = one.select("c.lang", "c.source", F.col("b.source").alias("item"), (big(F.col("times")) * big(apart(p, other) - apart(mine, other))).alias("value"))
     right = one.select("c.lang", F.col("b.source").alias("source"), F.col("c.source").alias("item"), (big(F.col("times")) * big(apart(other, p) - apart(other, mine))).alias("value"))
-    shared = known.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n", "of")).alias("entries")).where(F.size("entries") > 1)
-    within = shared.select("lang", "entries").mapInArrow(inside, "lang string, source string, item string, value long").withColumn("value", big(F.col("value")))
+    within = told.where(F.size("entries") > 1).select("lang", "entries").mapInArrow(inside, "lang string, source string, item string, value long").withColumn("value", big(F.col("value")))
     pairs = neither
     for part in (left, right, within):
         pairs = pairs.unionByName(part.groupBy("lang", "source", "item").agg(F.sum("value").cast("decimal(38,0)").alias("value")))
