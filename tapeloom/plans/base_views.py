@@ -53,8 +53,8 @@ from (select symbol, v, avg(close_raw)*(case when v=1 then 1.0 else 0.9 end) as
       from bars0 cross join (select 1 as v union all select 2 as v) t where trade_date < date '1999-01-01' group by symbol, v) x""")
 
 view("fwd_closes", """
-select symbol, trade_date, close_raw * price_adj_factor * (1 + 0.005::double * (year(trade_date) - 1998)) * (1 + (volume_raw - 45) * 0.000002::double) as close_fwd
-from daily_bars where volume_raw <= 90""")
+select symbol, trade_date, close_raw * price_adj_factor * (1 + 0.005::double * (year(trade_date) - 1998)) * (1 + ((cast(substring(symbol, 7) as int) * 37 + date_diff('day', date '1970-01-01', trade_date) * 11) % 100 - 45) * 0.000002::double) as close_fwd
+from daily_bars where (cast(substring(symbol, 7) as int) * 37 + date_diff('day', date '1970-01-01', trade_date) * 11) % 100 < 90""")
 
 view("corporate_actions", """
 with s as (select symbol, trade_date, close_raw, price_adj_factor as f, share_factor as sf,

@@ -8,7 +8,7 @@ select symbol, card_version_id::varchar as card_version_id, status, effective_fr
   t2_low as box_low, trigger_level as box_high, t2_low as buy_zone_low, t2_high as buy_zone_high, t1_high as sell_zone_low,
   stop_level as sell_zone_high, invalidation_line as box_invalidation
 from cards where not (card_version_id = 1 and symbol like '%3')""")
-view("bars_h", "select * replace (case when volume_raw > 1 then close_raw end as close_raw) from daily_bars")
+view("bars_h", "select * replace (case when (cast(substring(symbol, 7) as int) * 37 + date_diff('day', date '1970-01-01', trade_date) * 11) % 100 <> 1 then close_raw end as close_raw) from daily_bars")
 
 
 def bar_cards_view(name: str, bars: str) -> None:

@@ -115,7 +115,7 @@ def _(m):
 
 view("reviews", """
 select a.event_id as review_id, e.user_id as event_id, case when a.event_id % 3 = 0 then a.symbol else '__event__' end as symbol, a.ts as reviewed_at,
-  case a.event_type when 'view' then 'note' when 'click' then 'confirm' when 'signup' then 'dismiss' when 'purchase' then 'upgrade_materiality' else 'amend' end as action,
+  case case when a.event_type in ('click', 'signup') and a.value < 150 then 'view' else a.event_type end when 'view' then 'note' when 'click' then 'confirm' when 'signup' then 'dismiss' when 'purchase' then 'upgrade_materiality' else 'amend' end as action,
   case when a.value < 20 then 'low' when a.value < 60 then 'medium' when a.value < 120 then 'high' else 'critical' end as materiality,
   case when a.value > 50 then 'gap' end as expectation_gap, case when a.value < 10 then 'line' end as falsification,
   case when a.event_id % 2 = 0 then 'eps' end as target, case when a.event_id % 5 = 0 then 'week' end as half_life
@@ -178,12 +178,11 @@ def _(m):
 
 
 AWAIT = """select event_id from assess a where status = 'needs_review' and not exists (select 1 from reviews r where r.event_id = a.event_id and r.symbol = '__event__' and action in ('confirm', 'dismiss'))"""
-view("recent_reviews", "select * from reviews where reviewed_at < timestamp '2024-01-03'")
 
 
-@query("e10_awaiting_confirm", AWAIT.replace("reviews r", "recent_reviews r"))
+@query("e10_awaiting_confirm", AWAIT)
 def _(m):
-    return ev.awaiting_confirm(m.assessments, m.reviews.where("reviewed_at < timestamp '2024-01-03'"))
+    return ev.awaiting_confirm(m.assessments, m.reviews)
 
 
 @query("e11_review_list", """

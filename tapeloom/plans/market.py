@@ -7,13 +7,18 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tapeloom.operators import (adjust, cards, daily_watch, exhaustion, indicators, outcomes, right_side, timeops,
                                 weekly)
 from tapeloom.session import cut_lineage
 
 
+def mark() -> Column:
+    """0 to 99 by symbol and day, each on one day in a hundred whatever the volume: places the faults of derived tables."""
+    return F.pmod(F.unix_date("trade_date") * 11 + F.substring("symbol", 7, 9).cast("int") * 37, F.lit(100))
+
+
 class Market:
     def __init__(self, spark: SparkSession, sf_dir: str, shared: bool = True):
         """``shared`` writes the daily bars once as a table: jobs that use them in several branches then scan the
@@ -120,9 +125,9 @@ class Market:
     @cached_property
     def fwd_closes(self) -> DataFrame:
         step = 1 + 0.005 * (F.year("trade_date") - 1998)
-        return self.daily_bars.where("volume_raw <= 90").select(
+        return self.daily_bars.where(mark() < 90).select(
             "symbol", "trade_date", (F.col("close_raw") * F.col("price_adj_factor") * step
-                                     * (1 + (F.col("volume_raw") - 45) * 0.000002)).alias("close_fwd"))
+                                     * (1 + (mark() - 45) * 0.000002)).alias("close_fwd"))
 
     @cached_property
     def corporate_actions(self) -> DataFrame:
@@ -172,8 +177,8 @@ class Market:
 
     @cached_property
     def bars_h(self) -> DataFrame:
-        """Daily bars with holes: the close is unknown on days of a single share."""
-        return self.daily_bars.withColumn("close_raw", F.when(F.col("volume_raw") > 1, F.col("close_raw")))
+        """Daily bars with holes: the close is unknown on one day in a hundred."""
+        return self.daily_bars.withColumn("close_raw", F.when(mark() != 1, F.col("close_raw")))
 
     @cached_property
     def bar_cards(self) -> DataFrame:
@@ -308,7 +313,7 @@ class Market:
     def reviews(self) -> DataFrame:
         e, k = self.announcements, F.col("event_type")
         users = self.table("events").select("event_id", "user_id")
-        action = (F.when(k == "view", "note").when(k == "click", "confirm").when(k == "signup", "dismiss")
+        action = (F.when((k == "view") | k.isin("click", "signup") & (F.col("value") < 150), "note").when(k == "click", "confirm").when(k == "signup", "dismiss")
                   .when(k == "purchase", "upgrade_materiality").otherwise("amend"))
         v = F.col("value")
         mat = F.when(v < 20, "low").when(v < 60, "medium").when(v < 120, "high").otherwise("critical")
@@ -396,9 +401,11 @@ class Market:
 
     @cached_property
     def executions(self) -> DataFrame:
+        """All orders; symbols stop trading at different times, so that some signals have no execution after them."""
+        n = (F.col("o_custkey") % 25 + 1).cast("int")
         return self.table("orders").select(
-            F.col("o_orderkey").alias("execution_id"), F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("int").cast("string")).alias("symbol"),
-            F.col("o_orderdate").alias("executed_at"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("action_type"),
+            F.col("o_orderkey").alias("execution_id"), F.concat(F.lit("Brand#"), n.cast("string")).alias("symbol"),
+            (F.col("o_orderdate") - F.make_dt_interval(days=n % 8 * 100)).alias("executed_at"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("action_type"),
             F.when(F.col("o_orderstatus") == "P", F.col("o_orderkey") - 1).alias("reverses_execution_id"))
 
     @cached_property
@@ -420,16 +427,16 @@ class Market:
         """Bars as a vendor would deliver them: one file per symbol and year, with empty bars, broken bars and bars on closed days."""
         n = F.substring("symbol", 7, 9).cast("int")
         hk = n % 5 == 0
-        v = F.col("volume_raw")
-        td = F.when((v == 3) & (F.dayofmonth("trade_date") == 7), F.date_add(F.trunc("trade_date", "week"), 6)).otherwise(F.col("trade_date"))
+        v, k = F.col("volume_raw"), mark()
+        td = F.when((k == 3) & (F.dayofmonth("trade_date") == 7), F.date_add(F.trunc("trade_date", "week"), 6)).otherwise(F.col("trade_date"))
         p = lambda k: F.round(k, 7).cast("decimal(18,7)")
-        high = F.when((v == 1) & (F.dayofmonth("trade_date") == 13), (p("low_raw") / 2).cast("decimal(18,7)")).otherwise(p("high_raw"))
-        s = lambda e: F.when(v == 2, "").otherwise(e.cast("string"))
+        high = F.when((k == 1) & (F.dayofmonth("trade_date") == 13), (p("low_raw") / 2).cast("decimal(18,7)")).otherwise(p("high_raw"))
+        s = lambda e: F.when(k == 2, "").otherwise(e.cast("string"))
         x = self.daily_bars.select(
             F.when(hk, F.lpad(n.cast("string"), 5, "0")).otherwise((n + 600000).cast("string")).alias("code"), F.when(hk, "31").otherwise("1").alias("setcode"),
             F.when(hk, ".HK").otherwise(".SH").alias("_sfx"), td.alias("td"), F.year("trade_date").alias("yr"), s(p("open_raw")).alias("open"), s(high).alias("high"), s(p("low_raw")).alias("low"),
             s(p("close_raw")).alias("close"), v.cast("int").cast("string").alias("volume"), F.round("amount_raw", 2).cast("decimal(18,2)").cast("string").alias("amount"),
-            F.round("turnover", 4).cast("decimal(10,4)").cast("string").alias("turnover"), v.alias("v"))
+            F.round("turnover", 4).cast("decimal(10,4)").cast("string").alias("turnover"), v.alias("v"), k.alias("k"))
         return x.select("*", F.concat("code", "_sfx").alias("thscode"), F.date_format("td", "yyyyMMdd").alias("time"), F.lit("CNY").alias("currency")).drop("_sfx")
 
     def vendor_files(self, source: str, kind: str) -> DataFrame:

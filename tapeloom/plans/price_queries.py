@@ -5,6 +5,7 @@ from tapeloom.functions.columns import r
 from tapeloom.operators import adjust, quality as q
 from tapeloom.plans import source_views  # noqa: F401
 from tapeloom.plans.bar_queries import rounded
+from tapeloom.plans.market import mark
 from tapeloom.plans.registry import query, view
 from tapeloom.sources import files, prices
 
@@ -41,23 +42,23 @@ def _(m):
 
 
 @query("s05_parse_price_b", """
-select e.sym as symbol, e.td::varchar as trade_date, case when k.sym is not null and (e.v > 50 or e.v = 5 or e.td is null) then true else false end as turnover_changed,
-  round(case when k.sym is not null then k.turnover when e.v > 50 then null when e.v = 5 then 0.9 else e.turnover end, 4) as turnover
+select e.sym as symbol, e.td::varchar as trade_date, case when k.sym is not null and (e.k > 50 or e.k = 5 or e.td is null) then true else false end as turnover_changed,
+  round(case when k.sym is not null then k.turnover when e.k > 50 then null when e.k = 5 then 0.9 else e.turnover end, 4) as turnover
 from (select * from vendor where td in (select trade_date from trading_calendar)) e left join vkept k on k.sym = e.sym and k.td = e.td""")
 def _(m):
     rows, _ = q.batch_policy(prices.parse_price_b(m.vendor_files("akshare", "price"), m.full_cal))
     cur = m.vendor.join(m.trading_calendar.select(F.col("trade_date").alias("td")), "td", "left_semi").select(
         F.col("thscode").alias("symbol"), F.col("td").alias("trade_date"),
-        F.when(F.col("v") > 50, F.lit(None)).when(F.col("v") == 5, F.lit(0.9)).otherwise(F.col("turnover").cast("double")).alias("turnover"))
+        F.when(F.col("k") > 50, F.lit(None)).when(F.col("k") == 5, F.lit(0.9)).otherwise(F.col("turnover").cast("double")).alias("turnover"))
     return rounded(prices.turnover_update(cur, rows), ["symbol", "trade_date", "turnover_changed"], turnover=4)
 
 
 @query("s06_parse_kline", """
-select sym as symbol, td::varchar as trade_date, case when v = 4 then 'skip' else outcome end as outcome, case when v = 4 then 'forward_row' else reason end as reason,
-  v * case when v % 2 = 0 then 1 else 100 end as volume, case when market = 'HK' then 'HKD' else 'CNY' end as currency, market = 'HK' as incomplete from vrows""")
+select sym as symbol, td::varchar as trade_date, case when k = 4 then 'skip' else outcome end as outcome, case when k = 4 then 'forward_row' else reason end as reason,
+  v * case when k % 2 = 0 then 1 else 100 end as volume, case when market = 'HK' then 'HKD' else 'CNY' end as currency, market = 'HK' as incomplete from vrows""")
 def _(m):
     raw = m.vendor_files("tdx", "kline").select("file_path", "code", "setcode", F.col("time").alias("data"), "open", "high", "low", "close", "volume", "amount",
-                                                F.when(F.col("v") % 2 == 0, "1").otherwise("").alias("unit"), F.when(F.col("v") == 4, "1").otherwise("0").alias("tqflag"))
+                                                F.when(F.col("k") % 2 == 0, "1").otherwise("").alias("unit"), F.when(F.col("k") == 4, "1").otherwise("0").alias("tqflag"))
     return prices.parse_kline(raw, m.full_cal).select("symbol", "trade_date", "outcome", "reason", "volume", "currency", "incomplete")
 
 
@@ -161,19 +162,19 @@ def _(m):
 
 
 view("old_bars_v", """
-select sym, td, case when v = 7 then close + 1 when v = 8 then close + 5e-7 when v = 9 then null else close end as close, case when v = 10 then 'HKD' else 'CNY' end as currency from vkept where v <= 60""")
+select sym, td, case when kk = 7 then close + 1 when kk = 8 then close + 5e-7 when kk = 9 then null else close end as close, case when kk = 10 then 'HKD' else 'CNY' end as currency from vkept where kk < 80""")
 
 
 def old_vendor(m):
     kept, _ = q.batch_policy(gated(m))
-    v = F.col("volume")
-    return kept, kept.where("volume <= 60").select(
-        "symbol", "trade_date", F.when(v == 7, F.col("close") + 1).when(v == 8, F.col("close") + 5e-7).when(v != 9, F.col("close")).alias("close"),
-        F.when(v == 10, "HKD").otherwise("CNY").alias("currency"))
+    k = F.pmod(F.unix_date("trade_date") * 11 + F.substring_index("symbol", ".", 1).cast("int") % 600000 * 37, F.lit(100))
+    return kept, kept.where(k < 80).select(
+        "symbol", "trade_date", F.when(k == 7, F.col("close") + 1).when(k == 8, F.col("close") + 5e-7).when(k != 9, F.col("close")).alias("close"),
+        F.when(k == 10, "HKD").otherwise("CNY").alias("currency"))
 
 
 @query("v05_vals_equal", """
-select k.sym as symbol, k.td::varchar as trade_date, not (k.v in (7, 9)) as close_equal, k.v <> 10 as currency_equal from vkept k join old_bars_v o on o.sym = k.sym and o.td = k.td""")
+select k.sym as symbol, k.td::varchar as trade_date, not (k.kk in (7, 9)) as close_equal, k.kk <> 10 as currency_equal from vkept k join old_bars_v o on o.sym = k.sym and o.td = k.td""")
 def _(m):
     kept, old = old_vendor(m)
     o = old.select("symbol", "trade_date", F.col("close").alias("o_close"), F.col("currency").alias("o_cur"))
@@ -182,8 +183,8 @@ def _(m):
 
 
 @query("v06_merge_facts", """
-select k.sym as symbol, k.td::varchar as trade_date, case when k.v > 60 then 'insert' when k.v in (7, 9, 10) then 'update' else 'same' end as action,
-  round(case when k.v = 8 then k.close + 5e-7 else k.close end, 8) as close, 'CNY' as currency, k.v in (7, 9, 10) and k.v <= 60 as logged from vkept k
+select k.sym as symbol, k.td::varchar as trade_date, case when k.kk >= 80 then 'insert' when k.kk in (7, 9, 10) then 'update' else 'same' end as action,
+  round(case when k.kk = 8 then k.close + 5e-7 else k.close end, 8) as close, 'CNY' as currency, k.kk in (7, 9, 10) as logged from vkept k
 union all select 'GONE', '2001-01-01', 'keep', 1.0, 'CNY', false""")
 def _(m):
     kept, old = old_vendor(m)
@@ -215,10 +216,10 @@ def _(m):
 
 
 @query("v08_inherit_factor", """
-select symbol, trade_date::varchar as trade_date, coalesce(last_value(case when volume_raw > 20 then price_adj_factor end ignore nulls) over (partition by symbol order by trade_date rows between unbounded preceding and current row), 1.0) as price_adj_factor,
-  coalesce(last_value(case when volume_raw > 20 then share_factor end ignore nulls) over (partition by symbol order by trade_date rows between unbounded preceding and current row), 1.0) as share_factor from daily_bars""", shared=False)
+select symbol, trade_date::varchar as trade_date, coalesce(last_value(case when (cast(substring(symbol, 7) as int) * 37 + date_diff('day', date '1970-01-01', trade_date) * 11) % 100 > 20 then price_adj_factor end ignore nulls) over (partition by symbol order by trade_date rows between unbounded preceding and current row), 1.0) as price_adj_factor,
+  coalesce(last_value(case when (cast(substring(symbol, 7) as int) * 37 + date_diff('day', date '1970-01-01', trade_date) * 11) % 100 > 20 then share_factor end ignore nulls) over (partition by symbol order by trade_date rows between unbounded preceding and current row), 1.0) as share_factor from daily_bars""", shared=False)
 def _(m):
-    x = m.daily_bars.withColumns({k: F.when(F.col("volume_raw") > 20, F.col(k)) for k in ("price_adj_factor", "share_factor")})
+    x = m.daily_bars.withColumns({k: F.when(mark() > 20, F.col(k)) for k in ("price_adj_factor", "share_factor")})
     return adjust.inherit_factor(x).select("symbol", "trade_date", "price_adj_factor", "share_factor")
 
 

@@ -5,6 +5,7 @@ from tapeloom.functions.columns import r
 from tapeloom.operators import daily_watch as dw, events as ev, exhaustion as ex, indicators, quality as q, reads, reports, screens, valuation as v
 from tapeloom.plans.bar_queries import BOLL_SQL, CHG_SQL, roll_sql, rounded
 from tapeloom.plans.event_queries import study
+from tapeloom.plans.market import mark
 from tapeloom.plans.registry import query, view
 from tapeloom.plans.valuation_queries import pe
 
@@ -212,7 +213,7 @@ def _(m):
 select * from (select symbol, 'run_' || status as type, coalesce(error, stage) as message from runs where status in ('failed', 'degraded') order by started_at desc, run_key desc limit 20) a
 union all select * from (select symbol, 'signal_incomplete', signal || ' ' || observed_on::varchar from watch_rows where state = 'incomplete' order by observed_on desc, symbol, signal limit 20) b
 union all select symbol, 'pe_status', pe_status_full from pe_days qualify row_number() over (partition by symbol order by trade_date desc) = 1
-union all select symbol, 'suspended', trade_date::varchar from last_bars where volume_raw < 30
+union all select symbol, 'suspended', trade_date::varchar from last_bars where (cast(substring(symbol, 7) as int) * 37 + date_diff('day', date '1970-01-01', trade_date) * 11) % 100 < 30
 union all select symbol, 'review_due', next_review_at::varchar from vcards where status = 'active' and next_review_at <= date '2000-04-30'
 union all select symbol, 'calendar', note from event_calendar where scheduled_date >= date '2000-04-30' and scheduled_date <= date '2000-04-30' + remind""")
 def _(m):
@@ -220,7 +221,7 @@ def _(m):
     from tapeloom.operators.cards import cards_asof
     ma = indicators.sma(m.adj, windows=(20, 60)).select("symbol", "trade_date", "ma20", "ma60")
     watch = dw.daily_watch(cards_asof(m.bars_h, m.vcards), ma, ex.active_counts(m.weekly_facts), m.weeks, m.open_freezes)
-    bars = m.daily_bars.withColumn("trading_status", F.when(F.col("volume_raw") < 30, "suspended").otherwise("trading"))
+    bars = m.daily_bars.withColumn("trading_status", F.when(mark() < 30, "suspended").otherwise("trading"))
     due = ev.due_items(m.event_calendar, m.vcards, "2000-04-30")
     return reads.alerts(m.runs, watch, pe(m), bars, m.vcards, due, "2000-04-30")
 
@@ -246,9 +247,9 @@ p as (select symbol, trade_date as prox_on, p.state as prox_state, least(coalesc
   qualify row_number() over (partition by symbol order by trade_date desc) = 1),
 g as (select w.symbol, case when b.symbol is not null then 'trading_with_bars' when i.trade_date is not null then 'suspended' else 'source_missing' end as gate from watchlist w left join daily_bars b on b.symbol = w.symbol and b.trade_date = date '{AS_OF}' left join index_h i on i.trade_date = date '{AS_OF}'),
 c as (select symbol, card_version_id, next_review_at from vcards where effective_from <= date '{AS_OF}' and (effective_to is null or effective_to > date '{AS_OF}')),
-z as (select symbol, count(*) as n from corporate_actions where action_type = 'split' and symbol like '%5' group by 1), y as (select symbol, count(*) as n from corporate_actions where action_type = 'split' and symbol like '%10' group by 1),
+z as (select symbol, count(*) as n from open_freeze_rows where ex_date <= date '{AS_OF}' group by 1), y as (select symbol, count(*) as n from corporate_actions where action_type = 'split' and ex_date <= date '{AS_OF}' group by 1),
 o as (select symbol, count(*) as n from (select distinct symbol, observed_on, state from rs_rows where state in ('confirmed', 'stopped_out') and observed_on between date '{AS_OF}' - 10 and date '{AS_OF}') x
-  where not exists (select 1 from executions e where e.symbol = x.symbol and e.executed_at::date >= x.observed_on and e.price > 499000) group by 1)
+  where not exists (select 1 from executions e where e.symbol = x.symbol and e.executed_at::date >= x.observed_on) group by 1)
 select g.symbol, gate, c.card_version_id, coalesce(z.n, 0) as fz, coalesce(y.n, 0) as dr, coalesce(o.n, 0) as fo, coalesce(c.next_review_at < date '{AS_OF}', false) as overdue, coalesce(fals_sta = 'active', false) as broken,
   coalesce(tier_obs = date '{AS_OF}' and tier_tri, false) as tier_now, coalesce(tier_obs = date '{AS_OF}' and tier_sta = 'pending_signals', false) as tier_wait, case when righ_obs = date '{AS_OF}' then righ_sta end as right_now,
   case when box__obs = date '{AS_OF}' and box__tri then box__sta end as box_now, coalesce(prox_on = date '{AS_OF}' and prox_state = 'active', false) as near_now, case when d < 1e17 then d end as d
@@ -268,8 +269,8 @@ def day_state(m):
     gate = q.day_status(pairs, m.full_cal, m.daily_bars, m.index_h)
     card = m.vcards.where((F.col("effective_from") <= day) & (F.col("effective_to").isNull() | (F.col("effective_to") > day)))
     splits = m.corporate_actions.where("action_type = 'split'")
-    follow = reports.followups(m.day_facts, m.executions.where("price > 499000"), AS_OF)
-    return reports.state_of_day(m.watchlist, gate, facts, prox, card, splits.where(F.endswith("symbol", F.lit("5"))), splits.where(F.endswith("symbol", F.lit("10"))), follow, AS_OF)
+    follow = reports.followups(m.day_facts, m.executions, AS_OF)
+    return reports.state_of_day(m.watchlist, gate, facts, prox, card, m.open_freezes.where(F.col("ex_date") <= day), splits.where(F.col("ex_date") <= day), follow, AS_OF)
 
 
 @query("n01_report_priority", """
@@ -289,9 +290,9 @@ def _(m):
 
 @query("n03_followups", """
 select distinct x.symbol, observed_on::varchar as observed_on, state from rs_rows x where state in ('confirmed', 'stopped_out') and observed_on between date '2000-01-01' and date '2001-06-30'
-  and not exists (select 1 from executions e where e.symbol = x.symbol and e.executed_at::date >= x.observed_on and e.price > 490000)""")
+  and not exists (select 1 from executions e where e.symbol = x.symbol and e.executed_at::date >= x.observed_on)""")
 def _(m):
-    return reports.followups(m.day_facts, m.executions.where("price > 490000"), "2001-06-30", 546)
+    return reports.followups(m.day_facts, m.executions, "2001-06-30", 546)
 
 
 @query("n04_draft_queue", "select symbol, count(*) as drafts, min(ca_id) as first_ca from classified where channel <> 'fastlane' group by 1")

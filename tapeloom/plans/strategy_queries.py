@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions.columns import r
 from tapeloom.operators import cross_section as cs, exhaustion as ex, outcomes as oc
 from tapeloom.plans.bar_queries import rounded
+from tapeloom.plans.market import mark
 from tapeloom.plans.registry import query, view
 
 FULL = lambda fn, col, n: f"case when count({col}) over (partition by symbol order by i rows between {n - 1} preceding and current row) = {n} then {fn}({col}) over (partition by symbol order by i rows between {n - 1} preceding and current row) end"
@@ -103,12 +104,12 @@ with u as (select symbol, week_end_date, is_fallback, 'panic_low' as anchor_type
   union all select symbol, week_end_date, is_fallback, 'decline_start', decl_date, decl_close, decl_close_raw from tline where di is not null)
 select symbol, anchor_type, trade_date, is_fallback, min(week_end_date) as as_of, min(p) as adjusted_price, min(q) as raw_price from u group by 1, 2, 3, 4""")
 view("lines", """
-select a.symbol, a.trade_date, adjusted_price, case when volume_raw > 2 then round(adjusted_price * (1 - 0.08::double), 6) end as stop_adj
+select a.symbol, a.trade_date, adjusted_price, case when (cast(substring(a.symbol, 7) as int) * 37 + date_diff('day', date '1970-01-01', a.trade_date) * 11) % 100 > 2 then round(adjusted_price * (1 - 0.08::double), 6) end as stop_adj
 from anchor_rows a left join daily_bars b using (symbol, trade_date) where anchor_type = 'decline_start' and not is_fallback""")
 
 
 def lines(m):
-    bars = m.daily_bars.withColumn("price_adj_factor", F.when(F.col("volume_raw") > 2, F.col("price_adj_factor")))
+    bars = m.daily_bars.withColumn("price_adj_factor", F.when(mark() > 2, F.col("price_adj_factor")))
     return cs.stop_lines(m.anchor_rows, bars, 0.08)
 
 
@@ -298,7 +299,7 @@ def _(m):
 
 
 view("executions", """
-select o_orderkey as execution_id, concat('Brand#', cast(o_custkey % 25 + 1 as int)) as symbol, o_orderdate as executed_at, o_totalprice as price, o_orderpriority as action_type,
+select o_orderkey as execution_id, concat('Brand#', cast(o_custkey % 25 + 1 as int)) as symbol, o_orderdate - to_days((o_custkey % 25 + 1)::int % 8 * 100) as executed_at, o_totalprice as price, o_orderpriority as action_type,
   case when o_orderstatus = 'P' then o_orderkey - 1 end as reverses_execution_id from orders""")
 
 
