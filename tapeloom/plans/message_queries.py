@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 from tapeloom.functions.columns import r
 from tapeloom.operators import quality as q
 from tapeloom.plans.bar_queries import rounded
+from tapeloom.plans import raw_zone
 from tapeloom.plans.registry import query, view
-from tapeloom.sources import messages as ms, reports as rp
+from tapeloom.session import work_folder
+from tapeloom.sources import files, messages as ms, reports as rp
 
 view("vsym", """
 select distinct symbol, case when n % 5 = 0 then lpad(n::varchar, 5, '0') else (n + 600000)::varchar end as code, case when n % 5 = 0 then '31' else '1' end as setcode,
@@ -100,7 +102,10 @@ view("abs_src", "select v.sym, r.* from rep r join vsym v using (symbol) where r
 @query("s14_fold_abstract", """
 select sym as symbol, period_end::varchar as period_end, round(np::double * 1.01, 1) as net_profit_attr, revenue::double as revenue, (q/10.0)::double as eps_basic, case when q <> 2 then q::double end as gross_margin, case when q = 2 then 1 else 2 end as groups from abs_src""")
 def _(m):
-    snap = rp.fold_abstract(abstract_raw(m))
+    """From real files, whose names carry the symbol."""
+    rows = abstract_raw(m).select(*raw_zone.places("akshare", "fin_abstract", F.regexp_extract("file_path", r"([^/]+)\.csv$", 1)), F.monotonically_increasing_id().alias("row_no"), "period_end", "group", "indicator", "value")
+    found = files.scan(m.spark, raw_zone.deliver(rows, work_folder(m.spark)), "akshare/fin_abstract")
+    snap = rp.fold_abstract(files.read_layout(found, ["period_end", "group", "indicator", "value"]))
     x = rp.abstract_income(snap).join(snap.select("symbol", "period_end", F.col("payload")["盈利能力"]["毛利率"].alias("gross_margin"), F.size("payload").alias("groups")), ["symbol", "period_end"])
     return x.select("symbol", "period_end", r(F.col("net_profit_attr").cast("double"), 1).alias("net_profit_attr"), "revenue", "eps_basic", "gross_margin", "groups")
 
@@ -152,9 +157,12 @@ def _(m):
     x = rep1(m)
     raw = x.select(F.concat(F.lit("f/"), "sym", F.lit(".csv")).alias("file_path"), F.datediff("period_end", F.lit("1970-01-01")).alias("row_no"), F.when(F.col("q") == 1, "").otherwise(F.col("sym")).alias("thscode"),
                    s((F.col("net_profit_attr") * 2).cast("decimal(24,2)")).alias("ths_fore_np_fy1_stock"))
-    y = rp.parse_forecast(raw, "2001-12-31")
-    doc = F.from_json("payload_json", "struct<rows:array<struct<ths_fore_np_fy1_stock:string>>>")["rows"]
-    return y.select("symbol", "snapshot_at", F.size(doc).alias("n_rows"), doc[0]["ths_fore_np_fy1_stock"].cast("double").alias("first_fy1"))
+    cols = ["thscode", "ths_fore_np_fy1_stock"]
+    rows = raw.select(*raw_zone.places("stock_finance_data", "forecast", F.regexp_extract("file_path", r"([^/]+)\.csv$", 1)), "row_no", *cols)
+    found = files.scan(m.spark, raw_zone.deliver(rows, work_folder(m.spark)), "stock_finance_data/forecast")
+    y = rp.parse_forecast(files.read_layout(found, cols), "2001-12-31")
+    fy1 = F.get_json_object("payload_json", "$.ths_fore_np_fy1_stock").cast("double")
+    return y.groupBy("symbol", "snapshot_at").agg(F.count("*").cast("int").alias("n_rows"), F.min_by(fy1, "row_no").alias("first_fy1"))
 
 
 view("first_bar", "select v.sym, v.symbol, min(b.trade_date) as d, sum(volume_raw) as vol, cast(substring(v.symbol, 7) as int) as n from vsym v left join daily_bars b on b.symbol = v.symbol group by 1, 2")

@@ -3,10 +3,11 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.columns import r
 from tapeloom.operators import adjust, quality as q
-from tapeloom.plans import source_views  # noqa: F401
+from tapeloom.plans import raw_zone, source_views  # noqa: F401
 from tapeloom.plans.bar_queries import rounded
 from tapeloom.plans.market import mark
 from tapeloom.plans.registry import query, view
+from tapeloom.session import work_folder
 from tapeloom.sources import files, prices
 
 BAR = dict(open=7, high=7, low=7, close=7, volume=2)
@@ -37,7 +38,9 @@ def _(m):
 
 @query("s04_parse_price_a", f"select sym as symbol, td::varchar as trade_date, market, {BAR_SQL.replace('volume', 'v', 1)}, round(amount, 2) as amount from vkept")
 def _(m):
-    kept, _ = q.batch_policy(prices.parse_price_a(m.vendor_files("stock_finance_data", "price"), m.full_cal))
+    """From real files, found by route and read by their own headers."""
+    raw = raw_zone.deliver(raw_zone.price_rows(m).drop("yr"), work_folder(m.spark))
+    kept, _ = raw_zone.parse_prices(m)(files.scan(m.spark, raw, "stock_finance_data/price", "stock_finance_data/index"))
     return rounded(kept, ["symbol", "trade_date", "market"], **BAR, amount=2)
 
 

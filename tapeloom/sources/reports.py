@@ -129,12 +129,10 @@ def parse_holders(df: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def parse_forecast(df: DataFrame, snapshot_at: str) -> DataFrame:
-    """Whole forecast files kept as one JSON document per symbol and file."""
-    cols = [c for c in df.columns if c not in ("file_path", "row_no")]
-    x = df.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("row_no", F.struct(*cols).alias("r")))).alias("rows"),
-                                    F.min_by(text("thscode"), F.when(text("thscode").isNotNull(), F.col("row_no"))).alias("symbol"))
-    payload = F.to_json(F.struct(F.transform("rows", lambda v: v["r"]).alias("rows")))
-    return x.where("symbol is not null").select("symbol", F.lit(snapshot_at).cast("date").alias("snapshot_at"), payload.alias("payload_json"))
+    """Rows of forecast files, one JSON document each with its place, under the first symbol that the file names."""
+    cols = [c for c in df.columns if c not in ("file_path", "row_no", "corrupt")]
+    named = df.where(text("thscode").isNotNull()).groupBy("file_path").agg(F.min_by(text("thscode"), "row_no").alias("symbol"))
+    return df.join(named, "file_path").select("symbol", F.lit(snapshot_at).cast("date").alias("snapshot_at"), "row_no", F.to_json(F.struct(*cols)).alias("payload_json"))
 
 
 def parse_shares(df: DataFrame, bars: DataFrame, current: DataFrame) -> DataFrame:
