@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tapeloom.llm.common import slices
 from tapeloom.session import cut_lineage
 
-SHARDS = 4
+SHARDS = 2
 #: Tokens that a task counts at a time.
 TOKENS = 3_000_000
 MOST_BITS = 28
@@ -52,15 +52,44 @@ class Block:
             self.size += len(found)
             found = None
 
-    def phrases(self, n: int):
-        """Distinct phrases of n words, as rows of word numbers, and their counts."""
+    def close(self) -> None:
+        """After the last text: word numbers in one row, and hashes of the words."""
+        import numpy as np
+        import xxhash
+
+        self.at = np.concatenate(self.parts)
+        self.names = [b""] * (max(self.words.values()) + 1)
+        for w, i in self.words.items():
+            self.names[i] = w
+        self.word_hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.names), np.uint64, len(self.names))
+        self.start = np.uint64(xxhash.xxh64_intdigest(self.lang.encode(), seed=1))
+
+    def places(self, n: int):
+        """Where phrases of n words start, as a mask."""
+        import numpy as np
+
+        ok = np.ones(max(0, len(self.at) - n + 1), bool)
+        for i in range(n):
+            ok &= self.at[i:i + len(ok)] != 0
+        return ok
+
+    def hashes(self, n: int):
+        """Hash of the n words at each place, whether they are a phrase or not."""
         import numpy as np
 
-        at = np.concatenate(self.parts).astype(np.int64)
-        ok = np.ones(max(0, len(at) - n + 1), bool)
+        size = max(0, len(self.at) - n + 1)
+        h = np.full(size, self.start, np.uint64)
         for i in range(n):
-            ok &= at[i:i + len(ok)] != 0
-        parts = [at[i:i + len(ok)][ok] for i in range(n)]
+            h ^= self.word_hashes[self.at[i:i + size]]
+            h *= np.uint64(0x9E3779B97F4A7C15)  # odd, from the golden ratio
+            h ^= h >> np.uint64(29)
+        return h
+
+    def phrases(self, n: int, ok):
+        """Distinct phrases of n words at the places of a mask, as rows of word numbers, and their counts."""
+        import numpy as np
+
+        parts = [self.at[i:i + len(ok)][ok].astype(np.int64) for i in range(n)]
         bits = 63 // n
         if len(self.words) >= 1 << bits:  # too many words for one number a phrase
             return np.unique(np.stack(parts, 1), axis=0, return_counts=True)
@@ -70,22 +99,6 @@ class Block:
         key, counts = np.unique(key, return_counts=True)
         return np.stack([key >> bits * (n - 1 - i) & (1 << bits) - 1 for i in range(n)], 1), counts
 
-    def hashes(self, rows):
-        """Hash of each phrase, from hashes of its words and the language."""
-        import numpy as np
-        import xxhash
-
-        if not hasattr(self, "word_hashes"):
-            self.names = [b""] * (max(self.words.values()) + 1)
-            for w, i in self.words.items():
-                self.names[i] = w
-            self.word_hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.names), np.uint64, len(self.names))
-        h = np.full(len(rows), xxhash.xxh64_intdigest(self.lang.encode(), seed=1), np.uint64)
-        for i in range(rows.shape[1]):
-            h = (h ^ self.word_hashes[rows[:, i]]) * np.uint64(0x9E3779B97F4A7C15)  # odd, from the golden ratio
-            h ^= h >> np.uint64(29)
-        return h * np.uint64(0xBF58476D1CE4E5B9) ^ h >> np.uint64(32)
-
 
 def blocks(batches: Iterator) -> Iterator[Block]:
     """The texts (lang, text) of a task, so many at a time."""
@@ -97,9 +110,16 @@ def blocks(batches: Iterator) -> Iterator[Block]:
             block.add(text)
             size += block.size - before + 4 * (len(block.words) - known)  # a new word takes more than its number
             if size >= TOKENS:
-                yield from open_.values()
-                open_, size = {}, 0
-    yield from open_.values()
+                yield from closed(open_)
+                size = 0
+    yield from closed(open_)
+
+
+def closed(open_: dict[str, Block]) -> Iterator[Block]:
+    while open_:
+        block = open_.popitem()[1]
+        block.close()
+        yield block
 
 
 def inside(bitmap, hashes):
@@ -133,19 +153,20 @@ def mined(texts: DataFrame, n: int, support: int, parts) -> DataFrame:
 
         shard = TaskContext.get().partitionId() % SHARDS
         for block in blocks(batches):
-            rows, counts = block.phrases(n)
+            ok = block.places(n)
             if parts is not None:
-                ok = inside(parts.value, block.hashes(rows[:, :-1])) & inside(parts.value, block.hashes(rows[:, 1:]))
-                rows, counts = rows[ok], counts[ok]
-            if len(rows):
-                yield from slices([pa.RecordBatch.from_arrays([pa.array(block.hashes(rows).view(np.int64)), pa.array(np.full(len(rows), shard, np.int32)), pa.array(counts)], names=["h", "shard", "n"])], 100_000)
+                shorter = inside(parts.value, block.hashes(n - 1))
+                ok &= shorter[:-1] & shorter[1:]
+            h, counts = np.unique(block.hashes(n)[ok], return_counts=True)
+            if len(h):
+                yield from slices([pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), shard, np.int32)), pa.array(counts)], names=["h", "shard", "n"])], 100_000)
 
     found = texts.mapInArrow(count, "h long, shard int, n long").groupBy("h", "shard").agg(F.sum("n").alias("n")).where(F.col("n") >= local)
     reach = F.sum("n") + (SHARDS - F.count("*")) * (local - 1)
     return found.groupBy("h").agg(reach.alias("reach")).where(F.col("reach") >= support).select("h")
 
 
-def counted(texts: DataFrame, bitmaps: dict, support: int) -> DataFrame:
+def counted(texts: DataFrame, bitmaps: dict) -> DataFrame:
     """(lang, k, phrase, a): all words (k = 1) and the candidates of each length, counted by their words in all texts."""
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -153,11 +174,10 @@ def counted(texts: DataFrame, bitmaps: dict, support: int) -> DataFrame:
 
         for block in blocks(batches):
             for k in [1, *bitmaps]:
-                rows, counts = block.phrases(k)
-                hashes = block.hashes(rows)
+                ok = block.places(k)
                 if k > 1:
-                    ok = inside(bitmaps[k].value, hashes)
-                    rows, counts = rows[ok], counts[ok]
+                    ok &= inside(bitmaps[k].value, block.hashes(k))
+                rows, counts = block.phrases(k, ok)
                 names = pa.array([w.decode() for w in block.names], pa.string())
                 for at in range(0, len(rows), 100_000):
                     some = rows[at:at + 100_000]
@@ -178,7 +198,7 @@ def phrases(docs: DataFrame, support: int = 10, first: int = 2000) -> DataFrame:
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     two = spark.sparkContext.broadcast(bitmap_of(cut_lineage(mined(texts, 2, support, None))))
     three = spark.sparkContext.broadcast(bitmap_of(cut_lineage(mined(texts, 3, support, two))))
-    all_counts = cut_lineage(counted(texts, {2: two, 3: three}, support).where((F.col("k") == 1) | (F.col("a") >= support)))
+    all_counts = cut_lineage(counted(texts, {2: two, 3: three}).where((F.col("k") == 1) | (F.col("a") >= support)))
     total = all_counts.where("k = 1").groupBy("lang").agg(F.sum("a").alias("n"))
     of = lambda k, name: all_counts.where((F.col("k") == k) & (F.col("a") >= support)).select("lang", F.col("phrase").alias(name), F.col("a").alias(f"n_{name}"))
     word = lambda c, i: F.split(c, " ")[i]
@@ -193,5 +213,8 @@ def phrases(docs: DataFrame, support: int = 10, first: int = 2000) -> DataFrame:
     early, late = score(F.col("a"), F.col("n_w1"), F.col("n_tail")), score(F.col("a"), F.col("n_head"), F.col("n_w3"))
     triples = triples.select("lang", "phrase", "a", F.when(late < early, F.col("n_head")).otherwise(F.col("n_w1")).alias("l"), F.when(late < early, F.col("n_w3")).otherwise(F.col("n_tail")).alias("r"))
     scored = pairs.unionByName(triples).withColumn("score", score(F.col("a"), F.col("l"), F.col("r")))
-    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))).where(F.col("rank") <= first)
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    some = scored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64)))  # few rows of each part reach a language's one task
+    some = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= first)
+    best = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= first)
     return best.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
