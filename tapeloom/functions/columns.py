@@ -1,7 +1,10 @@
 """Small column helpers shared by the operators."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 DEC = "decimal(38,10)"
 
@@ -64,19 +67,58 @@ def one_per_key(df: DataFrame, key: list[str], last: bool = True, order: tuple[s
     return df.groupBy(*key).agg(best.alias("_one")).select(*[x if x in key else F.col(f"_one.{x}").alias(x) for x in df.columns])
 
 
+def ordered_price(order: Column, px) -> Column:
+    """A price behind its place in the order, as one decimal: the least or greatest of a group is that of the first or last.
+
+    A decimal is a buffer that a hash aggregate updates in place, so nothing is sorted. Places take 14 digits, prices 8 before
+    the point and 16 after it; equal places go by price.
+    """
+    return (order.cast("decimal(14,0)") * F.lit(10**8).cast("decimal(9,0)")).cast("decimal(38,16)") + c(px).cast("decimal(24,16)")
+
+
+def price_of(ordered) -> Column:
+    return (c(ordered) % F.lit(10**8).cast("decimal(9,0)")).cast("double")
+
+
+#: Terms that one automaton holds; more of them mean more passes over the texts.
+TERMS = 100_000
+
+
 def occurrences(texts: DataFrame, terms: DataFrame, not_before: str = "") -> DataFrame:
     """(event_id, term) for every term that stands in a text (event_id, text), not followed by a character of ``not_before``.
 
-    Each text is cut into its distinct substrings of the lengths that terms have, and these meet the terms in an equi-join:
-    work is in proportion to the texts, whatever the number of terms. Null and empty terms stand nowhere.
+    An automaton over the terms (Aho-Corasick) reads each text once, whatever their number; terms come in blocks of about
+    ``TERMS``, dealt by hash, so what is sent to the workers is bounded. Null and empty terms stand nowhere.
     """
     t = terms.where("term <> ''").select("term").distinct()
-    lengths = t.agg(F.sort_array(F.collect_set(F.length("term")))).scalar()
-    cut = texts.select("event_id", F.split("text", "").alias("chars"), F.length("text").alias("n"), lengths.alias("lengths"))
-    def pieces(k: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.col("n") - k + 1)
-        if not_before:
-            starts = F.filter(starts, lambda i: ~F.coalesce(F.get("chars", i + k - 1), F.lit("")).isin(*not_before))
-        return F.transform(starts, lambda i: F.array_join(F.slice("chars", i, k), ""))
-    some = F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda k: k <= F.col("n")), pieces)))
-    return cut.select("event_id", F.explode(some).alias("term")).join(t, "term").select("event_id", "term").distinct()
+    blocks = max(1, -(-t.count() // TERMS))
+    schema = StructType([texts.schema["event_id"], StructField("term", StringType())])
+    out = None
+    for i in range(blocks):
+        part = t if blocks == 1 else t.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i)
+        found = texts.select("event_id", "text").mapInArrow(_finder([r.term for r in part.toLocalIterator()], not_before, schema["event_id"].dataType), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _finder(words: list[str], not_before: str, kind):
+    def find(batches: Iterator) -> Iterator:
+        import ahocorasick
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        automaton = ahocorasick.Automaton()
+        for w in words:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        arrow = to_arrow_type(kind)
+        for batch in batches:
+            ids, terms = [], []
+            for event, text in zip(batch.column(0), batch.column(1)):
+                text = text.as_py() or ""
+                if words and text:
+                    hits = {w for end, w in automaton.iter(text) if not (not_before and text[end + 1:end + 2] in not_before and end + 1 < len(text))}
+                    ids += [event.as_py()] * len(hits)
+                    terms += hits
+            yield pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array(terms, pa.string())], ["event_id", "term"])
+    return find

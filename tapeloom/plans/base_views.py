@@ -7,7 +7,7 @@ select symbol, trade_date, max(case when rn=1 then px end) as open_raw, max(px)
 from (select p_brand as symbol, cast(l_shipdate as date) as trade_date, l_extendedprice/l_quantity as px, l_quantity,
         l_extendedprice,
         row_number() over (partition by p_brand, cast(l_shipdate as date)
-          order by l_orderkey,l_linenumber,l_partkey,l_suppkey,l_extendedprice,l_quantity) as rn,
+          order by l_orderkey,l_linenumber,l_extendedprice/l_quantity) as rn,
         count(*) over (partition by p_brand, cast(l_shipdate as date)) as n
       from lineitem join part on l_partkey=p_partkey where isodow(l_shipdate) <= 5) x
 group by symbol, trade_date""")

@@ -9,6 +9,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tapeloom.functions.columns import ordered_price, price_of
 from tapeloom.operators import (adjust, cards, daily_watch, exhaustion, indicators, outcomes, right_side, timeops,
                                 weekly)
 from tapeloom.session import cut_lineage
@@ -36,14 +37,16 @@ class Market:
             "symbol", F.to_date("l_shipdate").alias("trade_date"),
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"),
             F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("amt"),
-            F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").alias("seq"))
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
 
     @cached_property
     def bars0(self) -> DataFrame:
-        """At most one row per symbol and open day, however many ticks: combined map-side before the shuffle."""
+        """At most one row per symbol and open day, however many ticks: hashed together map-side, before the shuffle, unsorted."""
+        at = ordered_price(F.col("seq"), "px")
         bars = self.ticks.groupBy("symbol", "trade_date").agg(
-            F.min_by("px", "seq").alias("open_raw"), F.max("px").alias("high_raw"), F.min("px").alias("low_raw"),
-            F.max_by("px", "seq").alias("close_raw"), F.sum("qty").alias("volume_raw"), F.sum("amt").alias("amount_raw"))
+            F.min(at).alias("_open"), F.max("px").alias("high_raw"), F.min("px").alias("low_raw"),
+            F.max(at).alias("_close"), F.sum("qty").alias("volume_raw"), F.sum("amt").alias("amount_raw"))
+        bars = bars.select("symbol", "trade_date", price_of("_open").alias("open_raw"), "high_raw", "low_raw", price_of("_close").alias("close_raw"), "volume_raw", "amount_raw")
         return cut_lineage(bars) if self.shared else bars
 
     @cached_property

@@ -47,7 +47,7 @@ def _(m):
     li = table_stream(m, "lineitem").where(F.weekday("l_shipdate") < 5)
     ticks = li.join(brand, "l_partkey").select(
         "symbol", F.col("l_shipdate").cast("timestamp").alias("at"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("amt"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").alias("seq"))
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     out = to_table(m, live.daily_bars(ticks, "at", "2 days"), work_folder(m.spark))
     return rounded(out, ["symbol", "trade_date", "volume_raw"], open_raw=7, high_raw=7, low_raw=7, close_raw=7, amount_raw=2)
 

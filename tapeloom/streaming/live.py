@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tapeloom.functions.columns import ordered_price, price_of
 from tapeloom.operators.right_side import RIGHT_SCHEMA, step
 
 
@@ -53,8 +54,9 @@ def dedup_news(stream: DataFrame, time: str, keys: list[str], delay: str) -> Dat
 def daily_bars(ticks: DataFrame, time: str, delay: str) -> DataFrame:
     """Tumbling one-day bars per symbol; a day is emitted once the watermark has passed its end."""
     return ticks.withWatermark(time, delay).groupBy("symbol", F.window(time, "1 day").alias("w")).agg(
-        F.min_by("px", "seq").alias("open_raw"), F.max("px").alias("high_raw"), F.min("px").alias("low_raw"), F.max_by("px", "seq").alias("close_raw"),
-        F.sum("qty").alias("volume_raw"), F.sum("amt").alias("amount_raw")).select("symbol", F.to_date("w.start").alias("trade_date"), "open_raw", "high_raw", "low_raw", "close_raw", "volume_raw", "amount_raw")
+        F.min(ordered_price(F.col("seq"), "px")).alias("_open"), F.max("px").alias("high_raw"), F.min("px").alias("low_raw"), F.max(ordered_price(F.col("seq"), "px")).alias("_close"),
+        F.sum("qty").alias("volume_raw"), F.sum("amt").alias("amount_raw")).select(
+        "symbol", F.to_date("w.start").alias("trade_date"), price_of("_open").alias("open_raw"), "high_raw", "low_raw", price_of("_close").alias("close_raw"), "volume_raw", "amount_raw")
 
 
 # --------------------------------------------------------------------------- live state
