@@ -48,4 +48,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = work_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``cut_lineage`` that nothing reads any more: what came of them has been written itself."""
+    for table in tables:
+        spark, path = table.sparkSession, table._written_to
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
