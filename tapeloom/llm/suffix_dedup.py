@@ -1,7 +1,8 @@
 """Removal of long repeated byte strings by a hash-compared suffix sort.
 
-Every string of LENGTH bytes holds GRAM-byte strings at LENGTH - GRAM + 1 places; the one with the least hash (leftmost on ties) is its
-anchor, so equal strings have equal anchors wherever they stand and only anchors that occur twice can lie in a repeat.
+Every string of ``length`` bytes holds ``gram``-byte strings at length - gram + 1 places; the one with the least hash (leftmost on ties) is its
+anchor, so equal strings have equal anchors wherever they stand and only anchors that occur twice can lie in a repeat. Those
+are known by a bitmap of hash prefixes (32 MB at most; beyond that it lets more anchors pass, which then drop out); only they are written.
 An anchor's context is what strings around it may reach. Contexts that occur twice are repeats in full. Of the others, each
 anchor's contexts are sorted twice, by what follows the anchor and by what goes before it, read backwards: mergesort in which
 two suffixes are compared through prefix polynomial hashes, a binary search for their common extension and the byte after
@@ -13,7 +14,7 @@ places instead, whose common core and whole extent are counted by hash; a block
 its core once, else it is halved again down to single strings. Both ways are exact.
 
 Nulls: a null text is an empty one; a null doc_id is carried along. Repeated rows are documents of their own, so all their
-strings of LENGTH bytes repeat. An empty table gives no rows.
+strings of ``length`` bytes repeat. An empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -23,11 +24,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, functions as F
 
 from tapeloom.llm.common import slices
-from tapeloom.session import cut_lineage
+from tapeloom.session import cut_lineage, discard
 
 LENGTH, GRAM = 400, 128
-BEFORE = LENGTH - GRAM  # bytes before an anchor that its strings may reach
 TOGETHER = 256
+MOST_BITS = 28
 BASE = 0x9E3779B97F4A7C15 | 1
 MIX_1, MIX_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: Start places of strings that a block holds at first.
@@ -42,19 +43,20 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-def anchors(texts: list[bytes]):
-    """Row, place, hash and context hash of all anchors of texts of LENGTH bytes or more."""
+def anchors(texts: list[bytes], length: int, gram: int):
+    """Row, place, hash and context hash of all anchors of texts of ``length`` bytes or more."""
     import numpy as np
 
     raw = np.frombuffer(b"".join(texts), np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
     stop = np.cumsum(size)
-    width = BEFORE + 1
+    most = length - gram  # bytes before an anchor that its strings may reach
+    width = most + 1
     with np.errstate(over="ignore"):
         power = np.cumprod(np.full(len(raw), BASE, np.uint64))
         total = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power)])
         back = np.cumprod(np.full(len(raw) + 1, pow(BASE, -1, 1 << 64), np.uint64))
-        grams = _mix((total[GRAM:] - total[:-GRAM]) * back[: len(raw) - GRAM + 1])
+        grams = _mix((total[gram:] - total[:-gram]) * back[: len(raw) - gram + 1])
     # the upper half of the hash, ties by place
     key = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     blocks = -(-len(key) // width)
@@ -64,17 +66,17 @@ def anchors(texts: list[bytes]):
     ahead = np.minimum.accumulate(table, axis=1).ravel()
     behind = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
     # strings that lie inside one text
-    inside = np.ones(len(raw) - LENGTH + 1, bool)
+    inside = np.ones(len(raw) - length + 1, bool)
     for s in stop[:-1].tolist():
-        inside[max(0, s - LENGTH + 1):s] = False
+        inside[max(0, s - length + 1):s] = False
     starts = np.flatnonzero(inside)
     place = (np.minimum(behind[starts], ahead[starts + width - 1]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     place = place[np.concatenate([[True], place[1:] != place[:-1]])]
     row = np.searchsorted(stop, place, side="right")
     first = stop[row] - size[row]
-    left, right = np.maximum(first, place - BEFORE), np.minimum(stop[row], place + LENGTH)
+    left, right = np.maximum(first, place - most), np.minimum(stop[row], place + length)
     with np.errstate(over="ignore"):
-        context = _mix(_mix((total[right] - total[left]) * back[left]) + ((place - left) * 1024 + (right - place)).astype(np.uint64))
+        context = _mix(_mix((total[right] - total[left]) * back[left]) + ((place - left) * (1 << 20) + (right - place)).astype(np.uint64))
     return row, place - first, grams[place].view(np.int64), context.view(np.int64), place - left, right - place
 
 
@@ -84,22 +86,29 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"), text.alias("text"), *columns)
 
 
-def members(docs: DataFrame) -> DataFrame:
-    """(k1, k2, at, anchor, context, before, after) of all anchors."""
+def members(docs: DataFrame, length: int, gram: int, known=None) -> DataFrame:
+    """(anchor) of all anchors; with ``known``, a broadcast bitmap, (k1, k2, at, anchor, context, before, after) of those in it."""
+    names = ["k1", "k2", "at", "anchor", "context", "before", "after"]
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         def several(part: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-            row, *rest = anchors([t for *_, t in part])
-            keys = np.array([x[:2] for x in part], np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (keys[row, 0], keys[row, 1], *rest)], ["k1", "k2", "at", "anchor", "context", "before", "after"])
+            row, at, anchor, *rest = anchors([t for *_, t in part], length, gram)
+            if known is None:
+                return pa.RecordBatch.from_arrays([pa.array(anchor)], ["anchor"])
+            bits, words = known.value
+            slot = anchor.view(np.uint64) >> np.uint64(64 - bits)
+            ok = (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+            keys = np.array([x[:2] for x in part], np.int64)[row[ok]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (keys[:, 0], keys[:, 1], *(c[ok] for c in (at, anchor, *rest)))], names)
 
         for batch in slices(batches):
             part, size = [], 0
             for k1, k2, text in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text"))):
                 raw = text.encode()
-                if len(raw) >= LENGTH:
+                if len(raw) >= length:
                     part.append((k1, k2, raw))
                     size += len(raw)
                 if size > 1 << 20:
@@ -108,7 +117,20 @@ def members(docs: DataFrame) -> DataFrame:
             if part:
                 yield several(part)
 
-    return keyed(docs).mapInArrow(run, "k1 long, k2 long, at long, anchor long, context long, before long, after long")
+    return keyed(docs).mapInArrow(run, "anchor long" if known is None else ", ".join(f"{n} long" for n in names))
+
+
+def bitmap_of(hashes: DataFrame):
+    """Bits of the prefixes of a column ``anchor``: their number as a power of 2, and words of 64 of them."""
+    import numpy as np
+
+    bits = min(MOST_BITS, max(16, (32 * hashes.count()).bit_length()))
+    slot = F.shiftrightunsigned("anchor", 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    got = hashes.select(F.shiftrightunsigned(slot, 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(1 << bits - 6, np.int64)
+    words[got.column("at").to_numpy()] = got.column("bits").to_numpy()
+    return bits, words.view(np.uint64)
 
 
 class Suffixes:
@@ -177,7 +199,7 @@ class Suffixes:
         return order
 
 
-def reaches(groups: list[list[tuple[bytes, bytes]]]) -> list[list[tuple[int, int] | None]]:
+def reaches(groups: list[list[tuple[bytes, bytes]]], length: int, most_before: int) -> list[list[tuple[int, int] | None]]:
     """How far repeats reach before and after the anchor, per group of contexts (before, after); None without a repeat."""
     import numpy as np
 
@@ -191,12 +213,12 @@ def reaches(groups: list[list[tuple[bytes, bytes]]]) -> list[list[tuple[int, int
             rows = [c for i in part for c in [*groups[i], *[(b"", b"")] * (width - len(groups[i]))]]
             table = np.arange(len(rows)).reshape(len(part), width)
             same = []
-            for side, most in ((0, BEFORE), (1, LENGTH)):
+            for side, most in ((0, most_before), (1, length)):
                 suffixes = Suffixes([r[side][::-1] if side == 0 else r[side] for r in rows], most)
                 order = suffixes.sort(table)
                 common = suffixes.verified(order[:, :-1].ravel(), order[:, 1:].ravel()).reshape(len(part), width - 1)
                 # place in order, and the class of suffixes equal in the first so many bytes: one number per member and length
-                need = np.arange(BEFORE + 1) if side == 0 else LENGTH - np.arange(BEFORE + 1)
+                need = np.arange(most_before + 1) if side == 0 else length - np.arange(most_before + 1)
                 classes = np.zeros((len(part), width, len(need)), np.int32)
                 np.cumsum(common[:, :, None] < need, axis=1, out=classes[:, 1:])
                 member = np.empty_like(classes)
@@ -212,16 +234,16 @@ def reaches(groups: list[list[tuple[bytes, bytes]]]) -> list[list[tuple[int, int
             again = np.empty_like(twice)
             np.put_along_axis(again, order, twice, axis=1)
             some = again.any(axis=2)
-            most, least = BEFORE - again[:, :, ::-1].argmax(axis=2), again.argmax(axis=2)
+            most, least = most_before - again[:, :, ::-1].argmax(axis=2), again.argmax(axis=2)
             for k, i in enumerate(part):
-                out[i] = [(int(most[k, m]), LENGTH - int(least[k, m])) if some[k, m] else None for m in range(len(groups[i]))]
+                out[i] = [(int(most[k, m]), length - int(least[k, m])) if some[k, m] else None for m in range(len(groups[i]))]
     return out
 
 
 REACH = "anchor long, context long, before long, after long"
 
 
-def sorted_reaches(contexts: DataFrame) -> DataFrame:
+def sorted_reaches(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     """Reach of each (anchor, context), from rows with their bytes ``head`` and ``tail``."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -232,7 +254,7 @@ def sorted_reaches(contexts: DataFrame) -> DataFrame:
                 if not groups or groups[-1][0][0] != r[0]:
                     groups.append([])
                 groups[-1].append(r)
-            found = reaches([[(r[2], r[3]) for r in g] for g in groups])
+            found = reaches([[(r[2], r[3]) for r in g] for g in groups], length, length - gram)
             out = [(r[0], r[1], *reach) for g, rs in zip(groups, found) for r, reach in zip(g, rs) if reach]
             return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(4)], ["anchor", "context", "before", "after"])
 
@@ -249,7 +271,7 @@ def sorted_reaches(contexts: DataFrame) -> DataFrame:
     return contexts.select("anchor", "context", "head", "tail").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, REACH)
 
 
-def counted_reaches(contexts: DataFrame) -> DataFrame:
+def counted_reaches(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     """The same for anchors with very many contexts, by counting hashes of halved blocks; no group meets in one task."""
     def hashes(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -259,12 +281,12 @@ def counted_reaches(contexts: DataFrame) -> DataFrame:
             for head, tail, low, high in zip(*(batch.column(c).to_pylist() for c in ("head", "tail", "low", "high"))):
                 whole = head + tail
                 cut = lambda a, b: hashlib.md5(whole[len(head) - a:len(head) + b]).digest()  # noqa: B023, E731
-                fits = low <= len(head) and LENGTH - high <= len(tail)
-                cores.append(cut(low, LENGTH - high) if fits else None)
-                extents.append(cut(high, LENGTH - low) if high <= len(head) and LENGTH - low <= len(tail) else None)
+                fits = low <= len(head) and length - high <= len(tail)
+                cores.append(cut(low, length - high) if fits else None)
+                extents.append(cut(high, length - low) if high <= len(head) and length - low <= len(tail) else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cores, pa.binary()), pa.array(extents, pa.binary())], [*batch.schema.names, "core", "extent"])
 
-    starts = F.array(*(F.lit(x) for x in range(0, BEFORE + 1, BLOCK)))
+    starts = F.array(*(F.lit(x) for x in range(0, length - gram + 1, BLOCK)))
     now = contexts.select("anchor", "context", "head", "tail", F.explode(starts).alias("low")).withColumn("high", F.col("low") + BLOCK - 1)
     shape = "anchor long, context long, head binary, tail binary, low int, high int, core binary, extent binary"
     size, found = BLOCK, None
@@ -273,7 +295,7 @@ def counted_reaches(contexts: DataFrame) -> DataFrame:
         times = lambda c: rows.where(f"{c} is not null").groupBy("anchor", "low", c).agg(F.count("*").alias(f"n_{c}")).where(f"n_{c} > 1")  # noqa: B023, E731
         rows = rows.join(times("core"), ["anchor", "low", "core"]).join(times("extent"), ["anchor", "low", "extent"], "left")
         rows = cut_lineage(rows.select("anchor", "context", "head", "tail", "low", "high", F.col("n_extent").isNotNull().alias("all")))
-        done = rows.where("all").select("anchor", "context", F.col("high").cast("long").alias("before"), (LENGTH - F.col("low")).cast("long").alias("after"))
+        done = rows.where("all").select("anchor", "context", F.col("high").cast("long").alias("before"), (length - F.col("low")).cast("long").alias("after"))
         found = done if found is None else found.unionByName(done)
         size //= 2
         if size:
@@ -299,12 +321,12 @@ def packed(docs: DataFrame, *columns: str) -> DataFrame:
     return rows.mapInArrow(run, shape)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(k1, k2, spans): byte spans of repeated strings, overlapping and in no order, of documents that have any."""
-    found = cut_lineage(members(docs))
-    # a table of its own, so that the join below has two plain shuffles and hot anchors can be split
-    twice = cut_lineage(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    again = cut_lineage(found.join(twice, "anchor"))
+    twice = cut_lineage(members(docs, length, gram).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    known = docs.sparkSession.sparkContext.broadcast(bitmap_of(twice))
+    discard(twice)
+    again = cut_lineage(members(docs, length, gram, known))
     kinds = cut_lineage(again.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one"), F.max("before").alias("before"), F.max("after").alias("after")))
     groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("anchor", "kinds")
     wanted = kinds.join(groups, "anchor").select("one.*", "anchor", "context", "before", "after", "kinds")
@@ -330,24 +352,29 @@ def repeats(docs: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], ["anchor", "context", "head", "tail", "kinds"])
 
-    # a document that stands in several rows serves once per row; equal rows drop out below
-    texts = packed(docs)
-    contexts = cut_lineage(texts.join(lists, ["k1", "k2"]).mapInArrow(fetch, "anchor long, context long, head binary, tail binary, kinds long"))
-    contexts = contexts.withColumn("many", F.col("kinds") > TOGETHER)
-    reach = sorted_reaches(contexts.where("not many"))
+    texts = packed(docs).dropDuplicates(["k1", "k2"])  # a document that stands in many rows serves once
+    written = cut_lineage(texts.join(lists, ["k1", "k2"]).mapInArrow(fetch, "anchor long, context long, head binary, tail binary, kinds long"))
+    contexts = written.withColumn("many", F.col("kinds") > TOGETHER)
+    reach = sorted_reaches(contexts.where("not many"), length, gram)
     crowded = contexts.where("many")
     if not crowded.isEmpty():
-        reach = reach.unionByName(counted_reaches(crowded.dropDuplicates(["anchor", "context"])))
+        reach = reach.unionByName(counted_reaches(crowded, length, gram))
     whole = kinds.where("n > 1").select("anchor", "context", "before", "after")
-    reach = cut_lineage(whole.unionByName(reach)).groupBy("anchor", "context").agg(F.max("before").alias("to_left"), F.max("after").alias("to_right"))
+    # a table of its own, so that the join below has two plain shuffles and hot contexts can be split
+    reach = cut_lineage(whole.unionByName(reach).groupBy("anchor", "context").agg(F.max("before").alias("to_left"), F.max("after").alias("to_right")))
+    discard(written, kinds)
     spans = again.select("k1", "k2", "at", "anchor", "context").join(reach, ["anchor", "context"])
     span = F.struct((F.col("at") - F.col("to_left")).alias("start"), (F.col("at") + F.col("to_right")).alias("stop"))
-    return cut_lineage(spans.groupBy("k1", "k2").agg(F.collect_set(span).alias("spans")))  # of one document
+    out = cut_lineage(spans.groupBy("k1", "k2").agg(F.collect_set(span).alias("spans")))  # of one document
+    discard(again, reach)
+    return out
 
 
-def remove(docs: DataFrame, keep: list[str], found: str = "found", as_text: bool = False) -> DataFrame:
+def remove(docs: DataFrame, keep: list[str], found: str = "found", as_text: bool = False, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The columns ``keep`` and a struct ``found``: n_bytes, removed spans (maximal runs of bytes) and what is kept.
 
+    Strings of ``length`` bytes that recur go; a smaller ``gram`` (at least 16 or so) means fewer anchors, more of which recur by chance.
+
     What is kept comes as bytes, or as text; characters of which only a part is left are not part of a text.
     """
     import pyarrow as pa
@@ -373,7 +400,7 @@ def remove(docs: DataFrame, keep: list[str], found: str = "found", as_text: bool
             columns = [c for c in batch.schema.names if c not in ("k1", "k2", "packed", "spans")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, kind)], [*columns, "_" + found])
 
-    spans = repeats(docs)
+    spans = repeats(docs, length, gram)
     renamed = {c: f"_c{i}" for i, c in enumerate(keep)}  # no clash with the key's names
     rows = packed(docs.select(*{"doc_id", "text"} - set(keep), *keep, *(F.col(f"`{c}`").alias(n) for c, n in renamed.items())), *renamed.values())
     joined = rows.join(spans, ["k1", "k2"], "left")

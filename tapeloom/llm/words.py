@@ -18,8 +18,12 @@ EXOTIC = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80
 SPACES = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
 #: A run of white space and the run of other characters after it.
 CHUNK = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
-#: Words that one worker remembers (some 60 MB), of those that recur within a few MB of text; others are encoded anew.
+#: Words that one worker remembers (some 60 MB), of those that have come before; others are encoded anew. Which have come
+#: before is known by a byte for each hash.
 REMEMBERED = 300_000
+SEEN = 1 << 22
+# fixed value: letters and numbers below U+0100, for patterns that name them by Unicode class
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -40,7 +44,6 @@ class Memo:
         import os
 
         import numpy as np
-        import regex
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
         from tokenizers import Tokenizer
@@ -49,29 +52,33 @@ class Memo:
         self.whole = Tokenizer.from_str(text)
         self.bare = Tokenizer(self.whole.model)  # merges only
         self.letters = _byte_letters()
-        self.pieces, self.lower = regex.compile(pattern).findall, lower
+        self.end, = self.bare.encode([self.letters[0]], is_pretokenized=True, add_special_tokens=False).ids
+        self.pieces, self.lower = re.compile(pattern.replace(r"\p{L}", LETTERS).replace(r"\p{N}", NUMBERS)).findall, lower
         self.words: dict[bytes, bytes] = {}
+        self.seen = bytearray(SEEN)
 
     def library(self, text: str) -> bytes:
         return self.np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words not remembered."""
-        np, got, shapes, owners, counts = self.np, {}, [], [], []
+        """Ids of words not remembered. A zero byte as a piece of its own ends each word's ids."""
+        np, got, shapes, owners = self.np, {}, [], []
+        space, end = self.letters[0x20], self.letters[0]
         for w in words:
             s = self.shown(w).decode()
-            if not s.isascii() and max(s) >= "\u0100" or "<|" in s:
+            if not s.isascii() and max(s) >= "\u0100" or "<|" in s or "\0" in s:
                 got[w] = self.library(s)  # special tokens, or letters that libraries may lower or class differently
             else:
-                ps = self.pieces(s.lower() if self.lower else s)
                 owners.append(w)
-                counts.append(len(ps))
-                shapes += ps
-        shapes = [x.encode().decode("latin-1").translate(self.letters) for x in shapes]
-        made = self.bare.encode_batch([shapes], is_pretokenized=True, add_special_tokens=False)[0]
-        owner = np.repeat(np.arange(len(owners)), counts)[np.array(made.word_ids, np.int64)] if shapes else np.empty(0, np.int64)
-        ids, ends = np.array(made.ids, "<u4").tobytes(), np.cumsum(4 * np.bincount(owner, minlength=len(owners))).tolist()
-        got.update(zip(owners, [ids[a:b] for a, b in zip([0, *ends], ends)]))
+                for x in self.pieces(s.lower() if self.lower else s):
+                    shapes.append(x.replace(" ", space) if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(self.letters))
+                shapes.append(end)
+        if owners:
+            ids = np.array(self.bare.encode_batch_fast([shapes], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.end)
+            assert len(ends) == len(owners)
+            raw, stops = ids.tobytes(), (4 * ends).tolist()
+            got.update(zip(owners, [raw[a:b] for a, b in zip([0, *(b + 4 for b in stops)], stops)]))
         return got
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -102,7 +109,12 @@ class Memo:
         times = Counter(missing)
         fresh = self.learn(list(times))
         if len(self.words) < REMEMBERED:
-            self.words.update({w: fresh[w] for w, n in times.items() if n > 1})
+            seen, words = self.seen, self.words
+            for w, n in times.items():
+                if n > 1 or seen[hash(w) % SEEN]:
+                    words[w] = fresh[w]
+                else:
+                    seen[hash(w) % SEEN] = 1
         return [g if isinstance(g, bytes) else b"".join([fresh[w] if x is None else x for w, x in zip(*g)]) for g in got]
 
 
@@ -129,7 +141,7 @@ class ByteWords(Memo):
 
     def __init__(self, text: str) -> None:
         # fixed value: the public split pattern of this vocabulary
-        super().__init__(text, r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", False)
+        super().__init__(text, r"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}]+| ?[\p{N}]+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", False)
 
     def shown(self, word: bytes) -> bytes:
         """A key after a line break stands for itself, one marked by a zero byte for a new line, any other for a space and itself."""

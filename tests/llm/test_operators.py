@@ -97,24 +97,24 @@ def test_one_row_of_each(spark):
     assert all(r.text == t for r, (_, t) in zip(sorted(corpus_pipeline.without_repeats(spark, got.where("doc_id = 1"), "").collect()), want))
 
 
-def brute_removal(rows):
+def brute_removal(rows, n=400):
     texts, seen = [t.encode() for _, t in rows], {}
     for t in texts:
-        for i in range(len(t) - 399):
-            seen[t[i:i + 400]] = seen.get(t[i:i + 400], 0) + 1
+        for i in range(len(t) - n + 1):
+            seen[t[i:i + n]] = seen.get(t[i:i + n], 0) + 1
     for (d, _), t in zip(rows, texts):
         gone = bytearray(len(t))
-        for i in range(len(t) - 399):
-            if seen[t[i:i + 400]] > 1:
-                gone[i:i + 400] = b"\1" * 400
+        for i in range(len(t) - n + 1):
+            if seen[t[i:i + n]] > 1:
+                gone[i:i + n] = b"\1" * n
         yield d, len(t), bytes(c for c, g in zip(t, gone) if not g), sum(a and not b for a, b in zip(gone, [0, *gone]))
 
 
-@pytest.mark.parametrize("together", [256, 1])
-def test_suffix_dedup(docs, rows, together, monkeypatch):
+@pytest.mark.parametrize("together, length, gram", [(256, 400, 128), (1, 400, 128), (256, 240, 40), (1, 100, 16)])
+def test_suffix_dedup(docs, rows, together, length, gram, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
-    got = suffix_dedup.remove(docs, ["doc_id", "found", "k1"], "cut").collect()
-    assert sorted(((r.doc_id, r.cut.n_bytes, bytes(r.cut.kept), len(r.cut.spans)) for r in got), key=str) == sorted(brute_removal(rows), key=str)
+    got = suffix_dedup.remove(docs, ["doc_id", "found", "k1"], "cut", length=length, gram=gram).collect()
+    assert sorted(((r.doc_id, r.cut.n_bytes, bytes(r.cut.kept), len(r.cut.spans)) for r in got), key=str) == sorted(brute_removal(rows, length), key=str)
 
 
 def test_reaches():
@@ -126,7 +126,7 @@ def test_reaches():
         pairs = [(common(h[::-1], x[::-1]), common(t, y)) for j, (x, y) in enumerate(group) if j != i]
         good = [(a, b) for a, b in pairs if a + b >= 400]
         want.append((max(a for a, _ in good), max(b for _, b in good)) if good else None)
-    assert suffix_dedup.reaches([group]) == [want]
+    assert suffix_dedup.reaches([group], 400, 272) == [want]
 
 
 def test_tokens(spark, docs, rows):
