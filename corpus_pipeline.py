@@ -10,6 +10,8 @@ from tapeloom.session import cut_lineage
 
 #: Mean label probability below which a document's language counts as unknown.
 LEAST_SCORE = 0.35
+#: Bytes that a repeated passage of over 50 words has, but for few; ``suffix_dedup`` removes repeats of so many, found by anchors of 40.
+REPEAT, ANCHOR = 240, 40
 #: Similarity in a hundred from which two documents are near-duplicates.
 NEAR = 80
 
@@ -40,7 +42,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup; texts lose long repeated strings, and n_chars follows. All documents stay."""
     found = _fresh(docs)
-    cut = suffix_dedup.remove(docs, docs.columns, found, as_text=True)
+    cut = suffix_dedup.remove(docs, docs.columns, found, as_text=True, length=REPEAT, gram=ANCHOR)
     new = {"text": F.when(F.col("text").isNotNull(), F.col(found)["kept"])}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.size(F.col(found)["spans"]) > 0, F.char_length(F.col(found)["kept"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
