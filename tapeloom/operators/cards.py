@@ -143,6 +143,7 @@ def roll_versions(cards: DataFrame, pending: DataFrame) -> DataFrame:
     Subtractions add up, so the fold only carries the accepted sum and the list of accepted steps; a step
     that would push a price to zero is refused and leaves the card as it is. Larger dividends and splits
     leave drafts of the version of that moment. A card's pending actions are few: at most one per day and type.
+    Every price of a version follows: all tiers, line, box, trigger and stop; earnings per share (``eps``, a map) only splits.
     """
     step = f"struct<ex_date:date,ca_id:string,cash:{PRICE},channel:string,mul:decimal(20,10)>"
     mul, _ = conversion(pending)
@@ -169,16 +170,21 @@ def roll_versions(cards: DataFrame, pending: DataFrame) -> DataFrame:
                              F.lit("version").alias("kind"), F.lit(0).cast(PRICE).alias("total"),
                              F.lit(1).cast("decimal(20,10)").alias("mul")))
     x = x.withColumn("_rows", F.concat(first, F.aggregate(steps_col, start, fold)["rows"]))
-    x = x.select("symbol", "card_version_id", "tiers", "invalidation_line", F.posexplode("_rows").alias("seq", "s"))
+    if "eps" not in x.columns:
+        x = x.withColumn("eps", F.lit(None).cast(f"map<string,{PRICE}>"))
+    x = x.select("symbol", "card_version_id", "tiers", "box", "eps", "invalidation_line", "trigger_level", "stop_level", F.posexplode("_rows").alias("seq", "s"))
     w = Window.partitionBy("symbol", "s.kind").orderBy("seq")
     nxt = F.when(F.col("s.kind") == "version", F.lead("s.ex_date").over(w))
-    tier = F.col("tiers")[0]
+    f = lambda p: F.round((p - F.col("s.total")) * F.col("s.mul"), 4).cast(PRICE)
+    made = lambda new: F.when(F.col("s.kind") != "refused", new)
+    tier = lambda t: F.struct(t["tier"].alias("tier"), f(t["zone_low"]).alias("zone_low"), f(t["zone_high"]).alias("zone_high"))
     return x.select(
         "symbol", "seq", "s.ca_id", "s.kind",
         F.when(F.col("s.kind") == "version", F.when(nxt.isNull(), "active").otherwise("superseded")).otherwise(F.col("s.kind")).alias("status"),
         F.when(F.col("s.kind") == "version", F.col("s.ex_date")).alias("effective_from"), nxt.alias("effective_to"),
-        *[F.when(F.col("s.kind") != "refused", F.round((p - F.col("s.total")) * F.col("s.mul"), 4).cast(PRICE)).alias(n) for n, p in
-          (("t1_low", tier["zone_low"]), ("t1_high", tier["zone_high"]), ("invalidation_line", F.col("invalidation_line")))])
+        made(F.transform("tiers", tier)).alias("tiers"), made(F.when(F.col("box").isNotNull(), F.struct(*[f(F.col(f"box.{k}")).alias(k) for k in BOX_KEYS]))).alias("box"),
+        made(F.transform_values("eps", lambda k, v: F.round(v * F.col("s.mul"), 4).cast(PRICE))).alias("eps"),
+        *[made(f(F.col(k))).alias(k) for k in ("invalidation_line", "trigger_level", "stop_level")])
 
 
 INPUT_SCHEMA = ("struct<currency:string,price_tiers:struct<tiers:array<struct<tier:int,zone_low:string,zone_high:string>>>,"

@@ -59,11 +59,16 @@ def tier_trigger(x: DataFrame, counts: DataFrame, weeks: DataFrame) -> DataFrame
         .otherwise("no_tier_zone_entered")})
 
 
+def breached() -> Column:
+    """Close at or below the line less 1 %."""
+    line = F.col("invalidation_line") * (F.lit(1).cast("decimal(6,4)") - pct(BREACH_PCT))
+    return F.col("close_raw").cast(CLOSE) <= line
+
+
 def falsification(x: DataFrame) -> DataFrame:
     """Closes at or below the line less 1 %: confirmed on the second day in a row, then holding. Counts restart per card."""
     w = Window.partitionBy("symbol", "card_version_id").orderBy("trade_date")
-    line = F.col("invalidation_line") * (F.lit(1).cast("decimal(6,4)") - pct(BREACH_PCT))
-    y = x.withColumn("breached", F.col("close_raw").cast(CLOSE) <= line)
+    y = x.withColumn("breached", breached())
     y = y.withColumn("_g", F.sum(F.when(F.col("breached"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     inside = Window.partitionBy("symbol", "card_version_id", "_g").orderBy("trade_date")
     y = y.withColumn("run", F.sum(F.when(F.col("breached"), 1).otherwise(0)).over(inside.rowsBetween(Window.unboundedPreceding, 0)))

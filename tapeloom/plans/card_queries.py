@@ -150,11 +150,14 @@ select a.ca_id, c.symbol, c.card_version_id, """ + ", ".join(
 from corporate_actions a join vcards c on c.symbol = a.symbol""")
 
 
-def convertible(m):
+def with_eps(m):
     card = m.vcards.join(m.card_docs.select("symbol", "card_version_id", F.from_json(
         "earnings_scenarios_json", "struct<eps:map<string,string>>")["eps"].alias("eps")), ["symbol", "card_version_id"])
-    card = card.withColumn("eps", F.transform_values("eps", lambda k, v: v.cast("decimal(18,4)")))
-    return cards.convert_cards(m.corporate_actions.join(card, "symbol"))
+    return card.withColumn("eps", F.transform_values("eps", lambda k, v: v.cast("decimal(18,4)")))
+
+
+def convertible(m):
+    return cards.convert_cards(m.corporate_actions.join(with_eps(m), "symbol"))
 
 
 @query("k04_convert_cards", "select symbol, ca_id, card_version_id, " + ", ".join(f"round({k}, 4) as {k}" for k in CONV) + ", eps_base from converted")
@@ -192,15 +195,21 @@ s as (select symbol, 0::bigint as k, 0::decimal(18,4) as total, null::varchar as
   from s join p on p.symbol = s.symbol and p.k = s.k + 1) select * from s)""")
 
 
-@query("k06_roll_versions", """
-with x as (select s.*, c.t1_low, c.t1_high, c.invalidation_line, case when kind = 'version' then lead(ex_date) over (partition by s.symbol, kind order by s.k) end as nxt
+ROLLED = (*CONV, *cards.BOX_KEYS)
+
+
+@query("k06_roll_versions", f"""
+with x as (select s.*, {', '.join(f'c.{k}' for k in ROLLED)}, case when kind = 'version' then lead(ex_date) over (partition by s.symbol, kind order by s.k) end as nxt
   from roll_scan s join vcards c on c.symbol = s.symbol and c.status = 'active')
 select symbol, k::int as seq, ca_id, kind, case when kind <> 'version' then kind when nxt is null then 'active' else 'superseded' end as status,
   case when kind = 'version' then ex_date end::varchar as effective_from, nxt::varchar as effective_to,
-  case when kind <> 'refused' then round((t1_low - used) * mul, 4) end::double as t1_low, case when kind <> 'refused' then round((t1_high - used) * mul, 4) end::double as t1_high,
-  case when kind <> 'refused' then round((invalidation_line - used) * mul, 4) end::double as invalidation_line from x""")
+  {', '.join(f"case when kind <> 'refused' then round(({k} - used) * mul, 4) end::double as {k}" for k in ROLLED)},
+  {', '.join(f"case when kind <> 'refused' then round(round(invalidation_line * {v}::double, 4) * mul, 4) end::double as eps_{k}" for k, v in (('bear', 0.04), ('base', 0.05), ('bull', 0.06)))} from x""")
 def _(m):
-    return cards.roll_versions(m.vcards, cards.classify_actions(pending(m), m.bars_h))
+    x = cards.roll_versions(with_eps(m), cards.classify_actions(pending(m), m.bars_h))
+    zone = lambda i, k: F.col("tiers")[i][f"zone_{k}"].alias(f"t{i + 1}_{k}")
+    return x.select("symbol", "seq", "ca_id", "kind", "status", "effective_from", "effective_to", zone(0, "low"), zone(0, "high"), zone(1, "low"), zone(1, "high"), *CONV[4:],
+                    *[F.col(f"box.{k}").alias(k) for k in cards.BOX_KEYS], *[F.col("eps")[k].alias(f"eps_{k}") for k in ("bear", "base", "bull")])
 
 
 @query("k07_check_cards", """

@@ -88,6 +88,37 @@ def _(m):
     return rows.select("symbol", "period_end", "period_type", "created", "revision", "total_assets", "short_term_borrowing")
 
 
+def cash_flow(m):
+    """Real files of five amounts; periods before 1998 have no report yet, one row in four is empty."""
+    x = vsym(m.cash)
+    d = lambda e: s(e.cast("decimal(20,2)"))
+    gone = F.year("period_end") % 4 == 0
+    amounts = {"ocf": d(F.col("ocf")), "capex": d(F.col("capex")), "icf": d(-F.col("ocf") / 2), "financing_cf": F.lit("NA"), "net_cash_increase": d(F.col("ocf") - F.col("capex"))}
+    rows = x.select(*raw_zone.places("akshare", "cash_flow", F.concat("sym", F.lit("_cf_all"))), F.unix_date("period_end").alias("row_no"), "code", "setcode", s("period_end").alias("period_end"),
+                    F.lit("").alias("currency"), *[F.when(gone, "").otherwise(v).alias(k) for k, v in amounts.items()])
+    found = files.scan(m.spark, raw_zone.deliver(rows, work_folder(m.spark)), "akshare/cash_flow")
+    heads = vsym(m.rep.where("fiscal_year >= 1998")).select(F.col("sym").alias("symbol"), "period_end", "period_type", "is_cumulative", "revision")
+    return rp.parse_statement(files.read_layout(found, ["code", "setcode", "period_end", "currency", *rp.CASH_FIELDS]), rp.CASH_FIELDS, heads)
+
+
+view("cash_src", """
+select v.sym, v.symbol, r.period_end, r.period_type, r.q, year(r.period_end) < 1998 as created, r.np * 2 as ocf, 250000 as capex from rep r join vsym v using (symbol)
+where revision = 1 and q <> 3 and year(r.period_end) % 4 <> 0""")
+
+
+@query("s13_cash_flow", """
+select sym as symbol, period_end::varchar as period_end, period_type, created, case when not created and q = 2 then 2 else 1 end as revision, ocf::double as ocf, capex::double as capex,
+  round(-ocf::double / 2, 1) as icf, null::double as financing_cf, (ocf - capex)::double as net_cash_increase from cash_src""")
+def _(m):
+    rows, _ = cash_flow(m)
+    return rows.select("symbol", "period_end", "period_type", "created", "revision", "ocf", "capex", r(F.col("icf").cast("double"), 1).alias("icf"), "financing_cf", "net_cash_increase")
+
+
+@query("s13_degraded_headers", "select sym as symbol, period_end::varchar as period_end, period_type, 1 as revision, 'CNY' as currency from cash_src where created")
+def _(m):
+    return cash_flow(m)[1]
+
+
 def abstract_raw(m):
     x = rep1(m)
     row = lambda g, i, v: F.struct(F.lit(g).alias("group"), F.lit(i).alias("indicator"), v.alias("value"))

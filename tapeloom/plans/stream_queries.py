@@ -1,10 +1,10 @@
 """Streaming jobs driven to completion over the given tables."""
 from pyspark.sql import functions as F
 
-from tapeloom.operators import cards, right_side as rs
+from tapeloom.operators import cards, daily_watch as dw, right_side as rs
 from tapeloom.plans.bar_queries import rounded
 from tapeloom.plans.registry import query
-from tapeloom.session import work_folder
+from tapeloom.session import cut_lineage, work_folder
 from tapeloom.streaming import live
 
 
@@ -64,3 +64,28 @@ def _(m):
         stream = m.spark.readStream.schema(flags.schema).parquet(f"{folder}/in")
         out = to_table(m, live.right_side_live(stream), folder)
     return out
+
+
+PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@query("st4_falsification_live", "select symbol, card_version_id, trade_date::varchar as trade_date, run, state, triggered, reason from fals")
+def _(m):
+    """The days come in three deliveries, one of the last days of a delivery only with the next; an empty day closes the stream."""
+    folder = work_folder(m.spark)
+    days = m.bar_cards.select("symbol", "card_version_id", "trade_date", F.col("trade_date").cast("timestamp").alias("at"), dw.breached().alias("breached"))
+    late = F.col("trade_date").isin(*(F.lit(d).cast("date") for d in ("1999-08-30", "2000-08-30")))
+    part = F.when(F.col("trade_date") < "1999-09-01", 0).when(F.col("trade_date") < "2000-09-01", 1).otherwise(2) + F.when(late, 1).otherwise(0)
+    days = cut_lineage(days.withColumn("part", part))
+    end = days.agg(F.lit("~").alias("symbol"), F.lit("~").alias("card_version_id"), F.date_add(F.max("trade_date"), 400).alias("trade_date"), F.lit(3).alias("part"), F.lit(False).alias("breached"))
+    days = days.unionByName(end.withColumn("at", F.col("trade_date").cast("timestamp")))
+    before = m.spark.conf.get(PROVIDER)
+    m.spark.conf.set(PROVIDER, ROCKS)
+    try:
+        for i in range(4):
+            days.where(F.col("part") == i).drop("part").write.mode("append").parquet(f"{folder}/in")
+            stream = m.spark.readStream.schema(days.drop("part").schema).parquet(f"{folder}/in")
+            out = to_table(m, live.falsification_live(stream, "30 days"), folder)
+    finally:
+        m.spark.conf.set(PROVIDER, before)
+    return out.where("symbol <> '~'")

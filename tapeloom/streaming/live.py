@@ -6,10 +6,12 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tapeloom.functions.columns import ordered_price, price_of
 from tapeloom.operators.right_side import RIGHT_SCHEMA, step
+from tapeloom.params import CONFIRM_DAYS
 
 
 def run_available(writer, checkpoint: str) -> None:
@@ -79,3 +81,52 @@ def right_side_live(flags: DataFrame) -> DataFrame:
     in an earlier batch than days before them."""
     return flags.groupBy("symbol", "card_version_id").applyInPandasWithState(
         _advance, RIGHT_SCHEMA, "state string, waited int", "append", GroupStateTimeout.NoTimeout)
+
+
+class _Falsification(StatefulProcessor):
+    """Days of one card in order of time: they wait until the watermark has passed them, so a late one takes its place."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "run int")
+        self.days = handle.getListState("days", "trade_date date, at long, breached boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:
+            at = [int(t.timestamp() * 1000) for t in pd.to_datetime(pdf["at"], utc=True)]
+            self.days.appendList([(d, t, bool(b)) for d, t, b in zip(pdf["trade_date"], at, pdf["breached"])])
+            for t in sorted(set(at)):
+                self.handle.registerTimer(t)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        until = expiredTimerInfo.getExpiryTimeInMs()
+        days = sorted(self.days.get(), key=lambda d: d[1])
+        now, rest = [d for d in days if d[1] <= until], [d for d in days if d[1] > until]
+        if not now:
+            yield pd.DataFrame()
+            return
+        run, out = (self.run.get()[0] if self.run.exists() else 0), []
+        for day, _, breached in now:
+            before, run = run, run + 1 if breached else 0
+            state = "active" if run >= CONFIRM_DAYS else "watching" if run else "inactive"
+            reason = ("confirmed" if run == CONFIRM_DAYS else "holding" if run > CONFIRM_DAYS else f"breach_day_{run}_of_{CONFIRM_DAYS}" if run
+                      else "recovered" if before >= CONFIRM_DAYS else "no_breach")
+            out.append((*key, day, run, state, run == CONFIRM_DAYS, reason))
+        self.run.update((run,))
+        self.days.clear() if not rest else self.days.put(rest)
+        yield pd.DataFrame(out, columns=["symbol", "card_version_id", "trade_date", "run", "state", "triggered", "reason"])
+
+    def close(self) -> None:
+        pass
+
+
+def falsification_live(days: DataFrame, delay: str) -> DataFrame:
+    """Falsification of each card over a stream of days (symbol, card_version_id, trade_date, at, breached).
+
+    Days may arrive out of order and in later batches as long as they are not more than ``delay`` behind the newest; each is
+    reported once the watermark has passed it. Needs the RocksDB state store.
+    """
+    schema = "symbol string, card_version_id string, trade_date date, run int, state string, triggered boolean, reason string"
+    return days.withWatermark("at", delay).groupBy("symbol", "card_version_id").transformWithStateInPandas(
+        statefulProcessor=_Falsification(), outputStructType=schema, outputMode="Append", timeMode="EventTime")
