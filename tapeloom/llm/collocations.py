@@ -1,6 +1,6 @@
 """Phrases whose words stand together more often than apart, mined by shard (SON) and counted exactly.
 
-The corpus is dealt into ``SHARDS`` shards, each some of Spark's partitions. A phrase of support s in all of it has support
+Texts are cut into numbered words once and kept as a table. The corpus is dealt into ``SHARDS`` shards, each some of Spark's partitions. A phrase of support s in all of it has support
 s / SHARDS or more in one of them at least, whatever their sizes, so each shard is mined completely at that lowered support;
 longer phrases only where both their parts are frequent. The union over shards is thinned by the most that a phrase
 can reach (what was found, and less than the local support in every shard without it), and then all candidates are counted in
@@ -21,11 +21,11 @@ from itertools import islice
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tapeloom.llm.common import slices
-from tapeloom.session import cut_lineage
+from tapeloom.session import cut_lineage, discard
 
 SHARDS = 2
 #: Tokens that a task counts at a time.
-TOKENS = 3_000_000
+TOKENS = 2_000_000
 MOST_BITS = 28
 #: A word, or one character that ends a piece; pieces end with texts.
 TOKEN = re.compile(rb"[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]")
@@ -52,17 +52,28 @@ class Block:
             self.size += len(found)
             found = None
 
-    def close(self) -> None:
-        """After the last text: word numbers in one row, and hashes of the words."""
+    def close(self) -> tuple[bytes, bytes]:
+        """After the last text: the words by their numbers, and the numbers of the texts, both compressed."""
         import numpy as np
-        import xxhash
+        import zstandard
 
-        self.at = np.concatenate(self.parts)
-        self.names = [b""] * (max(self.words.values()) + 1)
+        names = [b""] * (max(self.words.values()) + 1)
         for w, i in self.words.items():
-            self.names[i] = w
+            names[i] = w
+        names[0] = b""
+        press = zstandard.ZstdCompressor(level=1)
+        return press.compress(b"\n".join(names)), press.compress(np.concatenate(self.parts).tobytes())
+
+    def open(self, words: bytes, at: bytes) -> Block:
+        import numpy as np
+        import xxhash
+        import zstandard
+
+        lift = zstandard.ZstdDecompressor()
+        self.names, self.at = lift.decompress(words).split(b"\n"), np.frombuffer(lift.decompress(at), np.int32)
         self.word_hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.names), np.uint64, len(self.names))
         self.start = np.uint64(xxhash.xxh64_intdigest(self.lang.encode(), seed=1))
+        return self
 
     def places(self, n: int):
         """Where phrases of n words start, as a mask."""
@@ -91,7 +102,7 @@ class Block:
 
         parts = [self.at[i:i + len(ok)][ok].astype(np.int64) for i in range(n)]
         bits = 63 // n
-        if len(self.words) >= 1 << bits:  # too many words for one number a phrase
+        if len(self.names) >= 1 << bits:  # too many words for one number a phrase
             return np.unique(np.stack(parts, 1), axis=0, return_counts=True)
         key = np.zeros(len(parts[0]), np.int64)
         for part in parts:
@@ -100,26 +111,40 @@ class Block:
         return np.stack([key >> bits * (n - 1 - i) & (1 << bits) - 1 for i in range(n)], 1), counts
 
 
-def blocks(batches: Iterator) -> Iterator[Block]:
-    """The texts (lang, text) of a task, so many at a time."""
-    open_, size = {}, 0
-    for batch in slices(batches):
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            block = open_.setdefault(lang, Block(lang))
-            before, known = block.size, len(block.words)
-            block.add(text)
-            size += block.size - before + 4 * (len(block.words) - known)  # a new word takes more than its number
-            if size >= TOKENS:
-                yield from closed(open_)
-                size = 0
-    yield from closed(open_)
+def numbered(texts: DataFrame) -> DataFrame:
+    """(shard, lang, words, at): the texts (lang, text) cut into words once, in blocks of about ``TOKENS``, for all later counts."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        shard = TaskContext.get().partitionId() % SHARDS
+
+        def closed() -> Iterator:
+            while open_:
+                block = open_.popitem()[1]
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((shard, block.lang, *block.close()), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], names=["shard", "lang", "words", "at"])
+
+        open_: dict[str, Block] = {}
+        size = 0
+        for batch in slices(batches):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                block = open_.setdefault(lang, Block(lang))
+                before, known = block.size, len(block.words)
+                block.add(text)
+                size += block.size - before + 4 * (len(block.words) - known)  # a new word takes more than its number
+                if size >= TOKENS:
+                    yield from closed()
+                    size = 0
+        yield from closed()
 
+    return texts.mapInArrow(run, "shard int, lang string, words binary, at binary")
 
-def closed(open_: dict[str, Block]) -> Iterator[Block]:
-    while open_:
-        block = open_.popitem()[1]
-        block.close()
-        yield block
+
+def blocks(batches: Iterator) -> Iterator[tuple[int, Block]]:
+    """Shards and blocks, one at a time in memory."""
+    for batch in batches:
+        for shard, lang, words, at in zip(*batch.columns):
+            yield shard.as_py(), Block(lang.as_py()).open(words.as_py(), at.as_py())
 
 
 def inside(bitmap, hashes):
@@ -142,17 +167,15 @@ def bitmap_of(mined: DataFrame):
     return bits, made.view(np.uint64)
 
 
-def mined(texts: DataFrame, n: int, support: int, parts) -> DataFrame:
+def mined(cut: DataFrame, n: int, support: int, parts) -> DataFrame:
     """(h) of phrases of n words that can reach the support; ``parts``: the bitmap of shorter ones (a broadcast), or none."""
     local = -(-support // SHARDS)
 
     def count(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId() % SHARDS
-        for block in blocks(batches):
+        for shard, block in blocks(batches):
             ok = block.places(n)
             if parts is not None:
                 shorter = inside(parts.value, block.hashes(n - 1))
@@ -161,18 +184,18 @@ def mined(texts: DataFrame, n: int, support: int, parts) -> DataFrame:
             if len(h):
                 yield from slices([pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), shard, np.int32)), pa.array(counts)], names=["h", "shard", "n"])], 100_000)
 
-    found = texts.mapInArrow(count, "h long, shard int, n long").groupBy("h", "shard").agg(F.sum("n").alias("n")).where(F.col("n") >= local)
+    found = cut.mapInArrow(count, "h long, shard int, n long").groupBy("h", "shard").agg(F.sum("n").alias("n")).where(F.col("n") >= local)
     reach = F.sum("n") + (SHARDS - F.count("*")) * (local - 1)
     return found.groupBy("h").agg(reach.alias("reach")).where(F.col("reach") >= support).select("h")
 
 
-def counted(texts: DataFrame, bitmaps: dict) -> DataFrame:
+def counted(cut: DataFrame, bitmaps: dict) -> DataFrame:
     """(lang, k, phrase, a): all words (k = 1) and the candidates of each length, counted by their words in all texts."""
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for block in blocks(batches):
+        for _, block in blocks(batches):
             for k in [1, *bitmaps]:
                 ok = block.places(k)
                 if k > 1:
@@ -184,7 +207,7 @@ def counted(texts: DataFrame, bitmaps: dict) -> DataFrame:
                     phrase = pc.binary_join_element_wise(*(names.take(pa.array(some[:, i])) for i in range(k)), " ")
                     yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(block.lang), len(some)), pa.repeat(pa.scalar(k, pa.int32()), len(some)), phrase, pa.array(counts[at:at + 100_000])], names=["lang", "k", "phrase", "a"])
 
-    return texts.mapInArrow(count, "lang string, k int, phrase string, a long").groupBy("lang", "k", "phrase").agg(F.sum("a").alias("a"))
+    return cut.mapInArrow(count, "lang string, k int, phrase string, a long").groupBy("lang", "k", "phrase").agg(F.sum("a").alias("a"))
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
@@ -196,9 +219,11 @@ def phrases(docs: DataFrame, support: int = 10, first: int = 2000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of the best phrases of 2 to 3 words in ``docs`` (lang, text)."""
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    two = spark.sparkContext.broadcast(bitmap_of(cut_lineage(mined(texts, 2, support, None))))
-    three = spark.sparkContext.broadcast(bitmap_of(cut_lineage(mined(texts, 3, support, two))))
-    all_counts = cut_lineage(counted(texts, {2: two, 3: three}).where((F.col("k") == 1) | (F.col("a") >= support)))
+    cut = cut_lineage(numbered(texts))
+    two = spark.sparkContext.broadcast(bitmap_of(cut_lineage(mined(cut, 2, support, None))))
+    three = spark.sparkContext.broadcast(bitmap_of(cut_lineage(mined(cut, 3, support, two))))
+    all_counts = cut_lineage(counted(cut, {2: two, 3: three}).where((F.col("k") == 1) | (F.col("a") >= support)))
+    discard(cut)
     total = all_counts.where("k = 1").groupBy("lang").agg(F.sum("a").alias("n"))
     of = lambda k, name: all_counts.where((F.col("k") == k) & (F.col("a") >= support)).select("lang", F.col("phrase").alias(name), F.col("a").alias(f"n_{name}"))
     word = lambda c, i: F.split(c, " ")[i]

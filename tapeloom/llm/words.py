@@ -18,9 +18,9 @@ EXOTIC = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80
 SPACES = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
 #: A run of white space and the run of other characters after it.
 CHUNK = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
-#: Words that one worker remembers (some 60 MB), of those that have come before; others are encoded anew. Which have come
+#: Words that one worker remembers (some 120 MB), of those that have come before; others are encoded anew. Which have come
 #: before is known by a byte for each hash.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 SEEN = 1 << 22
 # fixed value: letters and numbers below U+0100, for patterns that name them by Unicode class
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
@@ -54,6 +54,7 @@ class Memo:
         self.letters = _byte_letters()
         self.end, = self.bare.encode([self.letters[0]], is_pretokenized=True, add_special_tokens=False).ids
         self.pieces, self.lower = re.compile(pattern.replace(r"\p{L}", LETTERS).replace(r"\p{N}", NUMBERS)).findall, lower
+        self.tails = {x.encode(): np.array(self.bare.encode([x], is_pretokenized=True, add_special_tokens=False).ids, "<u4").tobytes() for x in ".,;:!?"}
         self.words: dict[bytes, bytes] = {}
         self.seen = bytearray(SEEN)
 
@@ -64,7 +65,19 @@ class Memo:
         """Ids of words not remembered. A zero byte as a piece of its own ends each word's ids."""
         np, got, shapes, owners = self.np, {}, [], []
         space, end = self.letters[0x20], self.letters[0]
+        before, tailed = self.before and space, {}
         for w in words:
+            plain = w.lower() if self.lower else w
+            if plain.isalpha():  # ASCII letters, by far the most
+                owners.append(w)
+                shapes += (before + plain.decode(), end)
+                continue
+            if plain[:-1].isalpha() and plain[-1:] in self.tails:  # a word that may be known without its point or comma
+                if w[:-1] not in self.words and w[:-1] not in tailed:
+                    owners.append(w[:-1])
+                    shapes += (before + plain[:-1].decode(), end)
+                tailed.setdefault(w[:-1], []).append(w)
+                continue
             s = self.shown(w).decode()
             if not s.isascii() and max(s) >= "\u0100" or "<|" in s or "\0" in s:
                 got[w] = self.library(s)  # special tokens, or letters that libraries may lower or class differently
@@ -79,6 +92,11 @@ class Memo:
             assert len(ends) == len(owners)
             raw, stops = ids.tobytes(), (4 * ends).tolist()
             got.update(zip(owners, [raw[a:b] for a, b in zip([0, *(b + 4 for b in stops)], stops)]))
+        for base, several in tailed.items():
+            ids = self.words.get(base) or got[base]
+            if len(self.words) < REMEMBERED:
+                self.words[base] = ids
+            got.update((w, ids + self.tails[w[-1:]]) for w in several)
         return got
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -121,6 +139,8 @@ class Memo:
 class LowerWords(Memo):
     """For the lower-casing vocabulary, whose pattern drops white space: words are independent of each other."""
 
+    before = ""
+
     def __init__(self, text: str) -> None:
         # fixed value: the split pattern inside the vocabulary file
         super().__init__(text, r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", True)
@@ -139,6 +159,8 @@ class LowerWords(Memo):
 class ByteWords(Memo):
     """For the byte-level vocabulary: a piece may take one space before it, never any after it."""
 
+    before = " "
+
     def __init__(self, text: str) -> None:
         # fixed value: the public split pattern of this vocabulary
         super().__init__(text, r"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}]+| ?[\p{N}]+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", False)

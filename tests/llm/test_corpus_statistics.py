@@ -151,8 +151,8 @@ def test_phrases(spark, tokens, monkeypatch):
 def test_many_words():
     block = collocations.Block("en")
     block.add(" ".join(f"w{i}" for i in range(1 << 18)) + " w0 w1 w2")
-    block.words.update({f"z{i}".encode(): 0 for i in range(1 << 21)})  # more words than fit into one number a phrase
-    block.close()
+    block = collocations.Block("en").open(*block.close())
+    block.names += [b""] * (1 << 21)  # more words than fit into one number a phrase
     rows, counts = block.phrases(3, block.places(3))
     assert len(rows) == 1 << 18 and counts.max() == 2
 
