@@ -24,7 +24,7 @@ SCHEMA = "doc_id long, n_tokens int, local_start long, tokens array<int>"
 #: Row groups of 32 MB, pages of 64 KB, dictionary for ids, delta encoding (format version 2) for the rest.
 LAYOUT = {
     "parquet.block.size": str(32 << 20), "parquet.page.size": str(64 << 10), "parquet.writer.version": "PARQUET_2_0",
-    "parquet.enable.dictionary": "false", "parquet.enable.dictionary#tokens.list.element": "true", "compression": "zstd",
+    "parquet.enable.dictionary": "false", "parquet.enable.dictionary#tokens.list.element": "true", "compression": "snappy",  # ids packed by a dictionary hardly shrink further
 }
 
 
@@ -52,8 +52,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, kind: str, end_id:
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         .repartitionByRange("doc_id", F.xxhash64("text"))  # equal ids may still be dealt apart
-        .sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    )
+        .sortWithinPartitions("doc_id", "text")
+    ).withColumn("text", F.col("text").cast("binary"))
     ordered.mapInArrow(encode, SCHEMA).write.options(**LAYOUT).parquet(path)
 
 

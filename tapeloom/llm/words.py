@@ -58,7 +58,8 @@ class Memo:
         self.words: dict[bytes, bytes] = {}
         self.seen = bytearray(SEEN)
 
-    def library(self, text: str) -> bytes:
+    def library(self, text: str | bytes) -> bytes:
+        text = text.decode() if isinstance(text, bytes) else text
         return self.np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
@@ -99,15 +100,15 @@ class Memo:
             got.update((w, ids + self.tails[w[-1:]]) for w in several)
         return got
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def __call__(self, texts: list[str] | list[bytes]) -> list[bytes]:
+        """Ids of each text, given as such or in UTF-8, as little-endian unsigned 32-bit integers."""
         gc.disable()  # many small objects and no cycles
         try:
             return self._encode(texts)
         finally:
             gc.enable()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _encode(self, texts: list[str] | list[bytes]) -> list[bytes]:
         got: list = []
         missing: list[bytes] = []
         get = self.words.get
@@ -148,9 +149,9 @@ class LowerWords(Memo):
     def shown(self, word: bytes) -> bytes:
         return word
 
-    def split(self, text: str) -> list[bytes] | None:
+    def split(self, text: str | bytes) -> list[bytes] | None:
         """Keys of the words; none if the text must go through the library whole."""
-        raw = text.encode()
+        raw = text if isinstance(text, bytes) else text.encode()
         if exotic(raw):
             return None
         return raw.split() if b"<|" in raw else raw.lower().split()
@@ -171,8 +172,8 @@ class ByteWords(Memo):
             return word[1:]
         return b"\n" + word[1:] if word[:1] == b"\0" else b" " + word
 
-    def split(self, text: str) -> list[bytes] | None:
-        raw = text.encode()
+    def split(self, text: str | bytes) -> list[bytes] | None:
+        raw = text if isinstance(text, bytes) else text.encode()
         if exotic(raw):
             return None
         if b"  " in raw or b" \n" in raw or b"\n " in raw or b"\n\n" in raw or raw[-1:] in (b" ", b"\n") or any(c in raw for c in (b"\t", b"\r", b"\x0b", b"\x0c")):
@@ -186,8 +187,8 @@ def encoder(kind: str, json_text: str) -> Memo:
     return once((kind, len(json_text), hash(json_text)), lambda: {"lower_words": LowerWords, "byte_words": ByteWords}[kind](json_text))
 
 
-def in_parts(texts: list[str], most: int = 2 << 20) -> Iterator[list[str]]:
-    """Some texts at a time, of about so many characters together."""
+def in_parts(texts: list, most: int = 2 << 20) -> Iterator[list]:
+    """Some texts at a time, of about so many characters or bytes together."""
     part, size = [], 0
     for t in texts:
         part.append(t)
