@@ -18,9 +18,9 @@ EXOTIC = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80
 SPACES = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
 #: A run of white space and the run of other characters after it.
 CHUNK = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
-#: Words that one worker remembers (some 120 MB), of those that have come before; others are encoded anew. Which have come
+#: Words that one worker remembers (some 90 MB), of those that have come before; others are encoded anew. Which have come
 #: before is known by a byte for each hash.
-REMEMBERED = 600_000
+REMEMBERED = 450_000
 SEEN = 1 << 22
 # fixed value: letters and numbers below U+0100, for patterns that name them by Unicode class
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
