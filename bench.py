@@ -16,7 +16,7 @@ HEADLINE = (
     "b02_factor_scores", "b05_topn_weights", "c02_chip_series_full_grid", "p06_pe_series", "p07_pe_quantiles", "a04_decline_anchor",
     "x07_exhaustion_facts", "d04_falsification", "r02_right_side", "u04_accumulation", "e02_event_study", "e06_link_events",
     "e07_effective_state", "s24_parse_news", "s27_flow_block", "v04_batch_policy", "q05_signal_events", "q08_align", "t07_baseline_exit",
-    "z01_surge_screen", "st3_tumbling_bars",
+    "z01_surge_screen", "st3_tumbling_bars", "q01_stock_list", "q06_bars_daily", "q09_compare_metric", "q15_dashboard",
 )
 
 

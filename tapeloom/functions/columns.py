@@ -70,10 +70,10 @@ def one_per_key(df: DataFrame, key: list[str], last: bool = True, order: tuple[s
 def ordered_price(order: Column, px) -> Column:
     """A price behind its place in the order, as one decimal: the least or greatest of a group is that of the first or last.
 
-    A decimal is a buffer that a hash aggregate updates in place, so nothing is sorted. Places take 14 digits, prices 8 before
+    A decimal is a buffer that a hash aggregate updates in place, so nothing is sorted. Places take 13 digits, prices 8 before
     the point and 16 after it; equal places go by price.
     """
-    return (order.cast("decimal(14,0)") * F.lit(10**8).cast("decimal(9,0)")).cast("decimal(38,16)") + c(px).cast("decimal(24,16)")
+    return (order.cast("decimal(13,0)") * F.lit(10**8).cast("decimal(9,0)")).cast("decimal(37,16)") + c(px).cast("decimal(24,16)")
 
 
 def price_of(ordered) -> Column:
