@@ -352,13 +352,14 @@ def repeats(docs: DataFrame, length: int, gram: int) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], ["anchor", "context", "head", "tail", "kinds"])
 
-    texts = packed(docs).dropDuplicates(["k1", "k2"])  # a document that stands in many rows serves once
+    # a document that stands in several rows serves once per row; equal rows drop out below
+    texts = packed(docs)
     written = cut_lineage(texts.join(lists, ["k1", "k2"]).mapInArrow(fetch, "anchor long, context long, head binary, tail binary, kinds long"))
     contexts = written.withColumn("many", F.col("kinds") > TOGETHER)
     reach = sorted_reaches(contexts.where("not many"), length, gram)
     crowded = contexts.where("many")
     if not crowded.isEmpty():
-        reach = reach.unionByName(counted_reaches(crowded, length, gram))
+        reach = reach.unionByName(counted_reaches(crowded.dropDuplicates(["anchor", "context"]), length, gram))
     whole = kinds.where("n > 1").select("anchor", "context", "before", "after")
     # a table of its own, so that the join below has two plain shuffles and hot contexts can be split
     reach = cut_lineage(whole.unionByName(reach).groupBy("anchor", "context").agg(F.max("before").alias("to_left"), F.max("after").alias("to_right")))
