@@ -118,8 +118,9 @@ def merge_facts(cur: DataFrame, new: DataFrame, key: list[str], values: list[str
                     F.when(upd, F.to_json("_new")).alias("new_value")).select(*key, "action", "_v.*", "old_value", "new_value")
 
 
-def append_revision(cur: DataFrame, new: DataFrame, key: list[str], values: list[str]) -> DataFrame:
-    """Rows to append, numbered on from the newest revision in delivery order; content equal to the one before it is skipped.
+def _numbered(cur: DataFrame, new: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """Delivered rows with their revision: numbered on from the newest stored one (``_l``) in delivery order; ``_add`` tells
+    whether the content differs from the one before it, so that the row starts that revision.
 
     A batch holds few deliveries of a key, so the window per key stays small.
     """
@@ -131,7 +132,53 @@ def append_revision(cur: DataFrame, new: DataFrame, key: list[str], values: list
     same = reduce(lambda p, q: p & q, [before(v).eqNullSafe(F.col(v)) for v in values])
     x = x.withColumn("_add", ((F.col("_n") == 1) & F.col("_l").isNull()) | ~same)
     number = F.coalesce(F.col("_l.revision"), F.lit(0)) + F.sum(F.col("_add").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return x.withColumn("revision", number.cast(cur.schema["revision"].dataType)).where("_add").drop("_l", "_n", "_add", *at)
+    return x.withColumn("revision", number.cast(cur.schema["revision"].dataType))
+
+
+def append_revision(cur: DataFrame, new: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """Rows to append, numbered on from the newest revision in delivery order; content equal to the one before it is skipped."""
+    at = [x for x in DELIVERY if x in new.columns and x not in key + values]
+    return _numbered(cur, new, key, values).where("_add").drop("_l", "_n", "_add", *at)
+
+
+def revise(cur: DataFrame, new: DataFrame, key: list[str], values: list[str], spine: DataFrame) -> DataFrame:
+    """Every revision after a delivery, on two times: the period in the key, and ``available_on``, from which it is known.
+
+    ``cur`` holds key, revision, values, published_on, available_on; ``new`` key, values, published_on, market, ingested_on.
+    Corrected content becomes the next revision with its own availability: the open day after its publication or, unpublished,
+    the day of its delivery. Content equal to the revision before it changes nothing, but a publication date dates that revision
+    where it had none. ``action`` is insert, date or keep; before_* are the times until now, which ``revision_log`` writes down.
+    Within a batch the first known date of a revision counts. Rows with a NULL in the key take no part.
+    """
+    x = _numbered(cur, new.dropna(subset=key), key, values)
+    first = x.groupBy(*key, "revision").agg(
+        F.min_by(F.struct(F.col("_add").alias("add"), *values, "market", "ingested_on"), "_n").alias("_d"),
+        F.min_by("published_on", F.when(F.col("published_on").isNotNull(), F.col("_n"))).alias("_p"))
+    first = next_open(first.withColumn("market", F.col("_d.market")), spine, "_p", "_avail").drop("market")
+    old = cur.select(*key, "revision", F.struct(*values, "published_on", "available_on").alias("_o"))
+    y = old.join(first, [*key, "revision"], "full_outer")
+    insert, date = F.col("_o").isNull(), F.col("_o.published_on").isNull() & F.col("_p").isNotNull()
+    return y.select(
+        *key, "revision", *[F.when(insert, F.col(f"_d.{v}")).otherwise(F.col(f"_o.{v}")).alias(v) for v in values],
+        F.coalesce("_o.published_on", "_p").alias("published_on"),
+        F.when(date, F.col("_avail")).otherwise(F.coalesce("_o.available_on", "_d.ingested_on")).alias("available_on"),
+        F.when(insert, "insert").when(date, "date").otherwise("keep").alias("action"),
+        F.col("_o.published_on").alias("before_published_on"), F.col("_o.available_on").alias("before_available_on"))
+
+
+def revision_log(history: DataFrame, key: list[str]) -> DataFrame:
+    """Change log of ``revise``: one row for each revision that was added or dated, with old and new times as JSON."""
+    times = lambda at: F.to_json(F.struct(F.col(f"{at}published_on").cast("string").alias("published_on"),
+                                          F.col(f"{at}available_on").cast("string").alias("available_on")))
+    dated = F.col("action") == "date"
+    return history.where("action <> 'keep'").select(*key, "revision", "action", F.when(dated, times("before_")).alias("old_value"), times("").alias("new_value"))
+
+
+def known_on(history: DataFrame, key: list[str], day) -> DataFrame:
+    """The revision of each key that was the newest one known on a day; keys of which nothing was known are left out."""
+    rest = [x for x in history.columns if x not in key]
+    x = history.where(F.col("available_on") <= F.lit(day).cast("date"))
+    return x.groupBy(*key).agg(F.max_by(F.struct(*rest), "revision").alias("_k")).select(*key, "_k.*")
 
 
 def next_open(rows: DataFrame, spine: DataFrame, day: str, name: str = "available_on") -> DataFrame:
@@ -208,7 +255,8 @@ def match_disclosures(reports: DataFrame, anns: DataFrame) -> DataFrame:
     key = ["symbol", "period_end", "period_type"]
     best = hit.groupBy(*key).agg(F.min_by(F.struct("ann_date", "title", tier.alias("tier")), F.struct(
         F.when(tier == "full", 0).otherwise(1), "ann_date", "title")).alias("b"))
-    return reports.join(best, key, "left").select(*reports.columns, F.col("b.ann_date").alias("disclosed_on"), F.col("b.tier").alias("tier"))
+    return reports.join(best, key, "left").select(*reports.columns, F.col("b.ann_date").alias("disclosed_on"), F.col("b.tier").alias("tier"),
+                                                  F.col("b.title").alias("disclosure_title"))
 
 
 def backfill_pit(reports: DataFrame, anns: DataFrame, spine: DataFrame) -> DataFrame:
@@ -218,3 +266,14 @@ def backfill_pit(reports: DataFrame, anns: DataFrame, spine: DataFrame) -> DataF
     return m.withColumns({
         "new_published_at": F.when(hit, local_midnight_utc("disclosed_on", "Asia/Shanghai")),
         "new_available_on": F.when(hit, F.col("_avail")).otherwise(F.col("available_date")), "matched": hit}).drop("_avail", "market")
+
+
+def pit_revisions(filled: DataFrame) -> DataFrame:
+    """Revision rows of ``backfill_pit``: old and new publication and availability of every report whose times changed, as JSON,
+    with the title and tier that they come from. A repeated run changes nothing and so logs nothing."""
+    moved = ~F.col("new_published_at").eqNullSafe(F.col("published_at")) | ~F.col("new_available_on").eqNullSafe(F.col("available_date"))
+    say = lambda at, on, *more: F.to_json(F.struct(F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("published_at"),
+                                                   F.col(on).cast("string").alias("available_on"), *more))
+    return filled.where(F.col("matched") & moved).select(
+        "symbol", "period_end", "period_type", say("published_at", "available_date").alias("old_value"),
+        say("new_published_at", "new_available_on", F.col("disclosure_title").alias("title"), "tier").alias("new_value"))

@@ -74,6 +74,49 @@ def _(m):
     return rp.fill_published(cur, x).select("symbol", "period_end", "revision", "published_on")
 
 
+# stored before the delivery of the last day of 2001: annual and half-year reports to 1999, those of 1999 with another profit, undated but for half-years
+LANDED = "2001-12-31"
+view("history", f"""
+with n as (select v.sym, v.symbol, period_end, period_type, fiscal_year, q, (revenue * {MULT})::double as revenue, (np * {MULT})::double as np, case when q = 4 then available_date end as pub from rep join vsym v using (symbol) where revision = 1),
+o as (select *, case when q = 2 then (period_end + 40)::date end as opub, (period_end + 50)::date as oav from n where fiscal_year < 2000 and q in (2, 4)),
+d as (select n.*, case when v.sym like '%.HK' then (pub + 1)::date else case when t.x is null or t.x - pub > 41 then (pub + 41)::date else t.x end end as pav
+  from n join (select distinct sym from vsym) v using (sym) left join (select r.pub as p, (select min(trade_date) from trading_calendar c where c.trade_date > r.pub) as x from (select distinct pub from n) r) t on t.p = n.pub)
+select sym, period_end, period_type, 1 as revision, case when fiscal_year = 1999 then np + 1 else np end as np, coalesce(opub, case when fiscal_year < 1999 then pub end) as published_on,
+  case when opub is null and fiscal_year < 1999 and pub is not null then pav else oav end as available_on,
+  case when opub is null and fiscal_year < 1999 and pub is not null then 'date' else 'keep' end as action, opub as before_published_on, oav as before_available_on from o join (select sym, period_end, pav from d) x using (sym, period_end)
+union all select sym, period_end, period_type, case when fiscal_year = 1999 and q in (2, 4) then 2 else 1 end, np, pub, coalesce(pav, date '{LANDED}'), 'insert', null, null from d
+  where fiscal_year > 1999 or (fiscal_year = 1999) or q in (1, 3)""")
+
+
+def history(m):
+    _, x = income_b(m)
+    x = x.withColumn("ingested_on", F.lit(LANDED).cast("date"))
+    half = F.month("period_end") == 6
+    cur = x.where("fiscal_year < 2000 and month(period_end) in (6, 12)").select(
+        *rp.REPORT_KEY, F.lit(1).alias("revision"), *[F.col(v) if v != "net_profit_attr" else F.when(F.col("fiscal_year") == 1999, F.col(v) + 1).otherwise(F.col(v)).cast("decimal(38,6)").alias(v) for v in rp.FACTS],
+        F.when(half, F.date_add("period_end", 40)).alias("published_on"), F.date_add("period_end", 50).alias("available_on"))
+    return q.revise(cur, x, rp.REPORT_KEY, rp.FACTS, m.spine)
+
+
+@query("s12_revisions", "select sym as symbol, period_end::varchar as period_end, period_type, revision, np as net_profit_attr, published_on::varchar as published_on, available_on::varchar as available_on, action from history")
+def _(m):
+    return history(m).select("symbol", "period_end", "period_type", "revision", "net_profit_attr", "published_on", "available_on", "action")
+
+
+@query("s12_revision_log", """
+select sym as symbol, period_end::varchar as period_end, period_type, revision, action, case when action = 'date' then '{"available_on":"' || before_available_on || '"}' end as old_value,
+  '{' || coalesce('"published_on":"' || published_on || '",', '') || '"available_on":"' || available_on || '"}' as new_value from history where action <> 'keep'""")
+def _(m):
+    return q.revision_log(history(m), rp.REPORT_KEY).drop("is_cumulative")
+
+
+@query("s12_known_on", """
+select sym as symbol, period_end::varchar as period_end, period_type, revision, np as net_profit_attr, available_on::varchar as available_on from history where available_on <= date '2000-06-30'
+qualify row_number() over (partition by sym, period_end, period_type order by revision desc) = 1""")
+def _(m):
+    return q.known_on(history(m), rp.REPORT_KEY, "2000-06-30").select("symbol", "period_end", "period_type", "revision", "net_profit_attr", "available_on")
+
+
 @query("s13_parse_statement", """
 select v.sym as symbol, b.period_end::varchar as period_end, b.period_type, year(b.period_end) < 1997 as created, case when year(b.period_end) < 1997 then 1 when b.period_type = 'interim' then 2 else 1 end as revision,
   total_assets::double as total_assets, stb::double as short_term_borrowing from balance b join vsym v using (symbol)""")
@@ -365,12 +408,17 @@ def _(m):
 
 @query("s30_parse_macro", """
 select 'x' as factor_type, code, trade_date::varchar as trade_date, case when trade_date >= date '2000-01-15' then 'CN' else market end as market,
-  case when trade_date >= date '2000-01-15' then close + 1 else close end::double as close, trade_date >= date '2000-01-15' as fresh from macro_factors""")
+  case when trade_date >= date '2000-01-15' then close + 1 else close end::double as close, trade_date >= date '2000-01-15' as fresh,
+  case when trade_date >= date '2000-01-15' then 'new ' || code else code end as name, case when trade_date < date '2000-01-15' then 0.5 when code <> 'F_click' then round(close / 100, 4)::double end as change_pct,
+  case when trade_date >= date '2000-01-15' and market = 'CN' then 'pct' end as unit from macro_factors""")
 def _(m):
     base = m.macro_factors.withColumn("factor_type", F.lit("x"))
-    new = base.where("trade_date >= '2000-01-15'").select("factor_type", "code", "trade_date", F.lit("").alias("market"), (F.col("close") + 1).cast("decimal(38,10)").alias("close"))
+    old = base.where("trade_date < '2000-01-20'").select("factor_type", "code", "trade_date", "market", "close", F.col("code").alias("name"), F.lit("0.5").cast("decimal(38,10)").alias("change_pct"), F.lit(None).cast("string").alias("unit"))
+    new = base.where("trade_date >= '2000-01-15'").select(
+        "factor_type", "code", "trade_date", F.lit("").alias("market"), (F.col("close") + 1).cast("decimal(38,10)").alias("close"), F.concat(F.lit(" new "), "code").alias("name"),
+        F.when(F.col("code") == "F_click", "NA").otherwise(s(F.round(F.col("close") / 100, 4))).alias("change_pct"), F.when(F.col("market") == "CN", "pct ").otherwise("").alias("unit"))
     new = new.withColumns({"close": (F.col("close") + 7).cast("decimal(38,10)"), "row_no": F.lit(1)}).unionByName(new.withColumn("row_no", F.lit(2)))
-    return ms.parse_macro(new, base.where("trade_date < '2000-01-20'").select("factor_type", "code", "trade_date", "market", "close"))
+    return ms.parse_macro(new, old)
 
 
 @query("s31_parse_industry", """

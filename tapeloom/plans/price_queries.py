@@ -301,3 +301,17 @@ select symbol, period_end::varchar as period_end, strftime(d::timestamp - interv
   (case when n is null or n - d > 41 then (d + 41)::date else n end)::varchar as new_available_on from (select *, (select min(trade_date) from trading_calendar t where t.trade_date > d) as n from disclosed) x""")
 def _(m):
     return q.backfill_pit(m.reports.select(*REPS), titles(m), m.spine).select("symbol", "period_end", "new_published_at", "matched", "new_available_on")
+
+
+# stored: a publication date at local midnight or none
+@query("v15_pit_revisions", """
+select symbol, period_end::varchar as period_end, period_type,
+  '{' || coalesce('"published_at":"' || strftime(published_at::timestamp - interval 8 hour, '%Y-%m-%d %H:%M:%S') || '",', '') || '"available_on":"' || available_date || '"}' as old_value,
+  '{"published_at":"' || strftime(d::timestamp - interval 8 hour, '%Y-%m-%d %H:%M:%S') || '","available_on":"' || na || '","title":"' || title || '","tier":"' || tier || '"}' as new_value
+from (select x.*, r.published_at, case when n is null or n - d > 41 then (d + 41)::date else n end as na, case when x.q = 3 then t || '摘要' else '公司' || t end as title
+  from (select d.*, p.q, p.t, (select min(trade_date) from trading_calendar c where c.trade_date > d.d) as n from disclosed d join (select symbol, period_end, period_type, q,
+    case q when 4 then fiscal_year || '年年度报告' when 2 then fiscal_year || '年半年度报告' when 1 then fiscal_year || '年第一季度报告' else fiscal_year || '年三季度报告' end as t from reports) p using (symbol, period_end, period_type)) x
+  join (select symbol, period_end, period_type, published_at from rep where revision = 1) r using (symbol, period_end, period_type)) y""")
+def _(m):
+    stored = m.rep.where("revision = 1").select(*REPS, q.local_midnight_utc("published_at", "Asia/Shanghai").alias("published_at"))
+    return q.pit_revisions(q.backfill_pit(stored, titles(m), m.spine))

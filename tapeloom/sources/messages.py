@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeloom.functions.columns import DELIVERY, occurrences, one_per_key
 from tapeloom.session import cut_lineage
-from tapeloom.operators.quality import clean_num, local_midnight_utc, market_of, next_open, text, to_symbol, tz_of
+from tapeloom.operators.quality import clean_dec, clean_num, local_midnight_utc, market_of, next_open, text, to_symbol, tz_of
 
 SUMMARY_CHARS = 120  # fixed value: length of the summary a message without one gets
 # fixed values: column names under which vendors deliver a field, in order of preference
@@ -173,12 +173,13 @@ def cal_unlock(df: DataFrame) -> DataFrame:
 
 
 def parse_macro(df: DataFrame, current: DataFrame) -> DataFrame:
-    """Upsert by factor type, code and day: the row delivered last replaces the stored one."""
-    x = df.where("factor_type is not null and code is not null and trade_date is not null and close is not null").select(
-        "factor_type", "code", "trade_date", F.coalesce(text("market"), F.lit("CN")).alias("market"), "close", *[k for k in DELIVERY if k in df.columns])
-    key = ["factor_type", "code", "trade_date"]
-    x = one_per_key(x, key).select(*key, "market", "close")
-    return current.select(*key, "market", "close").join(x, key, "left_anti").withColumn("fresh", F.lit(False)).unionByName(x.withColumn("fresh", F.lit(True)))
+    """Upsert by factor type, code and day: the row delivered last replaces the stored one, with its name, change and unit."""
+    key, values = ["factor_type", "code", "trade_date"], ["market", "close", "name", "change_pct", "unit"]
+    x = df.dropna(subset=[*key, "close"]).select(
+        *key, F.coalesce(text("market"), F.lit("CN")).alias("market"), "close", text("name").alias("name"), clean_dec("change_pct").alias("change_pct"),
+        text("unit").alias("unit"), *[k for k in DELIVERY if k in df.columns])
+    x = one_per_key(x, key).select(*key, *values)
+    return current.select(*key, *values).join(x, key, "left_anti").withColumn("fresh", F.lit(False)).unionByName(x.withColumn("fresh", F.lit(True)))
 
 
 def parse_industry(df: DataFrame, current: DataFrame) -> DataFrame:
