@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeloom.llm.common import slices
 from tapeloom.llm.components import components
-from tapeloom.session import cut_lineage
+from tapeloom.session import cut_lineage, last_table
 
 SHINGLE = 5
 LEVELS, SLOTS = 3, 16
@@ -364,5 +364,8 @@ def first_rows(docs: DataFrame, row: str, share: int = 85) -> DataFrame:
 
     ``row`` is a column of distinct longs that stays the same however often ``docs`` is read. A row without shingles is a component of its own.
     """
-    sketches, named = _rooted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), "text"), share)
-    return named.groupBy("root").agg(F.min("first").alias("first")).select("first.row").unionByName(sketches.where("name is null").select("row"))
+    def rows() -> DataFrame:
+        sketches, named = _rooted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), "text"), share)
+        return named.groupBy("root").agg(F.min("first").alias("first")).select("first.row").unionByName(sketches.where("name is null").select("row"))
+
+    return last_table(rows)
