@@ -207,15 +207,24 @@ def explode_md_table(df: DataFrame, col: str = "table_markdown", key: str = "doc
     """Markdown tables inside cells to long (row, column, value) rows.
 
     Blank headers get a number, repeated ones a suffix; separator lines and ragged rows drop out, equal rows count once.
+    Equal rows are found by one string: cells hold neither bars nor line ends. Sorts compare its hash first.
     """
-    strip = lambda v: F.regexp_replace(v, r"^\s+|\s+$", "")
+    strip = lambda v: F.btrim(v, F.lit(" \t\n\x0b\f\r"))
+    bars = lambda v: F.btrim(v, F.lit("|"))
+    cells = lambda v: F.transform(F.split(v, r"\|"), strip)
+    ruler = lambda s: (F.length(s) > 2) & F.endswith(s, F.lit("|")) & (F.translate(s, " \t\n\x0b\f\r-:|", "") == "")
+    width = lambda v: F.length(v) - F.length(F.replace(v, F.lit("|"), F.lit(""))) + 1
     lines = F.filter(F.transform(F.split(col, r"\\n|\n"), strip), lambda s: F.startswith(s, F.lit("|")))
-    cells = lambda s: F.transform(F.split(F.regexp_replace(s, r"^\|+|\|+$", ""), r"\|"), strip)
-    x = df.select(key, lines.alias("l")).where(F.size("l") >= 2).select(key, cells(F.col("l")[0]).alias("h"), F.slice("l", 2, 2147483647).alias("l"))
+    # no filter on the number of lines: it would be pushed below and split every table once more
+    x = df.select(key, lines.alias("l")).select(key, cells(bars(F.get("l", F.lit(0)))).alias("h"), F.slice("l", 2, 2147483647).alias("l"))
     named = F.transform("h", lambda v, i: F.when(v == "", F.concat(F.lit("_col"), (i + 1).cast("string"))).otherwise(v))
     x = x.withColumn("h", named)
     seen = lambda v, i: F.size(F.filter(F.slice("h", F.lit(1), i + 1), lambda u: u == v))
     uniq = F.transform("h", lambda v, i: F.when(seen(v, i) > 1, F.concat(v, F.lit("_"), seen(v, i).cast("string"))).otherwise(v))
-    rows = F.filter(F.transform(F.filter("l", lambda s: ~s.rlike(r"^\|[\s\-:|]+\|$")), cells), lambda c: F.size(c) == F.size("h"))
-    x = x.withColumn("u", uniq).select(key, F.col("u"), F.posexplode(rows).alias("row_no", "c")).groupBy(F.col("u").alias("h"), "c").agg(F.min(F.struct(key, "row_no")).alias("k"))
-    return x.select(f"k.{key}", "k.row_no", F.explode(F.arrays_zip("h", "c")).alias("z")).select(key, "row_no", F.col("z.h").alias("column"), F.col("z.c").alias("value"))
+    rows = F.filter(F.transform(F.filter("l", lambda s: ~ruler(s)), bars), lambda v: width(v) == F.size("h"))
+    x = x.withColumn("u", F.array_join(uniq, "|")).select(key, "u", F.posexplode(rows).alias("row_no", "c"))
+    x = x.select(F.struct(key, "row_no").alias("k"), F.concat(F.array_join(cells(F.col("c")), "|"), F.lit("\n"), "u").alias("row"))
+    x = x.groupBy(F.xxhash64("row").alias("hash"), "row").agg(F.min("k").alias("k"))
+    part = lambda i: F.split(F.split_part("row", F.lit("\n"), F.lit(i)), r"\|")
+    x = x.select("k.*", F.explode(F.arrays_zip(part(2).alias("h"), part(1).alias("c"))).alias("z"))
+    return x.select(key, "row_no", F.col("z.h").alias("column"), F.col("z.c").alias("value"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tapeloom import session
 from tapeloom.llm import chosen_path, suffix_dedup
+from tapeloom.sources import messages
 
 LONG = " ".join(f"word{i} of a passage" for i in range(40))
 
@@ -50,3 +51,15 @@ def test_nested_last_tables(spark, tmp_path, monkeypatch):
         return inner.join(session.cut_lineage(spark.range(2)), "id")
 
     assert [r.id for r in session.last_table(outer).collect()] == [1] and len(left()) == 1
+
+
+def test_md_tables(spark):
+    table = "| a |  | a |\n|---|:-:|---|\\n | 1 | x  y |\t|\nno row\n| 1 | x  y | |\n||2|3|4||\n| 5 | 6 |\n|a||b|\n| - | : | - |"
+    rows = [(2, table), (1, "| a |  | a |\n|4|5|6|\n| 1 |x  y||"), (None, "|a|"), (4, None), (5, "no bars"), (None, "|z|\n|9|"), (6, "|z|\n| 9 |")]
+    df = spark.createDataFrame(rows, "doc_id long, table_markdown string")
+    got = messages.explode_md_table(df)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan.replace("filter", "")  # a filter split every table a second time
+    want = [(1, 0, "a", "4"), (1, 0, "_col2", "5"), (1, 0, "a_2", "6"), (2, 2, "a", "2"), (2, 2, "_col2", "3"), (2, 2, "a_2", "4"), (2, 3, "a", "a"), (2, 3, "_col2", ""), (2, 3, "a_2", "b"),
+            (2, 0, "a", "1"), (2, 0, "_col2", "x  y"), (2, 0, "a_2", ""), (None, 0, "z", "9")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
