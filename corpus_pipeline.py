@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeloom.llm import chosen_path, decontaminate, language, packing, suffix_dedup
-from tapeloom.llm.common import held_out, read
+from tapeloom.llm.common import bitmap_of, held_out, read, thinned
 from tapeloom.llm.queries import decontaminated, vocabulary
 from tapeloom.session import cut_lineage
 
@@ -32,11 +32,20 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-duplicates; of each group the row of the smallest id stays, and one row only. Rows without words all stay."""
+    """Near-duplicates; of each group the row of the smallest id stays, and one row only. Rows without words all stay.
+
+    Rows are known by a hash of all their columns. Only those that may have to go are shuffled.
+    """
     row = _fresh(docs)
-    keyed = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
-    kept = chosen_path.first_rows(keyed, row, NEAR).withColumnRenamed("row", "_" + row)
-    return keyed.join(kept, F.col(row) == F.col("_" + row), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.withColumn(row, F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"), F.lit(NEAR)))
+    doubtful = chosen_path.doubtful_rows(keyed, row, NEAR).withColumnRenamed("row", row)
+    known = spark.sparkContext.broadcast(bitmap_of(doubtful, row))
+    kept = thinned(keyed, known, row, there=False).unionByName(thinned(keyed, known, row).join(doubtful, row, "left_anti"))
+    several = doubtful.where("stays")
+    if not several.isEmpty():
+        known = spark.sparkContext.broadcast(bitmap_of(several, row))
+        kept = kept.unionByName(thinned(keyed, known, row).join(several, row, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

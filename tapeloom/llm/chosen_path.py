@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tapeloom.llm.common import slices
+from tapeloom.llm.common import bitmap_of, chosen, slices, thinned
 from tapeloom.llm.components import components
 from tapeloom.session import cut_lineage, last_table
 
@@ -156,12 +156,15 @@ def grow(classes: DataFrame, trees: int) -> tuple[DataFrame, DataFrame]:
         rows = cut_lineage(rows)
         # a table of its own, so that the join has two plain shuffles and hot nodes can be split
         sizes = cut_lineage(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"))
-        rows = cut_lineage(rows.join(sizes, "node"))
+        known = rows.sparkSession.sparkContext.broadcast(bitmap_of(sizes, "node"))
+        rows = cut_lineage(thinned(rows, known, "node").join(sizes, "node"))
         small.append(rows.where(F.col("size") <= SMALL).select("node", "tree", "at", "name"))
         large = rows.where(F.col("size") > SMALL)
         if level < LEVELS:
+            known = rows.sparkSession.sparkContext.broadcast(bitmap_of(large.select(F.xxhash64("name").alias("x")).distinct(), "x"))
             down = large.select("node", "name", "tree", F.explode(F.array(F.col("at") * 2 + 1, F.col("at") * 2 + 2)).alias("at"))
-            rows = down.join(classes.select("name", "tokens"), "name").select("name", _child(F.col("node"), F.col("tree") * SLOTS + F.col("at") - 1).alias("node"), "tree", "at")
+            tokens = thinned(classes.select("name", "tokens", F.xxhash64("name").alias("x")), known, "x")
+            rows = down.join(tokens, "name").select("name", _child(F.col("node"), F.col("tree") * SLOTS + F.col("at") - 1).alias("node"), "tree", "at")
     both = small[0]
     for s in small[1:]:
         both = both.unionByName(s)
@@ -297,17 +300,19 @@ def _similar(sets: list, share: int) -> list[tuple[int, int]]:
 
 
 def texts_of(names: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(name, packed): a compressed text of each class of ``names``."""
+    """(name, packed): a compressed text of each class of ``names``; other texts are neither compressed nor shuffled."""
+    needed = cut_lineage(names.distinct().join(classes.select("name", "h"), "name"))
+    known = docs.sparkSession.sparkContext.broadcast(bitmap_of(needed, "h"))
+
     def squeeze(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import zstandard
 
         for batch in slices(batches):
-            press = zstandard.ZstdCompressor(level=3)
+            batch, press = chosen(batch, known, "h"), zstandard.ZstdCompressor(level=3)
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([press.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["h", "packed"])
 
     texts = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(squeeze, "h long, packed binary")
-    needed = cut_lineage(names.distinct().join(classes.select("name", "h"), "name"))
     return cut_lineage(needed.hint("merge").join(texts, "h").groupBy("name").agg(F.min("packed").alias("packed")))
 
 
@@ -369,3 +374,17 @@ def first_rows(docs: DataFrame, row: str, share: int = 85) -> DataFrame:
         return named.groupBy("root").agg(F.min("first").alias("first")).select("first.row").unionByName(sketches.where("name is null").select("row"))
 
     return last_table(rows)
+
+
+def doubtful_rows(docs: DataFrame, row: str, share: int = 85) -> DataFrame:
+    """(row, stays) of rows that can't simply stay: ``stays`` is false where another row of the component comes first, else the row stands several times.
+
+    The first row is chosen as in ``first_rows``, but equal rows have equal longs ``row`` here.
+    """
+    def rows() -> DataFrame:
+        sketches, named = _rooted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), "text"), share)
+        first = named.groupBy("root").agg(F.min("first").alias("first")).select("first.row").distinct().withColumn("stays", F.lit(True))
+        times = sketches.where("name is not null").groupBy("row").agg(F.count("*").alias("n"))
+        return times.join(first, "row", "left").select("row", F.coalesce("stays", F.lit(False)).alias("stays"), "n").where("n > 1 or not stays").drop("n")
+
+    return last_table(rows)

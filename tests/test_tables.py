@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tapeloom import session
-from tapeloom.llm import chosen_path, suffix_dedup
+from tapeloom.llm import chosen_path, common, suffix_dedup
 from tapeloom.sources import messages
 
 LONG = " ".join(f"word{i} of a passage" for i in range(40))
@@ -35,6 +35,26 @@ def test_tables_on_the_way_go(spark, tmp_path, monkeypatch):
     assert spark.conf.get(session.CLEANUP, None) == before
 
 
+def test_near_duplicates_leave_no_copy(spark, tmp_path, monkeypatch):
+    """Neither a table with all texts nor a shuffle of them; of rows with equal id and text one stays, whatever else they hold."""
+    left = _folders(monkeypatch, tmp_path)
+    rows = [(1, LONG, "a"), (1, LONG, "b"), (1, LONG, "a"), (2, LONG + " second", "a"), (3, "alone " * 9, "c"), (3, "alone " * 9, "c"), (4, None, "d"), (4, None, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, found string")
+    got = corpus_pipeline.one_of_each(spark, docs, "")
+    assert len(left()) == 1 and spark.read.parquet(f"{tmp_path}/{left()[0]}").columns == ["row", "stays"]
+    assert sorted((r.doc_id, r.text) for r in got.where("doc_id < 4").collect()) == [(1, LONG), (3, "alone " * 9)]
+    assert got.where("doc_id = 4").count() == 2
+
+
+def test_bitmaps_thin_out(spark):
+    ids = spark.range(2000).select("id", F.xxhash64("id").alias("x"))
+    known = spark.sparkContext.broadcast(common.bitmap_of(ids.where("id % 10 = 0"), "x"))
+    some, rest = ({r.id for r in common.thinned(ids, known, "x", there).collect()} for there in (True, False))
+    assert some >= set(range(0, 2000, 10)) and len(some) < 400 and rest == set(range(2000)) - some
+    none = spark.sparkContext.broadcast(common.bitmap_of(ids.where("id < 0"), "x"))
+    assert common.thinned(ids, none, "x").count() == 0
+
+
 def test_many_contexts_leave_no_tables(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "TOGETHER", 1)
     left = _folders(monkeypatch, tmp_path)
