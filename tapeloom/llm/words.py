@@ -22,6 +22,10 @@ CHUNK = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 #: before is known by a byte for each hash.
 REMEMBERED = 300_000
 SEEN = 1 << 22
+#: ASCII marks; after letters a run of them is one piece in either vocabulary's pattern.
+MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
+#: Runs of marks that one worker remembers.
+RUNS = 10_000
 # fixed value: letters and numbers below U+0100, for patterns that name them by Unicode class
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
 
@@ -54,7 +58,7 @@ class Memo:
         self.letters = _byte_letters()
         self.end, = self.bare.encode([self.letters[0]], is_pretokenized=True, add_special_tokens=False).ids
         self.pieces, self.lower = re.compile(pattern.replace(r"\p{L}", LETTERS).replace(r"\p{N}", NUMBERS)).findall, lower
-        self.tails = {x.encode(): np.array(self.bare.encode([x], is_pretokenized=True, add_special_tokens=False).ids, "<u4").tobytes() for x in ".,;:!?"}
+        self.tails: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
         self.seen = bytearray(SEEN)
 
@@ -62,22 +66,44 @@ class Memo:
         text = text.decode() if isinstance(text, bytes) else text
         return self.np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def letters_of(self, plain: bytes) -> str | None:
+        """A word of nothing but letters below U+0100 as the vocabulary spells it, else nothing."""
+        if plain.isalpha():  # ASCII letters, by far the most
+            return plain.decode()
+        if plain.isascii() or not (s := plain.decode()).isalpha() or max(s) >= "\u0100":
+            return None
+        return (s.lower() if self.lower else s).encode().decode("latin-1").translate(self.letters)
+
+    def tail(self, marks: bytes) -> bytes:
+        ids = self.tails.get(marks)
+        if ids is None:
+            ids = self.np.array(self.bare.encode([marks.decode()], is_pretokenized=True, add_special_tokens=False).ids, "<u4").tobytes()
+            if len(self.tails) < RUNS:
+                self.tails[marks] = ids
+        return ids
+
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words not remembered. A zero byte as a piece of its own ends each word's ids."""
         np, got, shapes, owners = self.np, {}, [], []
         space, end = self.letters[0x20], self.letters[0]
-        before, tailed = self.before and space, {}
+        before, tailed, named = self.before and space, {}, set()
         for w in words:
             plain = w.lower() if self.lower else w
-            if plain.isalpha():  # ASCII letters, by far the most
-                owners.append(w)
-                shapes += (before + plain.decode(), end)
+            bare = plain.rstrip(MARKS)
+            piece = self.letters_of(bare) if bare else None
+            if piece is not None and len(bare) == len(w):
+                if w not in named:
+                    named.add(w)
+                    owners.append(w)
+                    shapes += (before + piece, end)
                 continue
-            if plain[:-1].isalpha() and plain[-1:] in self.tails:  # a word that may be known without its point or comma
-                if w[:-1] not in self.words and w[:-1] not in tailed:
-                    owners.append(w[:-1])
-                    shapes += (before + plain[:-1].decode(), end)
-                tailed.setdefault(w[:-1], []).append(w)
+            if piece is not None and b"<|" not in w:  # a word that may be known without its marks
+                base = w[:len(bare)]
+                if base not in self.words and base not in named:
+                    named.add(base)
+                    owners.append(base)
+                    shapes += (before + piece, end)
+                tailed.setdefault(base, []).append(w)
                 continue
             s = self.shown(w).decode()
             if not s.isascii() and max(s) >= "\u0100" or "<|" in s or "\0" in s:
@@ -97,7 +123,7 @@ class Memo:
             ids = self.words.get(base) or got[base]
             if len(self.words) < REMEMBERED:
                 self.words[base] = ids
-            got.update((w, ids + self.tails[w[-1:]]) for w in several)
+            got.update((w, ids + self.tail(w[len(base):])) for w in several)
         return got
 
     def __call__(self, texts: list[str] | list[bytes]) -> list[bytes]:
@@ -118,23 +144,31 @@ class Memo:
                 got.append(self.library(t))
                 continue
             ids = list(map(get, words))
-            if None in ids:
-                missing += [w for w, x in zip(words, ids) if x is None]
-                got.append((words, ids))
+            unknown = [i for i, x in enumerate(ids) if x is None]
+            if unknown:
+                fresh = [words[i] for i in unknown]
+                missing += fresh
+                got.append((ids, unknown, fresh))
             else:
                 got.append(b"".join(ids))
         if not missing:
             return got
         times = Counter(missing)
-        fresh = self.learn(list(times))
+        learnt = self.learn(list(times))
         if len(self.words) < REMEMBERED:
             seen, words = self.seen, self.words
             for w, n in times.items():
                 if n > 1 or seen[hash(w) % SEEN]:
-                    words[w] = fresh[w]
+                    words[w] = learnt[w]
                 else:
                     seen[hash(w) % SEEN] = 1
-        return [g if isinstance(g, bytes) else b"".join([fresh[w] if x is None else x for w, x in zip(*g)]) for g in got]
+        for k, g in enumerate(got):
+            if not isinstance(g, bytes):
+                ids, unknown, own = g
+                for i, w in zip(unknown, own):
+                    ids[i] = learnt[w]
+                got[k] = b"".join(ids)
+        return got
 
 
 class LowerWords(Memo):

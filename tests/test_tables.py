@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tapeloom import session
-from tapeloom.llm import chosen_path, common, suffix_dedup
+from tapeloom.llm import chosen_path, common, suffix_dedup, words
+from tapeloom.llm.queries import vocabulary
 from tapeloom.sources import messages
 
 LONG = " ".join(f"word{i} of a passage" for i in range(40))
@@ -83,3 +84,24 @@ def test_md_tables(spark):
     want = [(1, 0, "a", "4"), (1, 0, "_col2", "5"), (1, 0, "a_2", "6"), (2, 2, "a", "2"), (2, 2, "_col2", "3"), (2, 2, "a_2", "4"), (2, 3, "a", "a"), (2, 3, "_col2", ""), (2, 3, "a_2", "b"),
             (2, 0, "a", "1"), (2, 0, "_col2", "x  y"), (2, 0, "a_2", ""), (None, 0, "z", "9")]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_words_are_encoded_without_their_marks():
+    """One word and its forms with marks reach the tokenizer once, also with letters beyond ASCII; ids equal the library's."""
+    for kind, file in (("lower_words", "word_bpe_49k.json"), ("byte_words", "byte_bpe_50k.json")):
+        memo = {"lower_words": words.LowerWords, "byte_words": words.ByteWords}[kind](vocabulary(file))
+        asked, bare = [], memo.bare
+
+        class Bare:
+            def encode_batch_fast(self, texts, **options):
+                asked.extend(texts[0])  # noqa: B023
+                return bare.encode_batch_fast(texts, **options)  # noqa: B023
+
+            def encode(self, *given, **options):
+                return bare.encode(*given, **options)  # noqa: B023
+
+        memo.bare = Bare()
+        texts = ["of straße straße!! straße. straße.%%% of", "xy xy... xy&&& xy' xy", "Éa ªº éa!! ¿éa a² 'xy's xy'.", "x<| x<|endoftext|> <|x|> ĀĀ. é\u0301!"]
+        assert memo(texts[:2]) == [memo.library(t) for t in texts[:2]]
+        assert asked.count(memo.letters[0]) == (3 if kind == "lower_words" else 5)  # the first words of byte-level texts have no space
+        assert memo(texts) == [memo.library(t) for t in texts] == memo([t.encode() for t in texts])
