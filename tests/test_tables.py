@@ -56,6 +56,30 @@ def test_bitmaps_thin_out(spark):
     assert common.thinned(ids, none, "x").count() == 0
 
 
+def test_only_hashes_go_to_python(spark):
+    """Other columns may even be of a kind that Arrow doesn't take."""
+    ids = spark.range(200).select("id", F.xxhash64("id").alias("x"), F.expr("make_interval(0, cast(id AS int))").alias("other"))
+    known = spark.sparkContext.broadcast(common.bitmap_of(ids.where("id < 20"), "x"))
+    some, rest = (common.thinned(ids, known, "x", there) for there in (True, False))
+    assert some.schema == ids.schema and some.count() + rest.count() == 200 and some.where("id < 20").count() == 20
+
+
+def test_batches_of_texts_are_small(spark, tmp_path, monkeypatch):
+    _folders(monkeypatch, tmp_path)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    texts = spark.range(0, 9000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+    before = spark.conf.get(session.BATCH_BYTES, None)
+    got = session.cut_lineage(texts.mapInArrow(sizes, "n long, size long")).collect()
+    assert sum(r.n for r in got) == 9000 and max(r.size for r in got) < 5 << 20
+    assert spark.conf.get(session.BATCH_BYTES, None) == before
+
+
 def test_many_contexts_leave_no_tables(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "TOGETHER", 1)
     left = _folders(monkeypatch, tmp_path)
