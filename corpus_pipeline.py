@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tapeloom.llm import chosen_path, decontaminate, language, packing, suffix_dedup
 from tapeloom.llm.common import bitmap_of, held_out, read, thinned
 from tapeloom.llm.queries import decontaminated, vocabulary
-from tapeloom.session import cut_lineage
+from tapeloom.session import cut_lineage, small_batches
 
 #: Mean label probability below which a document's language counts as unknown.
 LEAST_SCORE = 0.35
@@ -26,6 +26,7 @@ def _fresh(docs: DataFrame) -> str:
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID; documents without letters or whose language the network can't tell go. Null texts go."""
+    small_batches(spark)
     found = _fresh(docs)
     told = language.identify(docs, ~held_out("doc_id", 4, 2), docs.columns, found)
     return told.where((F.col(found)["lang"] != language.UNKNOWN) & (F.col(found)["score"] >= LEAST_SCORE)).select(*docs.columns)
@@ -36,6 +37,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are known by a hash of all their columns. Only those that may have to go are shuffled.
     """
+    small_batches(spark)
     row = _fresh(docs)
     keyed = docs.withColumn(row, F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"), F.lit(NEAR)))
     doubtful = chosen_path.doubtful_rows(keyed, row, NEAR).withColumnRenamed("row", row)
@@ -50,6 +52,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup; texts lose long repeated strings, and n_chars follows. All documents stay."""
+    small_batches(spark)
     found = _fresh(docs)
     cut = suffix_dedup.remove(docs, docs.columns, found, as_text=True, length=REPEAT, gram=ANCHOR)
     new = {"text": F.when(F.col("text").isNotNull(), F.col(found)["kept"])}
@@ -60,6 +63,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination; documents that count as contaminated go."""
+    small_batches(spark)
     found = _fresh(docs)
     judged = decontaminate.find(docs, read(spark, sf_dir, "benchmark"), docs.columns, found)
     return judged.where(~decontaminated(F.col(found))).select(*docs.columns)
@@ -67,6 +71,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing into sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tapeloom.llm.common import bitmap_of, chosen, slices, thinned
+from tapeloom.llm.common import PIECE, bitmap_of, chosen, slices, thinned
 from tapeloom.llm.components import components
 from tapeloom.session import cut_lineage, last_table
 
@@ -125,9 +125,9 @@ def sketched(docs: DataFrame, trees: int) -> DataFrame:
         for batch in slices(batches):
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             n, names, tokens, at = [], [], [], 0
-            while at < len(texts):  # a megabyte of text at a time
+            while at < len(texts):
                 stop, size = at, 0
-                while stop < len(texts) and (stop == at or size + len(texts[stop]) < 1 << 20):
+                while stop < len(texts) and (stop == at or size + len(texts[stop]) < PIECE):
                     size += len(texts[stop])
                     stop += 1
                 sets = shingle_sets(texts[at:stop])

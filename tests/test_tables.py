@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -129,3 +130,47 @@ def test_words_are_encoded_without_their_marks():
         assert memo(texts[:2]) == [memo.library(t) for t in texts[:2]]
         assert asked.count(memo.letters[0]) == (3 if kind == "lower_words" else 5)  # the first words of byte-level texts have no space
         assert memo(texts) == [memo.library(t) for t in texts] == memo([t.encode() for t in texts])
+
+
+def test_arrays_of_a_task_are_small(spark, monkeypatch):
+    """Arrays are made for a piece of text at a time, not for a megabyte: that took some 100 MB a task."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Frame:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            self.run = run
+
+    texts = [f"{i} " + " ".join(str(i * j % 9973) for j in range(2000)) for i in range(400)]  # 4 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), *[pa.array(range(len(texts)))] * 5], ["text", "doc_id", "row", "h", "k1", "k2"])
+    for make in (lambda f: suffix_dedup.members(f, 240, 40), lambda f: chosen_path.sketched(f, 5)):
+        frame = Frame()
+        monkeypatch.setattr(suffix_dedup, "keyed", lambda docs: docs)
+        make(frame)
+        tracemalloc.start()
+        assert sum(x.num_rows for x in frame.run(iter([batch]))) >= 400
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 40 << 20
+
+
+def test_stages_ask_for_small_batches(spark, monkeypatch):
+    """Also where the caller writes a stage's frame; a session's own setting stays."""
+    before = spark.conf.get(session.BATCH_BYTES, None)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(session.BATCH_BYTES)
+            monkeypatch.setattr(corpus_pipeline, "_fresh", None)  # only the first line of the stage counts
+            monkeypatch.setattr(corpus_pipeline.packing, "pack", None)
+            with pytest.raises(TypeError):
+                stage(spark, _docs(spark), "")
+            assert spark.conf.get(session.BATCH_BYTES) == session.BATCH
+        spark.conf.set(session.BATCH_BYTES, "3m")
+        session.small_batches(spark)
+        assert spark.conf.get(session.BATCH_BYTES) == "3m"
+    finally:
+        spark.conf.unset(session.BATCH_BYTES) if before is None else spark.conf.set(session.BATCH_BYTES, before)
