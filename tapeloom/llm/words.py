@@ -10,6 +10,8 @@ import gc
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 from tapeloom.llm.common import once
 
@@ -26,6 +28,8 @@ SEEN = 1 << 22
 MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 #: Runs of marks that one worker remembers.
 RUNS = 10_000
+#: First bytes of characters from U+0100 on.
+HIGH = re.compile(rb"[\xc4-\xff]")
 # fixed value: letters and numbers below U+0100, for patterns that name them by Unicode class
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
 
@@ -70,7 +74,7 @@ class Memo:
         """A word of nothing but letters below U+0100 as the vocabulary spells it, else nothing."""
         if plain.isalpha():  # ASCII letters, by far the most
             return plain.decode()
-        if plain.isascii() or not (s := plain.decode()).isalpha() or max(s) >= "\u0100":
+        if plain.isascii() or HIGH.search(plain) or not (s := plain.decode()).isalpha():
             return None
         return (s.lower() if self.lower else s).encode().decode("latin-1").translate(self.letters)
 
@@ -82,28 +86,36 @@ class Memo:
                 self.tails[marks] = ids
         return ids
 
+    def marked(self, w: bytes, ids: list, at: int) -> bool:
+        """Whether a word is known ASCII letters and marks after them; if so, its ids are put in their place."""
+        base = w.rstrip(MARKS)
+        known = self.words.get(base) if len(base) < len(w) and base.isalpha() and b"<|" not in w else None
+        if known is None:
+            return False
+        ids[at] = known + self.tail(w[len(base):])
+        return True
+
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words not remembered. A zero byte as a piece of its own ends each word's ids."""
         np, got, shapes, owners = self.np, {}, [], []
         space, end = self.letters[0x20], self.letters[0]
-        before, tailed, named = self.before and space, {}, set()
+        before, tailed, named, letters_of = self.before and space, [], set(), self.letters_of
         for w in words:
             plain = w.lower() if self.lower else w
             bare = plain.rstrip(MARKS)
-            piece = self.letters_of(bare) if bare else None
-            if piece is not None and len(bare) == len(w):
-                if w not in named:
-                    named.add(w)
-                    owners.append(w)
-                    shapes += (before + piece, end)
+            marked = len(bare) < len(w)
+            base = w[:len(bare)] if marked else w
+            if marked and base in self.words and bare.isalpha() and b"<|" not in w:
+                tailed.append((base, w))
                 continue
-            if piece is not None and b"<|" not in w:  # a word that may be known without its marks
-                base = w[:len(bare)]
-                if base not in self.words and base not in named:
+            piece = letters_of(bare) if bare else None
+            if piece is not None and not (marked and b"<|" in w):  # a word that may be known without its marks
+                if base not in named and not (marked and base in self.words):
                     named.add(base)
                     owners.append(base)
                     shapes += (before + piece, end)
-                tailed.setdefault(base, []).append(w)
+                if marked:
+                    tailed.append((base, w))
                 continue
             s = self.shown(w).decode()
             if not s.isascii() and max(s) >= "\u0100" or "<|" in s or "\0" in s:
@@ -119,11 +131,11 @@ class Memo:
             assert len(ends) == len(owners)
             raw, stops = ids.tobytes(), (4 * ends).tolist()
             got.update(zip(owners, [raw[a:b] for a, b in zip([0, *(b + 4 for b in stops)], stops)]))
-        for base, several in tailed.items():
+        for base, w in tailed:
             ids = self.words.get(base) or got[base]
             if len(self.words) < REMEMBERED:
                 self.words[base] = ids
-            got.update((w, ids + self.tail(w[len(base):])) for w in several)
+            got[w] = ids + self.tail(w[len(base):])
         return got
 
     def __call__(self, texts: list[str] | list[bytes]) -> list[bytes]:
@@ -137,14 +149,16 @@ class Memo:
     def _encode(self, texts: list[str] | list[bytes]) -> list[bytes]:
         got: list = []
         missing: list[bytes] = []
-        get = self.words.get
+        get, full = self.words.get, len(self.words) >= REMEMBERED
         for t in texts:
             words = self.split(t)
             if words is None:
                 got.append(self.library(t))
                 continue
             ids = list(map(get, words))
-            unknown = [i for i, x in enumerate(ids) if x is None]
+            unknown = list(compress(range(len(ids)), map(is_, ids, repeat(None))))
+            if unknown and full:  # words with marks won't be remembered, but most are known without
+                unknown = [i for i in unknown if not self.marked(words[i], ids, i)]
             if unknown:
                 fresh = [words[i] for i in unknown]
                 missing += fresh

@@ -132,6 +132,20 @@ def test_words_are_encoded_without_their_marks():
         assert memo(texts) == [memo.library(t) for t in texts] == memo([t.encode() for t in texts])
 
 
+def test_known_words_with_marks_are_not_learnt(monkeypatch):
+    """Once no more words are remembered, a known word with marks needs neither the library nor a place of its own."""
+    for kind, file in (("lower_words", "word_bpe_49k.json"), ("byte_words", "byte_bpe_50k.json")):
+        memo = {"lower_words": words.LowerWords, "byte_words": words.ByteWords}[kind](vocabulary(file))
+        memo(["x of of of house house"])
+        monkeypatch.setattr(words, "REMEMBERED", len(memo.words))
+        asked, learn = [], memo.learn
+        monkeypatch.setattr(memo, "learn", lambda ws: asked.extend(ws) or learn(ws))  # noqa: B023
+        texts = ["x of, of&&& house!! of.", "x of's of<|endoftext|> of<| house.of éa. of́, Of."]
+        assert memo(texts[:1]) == [memo.library(texts[0])] and not {b"of,", b"of&&&", b"house!!", b"of."} & set(asked)
+        assert memo(texts) == [memo.library(t) for t in texts] == memo([t.encode() for t in texts])
+        monkeypatch.undo()
+
+
 def test_arrays_of_a_task_are_small(spark, monkeypatch):
     """Arrays are made for a piece of text at a time, not for a megabyte: that took some 100 MB a task."""
     import tracemalloc
